@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldloom.llm.common import table
+from foldloom.llm import bpe, langid
+from foldloom.llm.common import remainder, table
 from foldloom.llm.sharding import shard_documents
 from foldloom.llm.simhash import near_duplicates
 
@@ -19,5 +22,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup)}
+def op4_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    trees = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(trees, docs.select("doc_id", "held_out", "text"), F.col("text")).drop("text")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
+    return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op4_ppm_language_id, op7_byte_bpe)}
 ORACLES: dict[str, str] = {}
