@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe, langid
+from foldloom.llm import bpe, decontaminate, langid
 from foldloom.llm.common import remainder, table
 from foldloom.llm.sharding import shard_documents
 from foldloom.llm.simhash import near_duplicates
@@ -34,5 +34,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
     return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op4_ppm_language_id, op7_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op4_ppm_language_id, op7_byte_bpe, op8_positional_index)}
+OP8_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+v as (select item_id, len(w) as n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as s, w from b where len(w) > 0),
+windows as (select distinct item_id, least(n, 10) as k, list_slice(w, s, s + least(n, 10) - 1) as words from v),
+p as (select doc_id, k, pos, list_slice(w, pos, pos + k - 1) as words from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from d), (select distinct k from windows)),
+found as (select p.doc_id, p.pos, x.item_id, x.k from windows x join p on p.k = x.k and p.words = x.words),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(pos, pos + k)) as place from found) group by doc_id),
+ids as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from found) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join ids using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_positional_index": OP8_SQL}
