@@ -159,3 +159,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     named = classes.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("linked_first")).join(roots, "root").select(F.col("node").alias("fp"), "linked_first")
     best = classes.join(named, "fp", "left").select("fp", F.coalesce("linked_first", "first").alias("component_id"))
     return prints.join(best, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """docs without the near copies: the document of smallest doc_id of each component stays.
+
+    Rows of one doc_id and text are one document. A null doc_id has no order: such rows stay, one for each text.
+    Only the ids to remove, and ids met more than once, are joined to the texts.
+    """
+    found = stored(near_duplicates(docs, radius))
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = stored(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("twice")))
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("twice"))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
