@@ -18,14 +18,15 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 LONG = 1024
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 CHUNK_BYTES = 2_000_000
 
 
@@ -164,49 +165,47 @@ class Encoder:
         return [np.array(list(chain.from_iterable(map(self.met.__getitem__, pieces))), np.int32) for pieces in cut]
 
 
-def _chunks(texts: list[str], most: int) -> Iterator[list[str]]:
-    chunk, size = [], 0
-    for t in texts:
-        chunk.append(t)
-        size += len(t)
-        if size >= most:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+def _spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of successive rows of about `most` bytes each."""
+    first, size = 0, 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= most or k == len(sizes) - 1:
+            yield first, k + 1
+            first, size = k + 1, 0
 
 
-def encode(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
-    """Token ids, array<int>. The rank table has a fixed size and is broadcast."""
-    shared = spark.sparkContext.broadcast(ranks)
+def _listed(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32), pa.int32()))
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value, pattern)
-        for batch in batches:
-            yield pd.Series([ids for chunk in _chunks([t or "" for t in batch], CHUNK_BYTES) for ids in encoder.encode(chunk)], dtype=object)
-
-    return of(text)
 
+def decoded(ids: list[np.ndarray], tokens: list[bytes]) -> list[bytes]:
+    """The bytes that each row of ids stands for."""
+    return [b"".join(map(tokens.__getitem__, x.tolist())) for x in ids]
 
-def decode(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that ids stand for."""
-    shared = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = {rank: data for data, rank in shared.value.items()}.__getitem__
-        for batch in batches:
-            yield pd.Series([b"".join(map(token, np.asarray(x).tolist())) for x in batch], dtype=object)
 
-    return of(ids)
+def tokenized(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, ids (array<int>) and decoded (binary, from the ids) of every row.
 
+    The rank table has a fixed size and is broadcast; texts pass through in slices of about CHUNK_BYTES.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-def tokenized(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, ids and decoded of every row."""
-    spark = docs.sparkSession
-    encoded = docs.select("doc_id", encode(spark, F.coalesce("text", F.lit("")), ranks, pattern).alias("ids"))
-    return encoded.select("doc_id", "ids", decode(spark, F.col("ids"), ranks).alias("decoded"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value, pattern)
+        tokens = [b""] * (1 + max(shared.value.values()))
+        for data, rank in shared.value.items():
+            tokens[rank] = data
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for first, end in _spans(sizes, CHUNK_BYTES):
+                part = batch.slice(first, end - first)
+                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), _listed(ids), pa.array(decoded(ids, tokens), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
