@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe, decontaminate, langid, pii
+from foldloom.llm import bpe, decontaminate, langid, pii, toxicity
 from foldloom.llm.common import remainder, table
 from foldloom.llm.sharding import shard_documents
 from foldloom.llm.simhash import near_duplicates
@@ -30,6 +30,14 @@ def op4_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(trees, docs.select("doc_id", "held_out", "text"), F.col("text")).drop("text")
 
 
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", "held_out", toxicity.score(model, docs, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
     return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
@@ -43,7 +51,7 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op4_ppm_language_id, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms)} | {"pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op4_ppm_language_id, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms)} | {"pipeline": corpus_pipeline.run}
 OP8_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
