@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,24 @@ def remainder(doc_id: Column, k: int) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def pieces(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about `most` bytes, cut at white space; no word is cut."""
+    at = 0
+    while at < len(data):
+        end = at + most
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of successive rows of about `most` bytes each."""
+    first, size = 0, 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= most or k == len(sizes) - 1:
+            yield first, k + 1
+            first, size = k + 1, 0
