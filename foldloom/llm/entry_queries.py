@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import ann, bpe, decontaminate, langid, lm_score, pii, toxicity
+from foldloom.llm import ann, bpe, decontaminate, kneser_ney, langid, lm_score, pii, toxicity
 from foldloom.llm.common import remainder, table
 from foldloom.llm.sharding import shard_documents
 from foldloom.llm.simhash import near_duplicates
@@ -23,6 +23,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
@@ -60,7 +64,7 @@ def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours)} | {"pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours)} | {"pipeline": corpus_pipeline.run}
 OP8_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
