@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 NONE = np.int32(2**31 - 1)
 LONG = 1024
 REMEMBERED = 150_000
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,23 +81,25 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern, self.pairs = ranks, regex.compile(pattern), PairTable(ranks)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.met: dict[str, list[int]] = {}
+        self.met: dict[str, bytes] = {}  # ids as packed int32
 
-    def _rows(self, pieces: list[bytes]) -> list[list[int]]:
-        """Pieces of one length bucket, merged together."""
+    def _rows(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of the pieces of one length bucket, merged together."""
         lengths = np.array([len(p) for p in pieces])
         width = int(lengths.max())
         filled = np.arange(width) < lengths[:, None]
         ids = np.full(filled.shape, -1, np.int32)
         ids[filled] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), -1)
-        rows, out = np.arange(len(pieces)), [[]] * len(pieces)
+        rows, out = np.arange(len(pieces)), [b""] * len(pieces)
         while True:
             at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), int)
             best = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE)
             ended = best == NONE
-            for row, own in zip(rows[ended].tolist(), ids[ended].tolist(), strict=True):
-                out[row] = [i for i in own if i >= 0]
+            done = ids[ended]
+            packed, ends = done[done >= 0].tobytes(), np.cumsum((done >= 0).sum(axis=1)) * 4
+            for row, first, end in zip(rows[ended].tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[row] = packed[first:end]
             go = ~ended
             if not go.any():
                 return out
@@ -111,7 +113,7 @@ class Encoder:
             ranks[each[left], at[left] - 1] = self.pairs.find(ids[each[left], at[left] - 1], ids[each[left], at[left]])
             ranks[each[right], at[right]] = self.pairs.find(ids[each[right], at[right]], ids[each[right], at[right] + 1])
 
-    def _heap(self, piece: bytes) -> list[int]:
+    def _heap(self, piece: bytes) -> bytes:
         """One very long piece: the least (rank, place) first, over a linked list."""
         n = len(piece)
         ids = self.single[np.frombuffer(piece, np.uint8)]
@@ -138,7 +140,7 @@ class Encoder:
             renew(i)
             if before[i] >= 0:
                 renew(before[i])
-        return [i for i in ids if i >= 0]
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
         buckets: dict[int, list[tuple[str, bytes]]] = {}
@@ -146,7 +148,7 @@ class Encoder:
             data = piece.encode()
             whole = self.ranks.get(data)
             if whole is not None:
-                self.met[piece] = [whole]
+                self.met[piece] = whole.to_bytes(4, sys.byteorder)
             elif len(data) > LONG:
                 self.met[piece] = self._heap(data)
             else:
@@ -162,7 +164,7 @@ class Encoder:
         if len(self.met) > REMEMBERED:
             self.met = {}
         self._learn(set().union(*cut).difference(self.met))
-        return [np.array(list(chain.from_iterable(map(self.met.__getitem__, pieces))), np.int32) for pieces in cut]
+        return [np.frombuffer(b"".join(map(self.met.__getitem__, pieces)), np.int32) for pieces in cut]
 
 
 def _spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

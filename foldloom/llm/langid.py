@@ -60,7 +60,7 @@ class ContextTrees:
                 if depth == k:
                     table[value] = place[k, value]
             by_depth.append(table)
-        self.state_of = by_depth[DEPTH]
+        self.state_of = by_depth[DEPTH].astype(np.uint16 if len(order) <= 1 << 16 else np.int32)
         cost = np.empty((max(1, len(order)), 256, len(self.languages)), np.float32)
         for i in range(len(self.languages)):
             own = lang == i
@@ -148,6 +148,7 @@ def predict(trees: ContextTrees, docs: DataFrame, text: Column) -> DataFrame:
 
     if not trees.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+    of = of.asNondeterministic()  # else a filter on its fields would run it twice
     told = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     named = docs.withColumns({"told_": told, "found_": of(text)})
     return named.select(
