@@ -77,7 +77,7 @@ class ContextTrees:
             if not order:
                 chance[:] = 1 / 256
             cost[:, :, i] = -np.log2(chance)
-        self.cost = cost.reshape(-1, len(self.languages))
+        self.cost = cost.reshape(len(cost) * 256, len(self.languages))
 
     @staticmethod
     def _mixed(counted: np.ndarray, shorter: np.ndarray) -> np.ndarray:
