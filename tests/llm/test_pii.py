@@ -1,0 +1,97 @@
+import hashlib
+import re
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from foldloom.llm import pii
+from foldloom.llm.entry_queries import QUERIES
+
+from .conftest import documents
+
+KEY = "k"
+
+
+def feistel(digits, radices, kind, key=KEY):
+    """The same permutation, written plainly."""
+    half = len(digits) // 2
+    left, right, rl, rr = list(digits[:half]), list(digits[half:]), radices[:half], radices[half:]
+    for turn in range(1, pii.ROUNDS + 1):
+        other, own, radix = (right, left, rl) if turn % 2 else (left, right, rr)
+        told = hashlib.sha512("|".join([key, kind, ",".join(map(str, radices)), str(turn), ",".join(map(str, other))]).encode()).hexdigest()
+        new = [(d + int(told[4 * i : 4 * i + 4], 16)) % radix[i] for i, d in enumerate(own)]
+        left, right = (new, right) if turn % 2 else (left, new)
+    return left + right
+
+
+def luhn(digits):
+    total = sum((d * 2 - 9 if d > 4 else d * 2) if k % 2 == 0 else d for k, d in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def made(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    return [(r["text"], r["n_found"]) for r in pii.pseudonymized(rows, KEY).orderBy("k").collect()]
+
+
+def test_permutation_and_its_inverse(spark):
+    rows = [([1, 2, 3, 4, 5], [10] * 5), ([0, 5], [7, 9]), ([255, 0, 3, 9], [256] * 4), ([1], [10]), ([], [10])]
+    df = spark.createDataFrame([(d, r[: len(d)]) for d, r in rows], "d array<bigint>, r array<bigint>")
+    there = df.withColumn("e", pii.feistel(F.col("d"), F.col("r"), KEY, "t"))
+    for row in there.withColumn("back", pii.feistel(F.col("e"), F.col("r"), KEY, "t", inverse=True)).collect():
+        assert row["back"] == row["d"]
+        assert row["e"] == (feistel(row["d"], row["r"], "t") if len(row["d"]) > 1 else row["d"])
+
+
+def test_small_format_is_permuted_whole(spark):
+    df = spark.range(1000).select(F.array(F.col("id") % 10, F.floor(F.col("id") / 10) % 10, F.floor(F.col("id") / 100)).alias("d"))
+    found = df.select(pii.feistel(F.col("d"), F.transform("d", lambda _: F.lit(10).cast("long")), KEY, "t").alias("e")).distinct().count()
+    assert found == 1000
+
+
+def test_cards(spark):
+    (text, n), = made(spark, "pay 4041894974608795 or 4041 8949 7460 8795; not 4041894974608796")
+    a, b, c = re.search(r"pay (\d{16}) or ([\d ]{19}); not (\d{16})", text).groups()
+    digits = [int(x) for x in "404189497460879"]
+    new = feistel(digits, [10] * 15, "card")
+    assert a == "".join(map(str, [*new, luhn(new)])) and b.replace(" ", "") == a and c == "4041894974608796" and n == 2
+
+
+def test_dates_and_numbers_keep_their_format(spark):
+    (text, n), = made(spark, "2024-02-29 29.02.2024 29/02/2024 2023-02-29 10.1.2.3 300.1.1.1 123-45-6789 666-45-6789 +1 (988) 555-2485")
+    iso, dot, slash, bad, ip, not_ip, ssn, not_ssn, phone = re.fullmatch(r"(\S+) (\S+) (\S+) (\S+) (\S+) (\S+) (\S+) (\S+) (.+)", text).groups()
+    day = (date(2024, 2, 29) - date(1900, 1, 1)).days
+    x, y = feistel([day // 319, day % 319], [229, 319], "date")
+    new = date.fromordinal(date(1900, 1, 1).toordinal() + x * 319 + y)
+    assert (iso, dot, slash) == (new.isoformat(), f"{new:%d.%m.%Y}", f"{new:%d/%m/%Y}")
+    assert (bad, not_ip, not_ssn) == ("2023-02-29", "300.1.1.1", "666-45-6789")
+    assert ip == ".".join(map(str, feistel([10, 1, 2, 3], [256] * 4, "ipv4")))
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", ssn) and ssn[:3] not in ("000", "666") and int(ssn[:3]) < 900 and ssn != "123-45-6789"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone) and phone != "+1 (988) 555-2485" and n == 6
+
+
+def test_mail_and_secrets(spark):
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    (text, n), (other, _) = made(spark, f'mail Bosbt.42@mail8.example.com, token = "{secret}".', "again: Bosbt.42@mail8.example.com")
+    mail = re.search(r"mail (\S+)@mail8.example.com,", text)[1]
+    assert re.fullmatch(r"[A-Z][a-z]{4}\.\d\d", mail) and mail != "Bosbt.42" and f"{mail}@" in other
+    new = re.search(r'"([0-9a-f]{40})"', text)[1]
+    assert new != secret and [c.isdigit() for c in new] == [c.isdigit() for c in secret] and n == 2
+
+
+@pytest.mark.parametrize("text", [None, "", "no numbers", "12", "4" * 30, "a@b", "@@", "1.2.3", "x" * 100_000 + "@", "1-" * 50_000])
+def test_left_alone(spark, text):
+    assert made(spark, text) == [(text, 0)]
+
+
+def test_ends_of_texts_stay(spark):
+    (text, n), = made(spark, "10.1.2.3")
+    assert re.fullmatch(r"[\d.]+", text) and n == 1
+    (text, _), = made(spark, "\n10.1.2.3\n\n10.1.2.3")
+    assert text.startswith("\n") and text.split("\n")[1] == text.split("\n")[3]
+
+
+def test_query_links_equal_values(spark, folder):
+    rows = {r["doc_id"]: r for r in QUERIES["op9_feistel_pseudonyms"](spark, folder(documents("ip 42.1.2.3", "ip 42.1.2.3", "ip 42.1.2.4", "none"))).collect()}
+    assert rows[1]["text"] == rows[2]["text"] != "ip 42.1.2.3" and rows[3]["text"] != rows[1]["text"] and rows[4]["text"] == "none"
