@@ -111,8 +111,9 @@ def differentiate(samples: DataFrame, sampling_rate: float = 1.0, by: Sequence[s
 
 
 def integrate(samples: DataFrame, sampling_rate: float = 1.0, by: Sequence[str] = BY, length: int = LENGTH) -> DataFrame:
-    """Cumulative trapezoids from 0; samples follow each other in order of idx."""
-    steps = framed(samples, by, 1, 0, lambda w: {"step_": (F.col("value") + F.lag("value").over(w)) / 2 * (F.col("idx") - F.lag("idx").over(w)) / sampling_rate}, length)
+    """Cumulative trapezoids from 0 between neighbouring samples; a gap adds nothing."""
+    beside = lambda w: F.lag("idx").over(w) == F.col("idx") - 1
+    steps = framed(samples, by, 1, 0, lambda w: {"step_": F.when(beside(w), (F.col("value") + F.lag("value").over(w)) / 2 / sampling_rate)}, length)
     return running_sum(steps, by, F.coalesce("step_", F.lit(0.0)), "sum_", length).withColumn("value", F.col("sum_")).drop("sum_", "step_")
 
 
@@ -142,15 +143,17 @@ def interpolate(samples: DataFrame, factor: int, how: str = "linear", by: Sequen
 
 
 def sta_lta(samples: DataFrame, nsta: int, nlta: int, by: Sequence[str] = BY, length: int = LENGTH) -> DataFrame:
-    """Classic ratio of trailing mean squares; 0 where fewer than nlta consecutive samples end."""
+    """Classic ratio of trailing mean squares; 0 where fewer than nlta consecutive samples end. Frames count sample numbers, so
+    samples before a gap fall out of them in time.
+    """
     if not 0 < nsta < nlta:
         raise ValueError("0 < nsta < nlta is needed")
     square = F.col("value") * F.col("value")
 
     def make(w):
         return {
-            "sta_": F.avg(square).over(w.rowsBetween(-(nsta - 1), 0)),
-            "lta_": F.avg(square).over(w.rowsBetween(-(nlta - 1), 0)),
+            "sta_": F.avg(square).over(w.rangeBetween(-(nsta - 1), 0)),
+            "lta_": F.avg(square).over(w.rangeBetween(-(nlta - 1), 0)),
             "full_": F.lag("idx", nlta - 1).over(w) == F.col("idx") - (nlta - 1),
         }
 
@@ -159,9 +162,9 @@ def sta_lta(samples: DataFrame, nsta: int, nlta: int, by: Sequence[str] = BY, le
 
 
 def z_detect(samples: DataFrame, nsta: int, by: Sequence[str] = BY, length: int = LENGTH) -> DataFrame:
-    """The trailing mean square less its mean, over its population deviation."""
+    """The trailing mean square (of the last nsta sample numbers) less its mean, over its population deviation."""
     square = F.col("value") * F.col("value")
-    short = framed(samples, by, nsta - 1, 0, lambda w: {"sta_": F.avg(square).over(w.rowsBetween(-(nsta - 1), 0))}, length)
+    short = framed(samples, by, nsta - 1, 0, lambda w: {"sta_": F.avg(square).over(w.rangeBetween(-(nsta - 1), 0))}, length)
     level = short.groupBy(*by).agg(F.avg("sta_").alias("mean_"), F.stddev_pop("sta_").alias("dev_"))
     scaled = F.when(F.col("dev_") > 0, (F.col("sta_") - F.col("mean_")) / F.col("dev_")).otherwise(0.0)
     return short.join(level, list(by)).withColumn("value", scaled).drop("sta_", "mean_", "dev_")

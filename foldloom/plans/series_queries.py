@@ -239,7 +239,7 @@ def differentiate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "integrate",
-    f"""{GRID}, n as (select *, coalesce((value + lag(value) over w) / 2 * (idx - lag(idx) over w), 0) as step from g window w as (partition by id order by idx))
+    f"""{GRID}, n as (select *, coalesce(case when lag(idx) over w = idx - 1 then (value + lag(value) over w) / 2 end, 0) as step from g window w as (partition by id order by idx))
 select id, idx, round(sum(step) over (partition by id order by idx rows unbounded preceding) + 0.0000314159::double, 4) as value, fold from n""",
 )
 def integrate(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,7 +275,7 @@ def interp_zero(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "sta_lta_classic",
-    f"""{GRID}, n as (select *, avg(value * value) over (partition by id order by idx rows 2 preceding) as sta, avg(value * value) over (partition by id order by idx rows 11 preceding) as lta,
+    f"""{GRID}, n as (select *, avg(value * value) over (partition by id order by idx range between 2 preceding and current row) as sta, avg(value * value) over (partition by id order by idx range between 11 preceding and current row) as lta,
 lag(idx, 11) over (partition by id order by idx) as back from g)
 select id, idx, round(case when back = idx - 11 and lta > 0 then sta / lta else 0 end, 6) as value, fold from n""",
 )
@@ -285,7 +285,7 @@ def sta_lta_classic(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "zdetect",
-    f"""{GRID}, n as (select *, avg(value * value) over (partition by id order by idx rows 5 preceding) as sta from g)
+    f"""{GRID}, n as (select *, avg(value * value) over (partition by id order by idx range between 5 preceding and current row) as sta from g)
 select id, idx, round((sta - avg(sta) over (partition by id)) / stddev_pop(sta) over (partition by id), 6) as value, fold from n""",
 )
 def zdetect(spark: SparkSession, folder: str) -> DataFrame:
