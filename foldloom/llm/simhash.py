@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import stored
+from foldloom.llm.common import pieces, stored
 from foldloom.llm.components import connected
 
 _EVEN = 0x5555555555555555
@@ -36,22 +36,11 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256)[None, :]
 
 
-def _pieces(data: bytes, most: int) -> Iterator[bytes]:
-    """Parts of about `most` bytes, cut at white space."""
-    at = 0
-    while at < len(data):
-        end = at + most
-        while end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end += 1
-        yield data[at:end]
-        at = end
-
-
 def _shingles(data: bytes, width: int, most: int) -> Iterator[list[int]]:
     """Lists of the hashes of successive shingles; bytes.lower and bytes.split know ASCII only, as asked."""
     held: list[bytes] = []
     seen = False
-    for part in _pieces(data.lower(), most):
+    for part in pieces(data.lower(), most):
         words = held + part.split()
         if len(words) >= width:
             joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
@@ -154,11 +143,15 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 6, cell_rows: int =
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     prints = stored(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = connected(links(classes.select("fp"), radius))
-    named = classes.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("linked_first")).join(roots, "root").select(F.col("node").alias("fp"), "linked_first")
-    best = classes.join(named, "fp", "left").select("fp", F.coalesce("linked_first", "first").alias("component_id"))
-    return prints.join(best, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = classes.join(roots, F.col("fp") == F.col("node"))
+    firsts = linked.groupBy("root").agg(F.min("first").alias("linked_first"))
+    named = linked.join(firsts, "root").select("fp", "linked_first")
+    # most rows are alone; the others' classes are stored, so that a class of very many copies can be split where it is joined
+    shared = stored(classes.join(named, "fp", "left").where("n > 1 or linked_first is not null").select("fp", F.coalesce("linked_first", "first").alias("component_id"), F.lit(True).alias("shared")))
+    component = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return prints.join(shared, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
