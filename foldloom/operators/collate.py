@@ -76,3 +76,13 @@ def header(samples: DataFrame, primaries: Sequence[str], by: Sequence[str] = ("i
 def merge_windows(samples: DataFrame, by: Sequence[str] = ("instrument", "component"), method: str = "mean") -> DataFrame:
     """Stack the overlapping windows of a component again into one series."""
     return stack(samples, method, by)
+
+
+def component_ids(primary_id: str, secondaries: Sequence[str]) -> list[str]:
+    """The ids of all components of a window: the primary's, then those of the secondaries, in order."""
+    return [primary_id, *[primary_id[:-1] + c for c in secondaries if c != primary_id[-1:]]]
+
+
+def primary_of(samples: DataFrame, primary_id: str, key: str = "id") -> DataFrame:
+    """The samples of a window's primary component."""
+    return samples.where(F.col(key) == primary_id)

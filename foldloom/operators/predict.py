@@ -6,6 +6,7 @@ the summed fold of their components, blinded at the edges.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -63,3 +64,9 @@ def to_series(predicted: DataFrame, folds: DataFrame, length: int, blinding: int
     )
     edge = (F.col("at") < blinding) | (F.col("at") >= length - blinding)
     return rows.select("id", (F.col(first) + F.col("at")).alias("idx"), F.col("x.values").alias("value"), F.when(edge, 0.0).otherwise(F.col("x.fold")).alias("fold"))
+
+
+def check_blinding(overlap: int, blinding: int) -> None:
+    """Windows must overlap by both blinded edges at least, or samples are lost between them."""
+    if overlap < 2 * blinding:
+        warnings.warn(f"an overlap of {overlap} samples leaves gaps between windows blinded by {blinding} on each side", stacklevel=2)

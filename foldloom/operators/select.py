@@ -90,3 +90,17 @@ def unmergeable(packets: DataFrame) -> DataFrame:
 def equal(left: DataFrame, right: DataFrame) -> bool:
     """Whether two tables hold the same rows, repeats included."""
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def in_inventory(df: DataFrame, inventory: DataFrame, *keys: str, inverse: bool = False) -> DataFrame:
+    """Rows whose key values stand in an inventory table, or those that don't; keys are columns of both."""
+    return df.join(inventory.select(*keys).distinct(), list(keys), "left_anti" if inverse else "left_semi")
+
+
+def id_set(left: DataFrame, right: DataFrame, how: str, key: str = "id") -> DataFrame:
+    """Distinct keys of two tables: union, intersection or difference."""
+    a, b = left.select(key), right.select(key)
+    made = {"union": lambda: a.union(b).distinct(), "intersection": lambda: a.intersect(b), "difference": lambda: a.subtract(b)}
+    if how not in made:
+        raise ValueError(f"how must be one of {', '.join(made)}")
+    return made[how]()

@@ -186,3 +186,9 @@ def make_gappy(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     n, at = F.col("last") - F.col("first") + 1, F.col("idx") - F.col("first")
     hidden = (at >= F.rint(0.25 * n)) & (at < F.rint(0.5 * n))
     return placed.withColumns({"value": F.when(~hidden, F.col("value")), "fold": F.when(hidden, 0.0).otherwise(F.col("fold"))}).drop("first", "last")
+
+
+def remove_sensitivity(samples: DataFrame, gains: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Values divided by the gain of their series (columns by, gain); series without a gain stay."""
+    joined = samples.join(gains.select(*by, "gain"), list(by), "left")
+    return joined.withColumn("value", F.when(F.coalesce(F.col("gain"), F.lit(0.0)) != 0, F.col("value") / F.col("gain")).otherwise(F.col("value"))).drop("gain")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import shapes
+from foldloom.operators import measure
 from foldloom.operators.frames import LENGTH, in_runs, run_bounds
 
 BY = ("id",)
@@ -76,3 +77,19 @@ def similar(picks_: DataFrame, within: float, keys: Sequence[str], mean: str = "
     near = F.abs(F.col(f"{mean}_1") - F.col(f"{mean}_2")) <= within
     pairs = a.join(b, [*keys, "band_"]).where((F.col(f"{row}_1") < F.col(f"{row}_2")) & near).drop("band_")
     return pairs.withColumn("divergence", shapes.kl_gaussian(*(F.col(c) for c in (f"{mean}_1", f"{var}_1", f"{mean}_2", f"{var}_2"))))
+
+
+def pick_times(rows: DataFrame, reference_us: str = "reference_us", params: str = "params", param: str = "pick_param", sampling_rate: str = "sampling_rate") -> DataFrame:
+    """rows with pick_us: the reference time plus the named parameter (in samples)."""
+    samples = F.try_element_at(F.col(params), F.col(param))
+    return rows.withColumn("pick_us", F.col(reference_us) + F.rint(samples * 1_000_000 / F.col(sampling_rate)).cast("long"))
+
+
+def models(samples: DataFrame, found: DataFrame, by: Sequence[str] = BY, quantiles: Sequence[float] = (0.16, 0.5, 0.84), length: int = LENGTH) -> DataFrame:
+    """Parametric summaries of triggers (by, on, off): weighed moments and the sample numbers of quantiles, one row each."""
+    spans = found.select(*by, F.col("on").alias("first"), F.col("off").alias("last"), "on", "off")
+    inside = in_runs(samples, spans, by, length)
+    keys = [*by, "on"]
+    moments = measure.weighed_moments(inside, keys)
+    at = measure.quantile_indices(inside, quantiles, keys, length).groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("idx"))).alias(f"q{round(100 * q)}") for q in quantiles])
+    return found.select(*by, "on", "off").join(at, keys).join(moments, keys, "left")

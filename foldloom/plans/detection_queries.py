@@ -276,3 +276,34 @@ def tables_equal(spark: SparkSession, folder: str) -> DataFrame:
     events = tables.table(spark, folder, "events").select("event_id", "user_id", "value")
     differ = events.exceptAll(events).agg(F.count("*").alias("n"))
     return events.agg(F.count("*").alias("rows")).crossJoin(differ).select(F.lit("events").alias("name"), (F.col("n") == 0).alias("same"), "rows")
+
+
+@query(
+    "trigger_report",
+    f"""{GRID}, {_onsets("g", 40, 20)}, x as (select t.id, t.on_, t.off_, g.idx, g.value as y from t join g on g.id = t.id and g.idx between t.on_ and t.off_),
+c as (select *, sum(y) over (partition by id, on_ order by idx rows unbounded preceding) / sum(y) over (partition by id, on_) as share from x),
+q as (select id, on_, any_value(off_) as off_, min_by(idx, (round(abs(0.16::double - share), 12), idx)) as q16, min_by(idx, (round(abs(0.5::double - share), 12), idx)) as q50, min_by(idx, (round(abs(0.84::double - share), 12), idx)) as q84 from c group by id, on_),
+m as (select id, on_, sum(y * (idx - on_)) / sum(y) as m1, sum(y * (idx - on_) ** 2) / sum(y) as m2, count(*) filter (where y <> 0) as k from x group by id, on_)
+select q.id, q.on_ as "on", q.off_ as "off", q16, q50, q84, round(case when k > 1 and m2 - m1 * m1 > 0 then q.on_ + m1 end, 4) as mean, round(case when k > 1 and m2 - m1 * m1 > 0 then sqrt((m2 - m1 * m1) * k / (k - 1)) end, 4) as std
+from q join m on q.id = m.id and q.on_ = m.on_""",
+)
+def trigger_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = grid(spark, folder)
+    found = trigger.models(rows, trigger.onsets(rows, 40.0, 20.0))
+    return found.select("id", "on", "off", "q16", "q50", "q84", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query("pick_record_times", f"select event_id, epoch_us(ts) + cast(round_even((event_id % 50) * 1000000 / 20::double, 0) as bigint) as pick_us from events where event_id % 3 = 0")
+def pick_record_times(spark: SparkSession, folder: str) -> DataFrame:
+    events = tables.table(spark, folder, "events").where("event_id % 3 = 0")
+    params = F.create_map(F.lit("mean"), (F.col("event_id") % 50).cast("double"), F.lit("other"), F.lit(-1.0))
+    rows = events.select("event_id", instants.micros(F.col("ts")).alias("reference_us"), params.alias("params"), F.lit("mean").alias("pick_param"), F.lit(20.0).alias("sampling_rate"))
+    return trigger.pick_times(rows).select("event_id", "pick_us")
+
+
+@query("interval_midpoints", """select o_orderkey, cast(case when o_orderkey % 3 = 0 then us when o_orderkey % 3 = 1 then floor((2 * us + 7000001) / 2) else us + 7000001 end as bigint) as pick_us from (select o_orderkey, epoch_us(o_orderdate) as us from orders)""")
+def interval_midpoints(spark: SparkSession, folder: str) -> DataFrame:
+    us = instants.micros(F.col("o_orderdate"))
+    kind = F.col("o_orderkey") % 3
+    low, high = F.when(kind == 1, us), F.when(kind != 0, us + 7000001)
+    return tables.table(spark, folder, "orders").select("o_orderkey", instants.pick_micros(F.when(kind == 0, us), low, high).cast("long").alias("pick_us"))

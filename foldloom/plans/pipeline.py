@@ -77,10 +77,13 @@ class Pipeline:
             return Pipeline(*self.steps, step)
         return Pipeline(*[step if s.name == step.name else s for s in self.steps])
 
-    def run(self, df: DataFrame) -> DataFrame:
+    def run(self, df: DataFrame, observe: bool = False) -> DataFrame:
+        """The result of all steps; observe: each step also reports its number of rows as an observed metric of its name."""
         for step in self.steps:
             log.debug("step %s", step.name)
             df = step(df)
+            if observe:
+                df = df.observe(step.name, F.count(F.lit(1)).alias("rows"))
         return df
 
 
@@ -107,12 +110,34 @@ def resolved(config: Mapping[str, Mapping[str, str]]) -> dict[str, dict[str, str
     return {s: {k: value(s, k) for k in keys} for s, keys in config.items()}
 
 
+def preprocessing(sampling_rate: float, low: float, high: float, norm: str = "std") -> Pipeline:
+    """The sequence before scoring: detrend, filter, taper, normalise, and the grid with gaps masked."""
+    return Pipeline(
+        Step("detrend", series.detrend, {"how": "linear"}, ("id", "idx", "value")),
+        Step("filter", dsp.bandpass, {"low": low, "high": high, "sampling_rate": sampling_rate}),
+        Step("taper", series.taper),
+        Step("normalize", series.normalize, {"how": norm}),
+        Step("grid", stack.fill_gaps),
+    )
+
+
+def postprocessing(thr_on: float, thr_off: float, blinding: int, step_us: int) -> Pipeline:
+    """The sequence after scoring: blind, stack, trigger, pick."""
+    return Pipeline(
+        Step("blind", series.blind, {"left": blinding}, ("id", "idx", "value", "fold")),
+        Step("stack", stack.stack, {"method": "mean"}),
+        Step("trigger", trigger.triggers, {"thr_on": thr_on, "thr_off": thr_off}),
+        Step("pick", trigger.picks, {"thr_on": thr_on, "step_us": step_us}),
+    )
+
+
 def picking(rows: DataFrame, components: str, length: int, step: int, blinding: int, thr_on: float, thr_off: float, step_us: int = 3_600_000_000) -> DataFrame:
     """Samples (instrument, component, idx, value, fold) to picks: windows with repaired components, scores, blinded
     edges, a fold-weighed stack of the labels P and S, triggers, one pick each.
     """
     primary = F.col("component") == components[0]
     placed = windows.placed(rows, ["instrument"], primary, length, step)
+    predict.check_blinding(length - step, blinding)
     filled = collate.fill_components(placed, length, components, "secondary", primary_share=0.9, secondary_share=0.8)
     tensors = collate.tensor(filled, components, length)
     scored = predict.predict(tensors, {"fast": predict.energy_ratio(max(1, length // 12), max(2, length // 3))}, ("Detection", "P", "S"), "ER").where("label in ('P', 'S')")

@@ -448,3 +448,47 @@ def tensor_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query("item_grid", """select 'LI.' || l_returnflag || '.' || l_linestatus as id, epoch_us(l_shipdate) // 86400000000 as idx, round(avg(l_extendedprice), 6) as value, cast(count(*) as double) as fold from lineitem where l_extendedprice is not null group by all""")
 def item_grid(spark: SparkSession, folder: str) -> DataFrame:
     return plain(tables.item_samples(spark, folder))
+
+
+@query("inventory_match", f"{CODES} select network, station, channel, n from k where station in (select 'U' || cast(c_custkey % 40 as varchar) from customer) and n > 2")
+def inventory_match(spark: SparkSession, folder: str) -> DataFrame:
+    stations = tables.table(spark, folder, "customer").select(F.concat(F.lit("U"), (F.col("c_custkey") % 40).cast("string")).alias("station"))
+    return select.in_inventory(series_codes(spark, folder), stations, "station").where("n > 2").select("network", "station", "channel", "n")
+
+
+@query("id_sets", """with a as (select distinct event_type as id from events), b as (select distinct o_orderpriority as id from orders union all select 'click' as id)
+select 'union' as how, id from (select id from a union select id from b) union all select 'intersection', id from (select id from a intersect select id from b) union all select 'difference', id from (select id from a except select id from b)""")
+def id_sets(spark: SparkSession, folder: str) -> DataFrame:
+    a = tables.table(spark, folder, "events").select(F.col("event_type").alias("id"))
+    b = tables.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("id")).union(spark.createDataFrame([("click",)], "id string"))
+    made = [select.id_set(a, b, how).select(F.lit(how).alias("how"), "id") for how in ("union", "intersection", "difference")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query("remove_sensitivity", f"{GRID} select id, idx, round(value / case component when 'P' then 4 when 'C' then 5 else 1 end, 6) as value, fold from g")
+def remove_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
+    gains = spark.createDataFrame([("EV.ALL..EVP", 4.0), ("EV.ALL..EVC", 5.0), ("EV.ALL..EVS", 0.0)], "id string, gain double")
+    return plain(series.remove_sensitivity(grid(spark, folder), gains))
+
+
+@query(
+    "windows_padded",
+    f"""{WINDOWS}, r as (select id, k, first from v where vf >= 0.2), p as (select id, k, unnest(range(first, first + 24)) as idx from r)
+select p.id, p.k, p.idx, round(g.value, 6) as value, coalesce(g.fold, 0) as fold from p left join g on p.id = g.id and p.idx = g.idx""",
+)
+def windows_padded(spark: SparkSession, folder: str) -> DataFrame:
+    rows = grid(spark, folder).select("id", "idx", "value", "fold")
+    found = windows.ready(rows.withColumn("series", F.col("id")), ["id"], "series", F.lit(True), 24, 12, min_valid=0.2, eager=True)
+    return windows.padded(rows, ["id"], found.select("id", "k", "first"), 24).select("id", "k", "idx", F.round("value", 6).alias("value"), "fold")
+
+
+@query("window_targets", f"{FILL}, w as (select instrument, k, min(idx) as start_us, count(distinct idx) as npts from s group by all) select instrument, k, start_us % 24 = 1 as start_ok, true as rate_ok, npts = 24 as npts_ok from w")
+def window_targets(spark: SparkSession, folder: str) -> DataFrame:
+    per = instrument_windows(spark, folder).groupBy("instrument", "k").agg(F.min("idx").alias("start_us"), F.count_distinct("idx").alias("npts"))
+    wanted = F.col("start_us") - F.col("start_us") % 24 + 1
+    return collate.target_checks(per.withColumn("sampling_rate", F.lit(1.0)), wanted, 1.0, 24).select("instrument", "k", "start_ok", "rate_ok", "npts_ok")
+
+
+@query("window_header", f"{GRID}, c as (select instrument, component, min(idx) as a from g where component in ('S', 'P') group by all) select instrument, arg_min(component, (a, component)) as primary, min(a) as start from c group by instrument")
+def window_header(spark: SparkSession, folder: str) -> DataFrame:
+    return collate.header(grid(spark, folder), ["S", "P"])

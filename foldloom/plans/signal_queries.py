@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.operators import collate, dsp, predict, series, stack, trigger
+from foldloom.operators import collate, dsp, predict, series, trigger
 from foldloom.operators.frames import in_runs
 from foldloom.plans.catalog import query
-from foldloom.plans.pipeline import picking
+from foldloom.plans.pipeline import picking, preprocessing
 from foldloom.plans.series_queries import SHARES, grid, instrument_windows
 from foldloom.sources.packets import to_packets, to_samples
 
@@ -64,9 +64,7 @@ def predict_multiweight(spark: SparkSession, folder: str) -> DataFrame:
 @query("preprocess_window")
 def preprocess_window(spark: SparkSession, folder: str) -> DataFrame:
     """Detrend, filter, taper and normalise each contiguous series, then put it on its grid with gaps masked."""
-    rows = series.detrend(samples(spark, folder), "linear")
-    filtered = dsp.bandpass(rows, 1 / 48, 1 / 4, 1.0)
-    return stack.fill_gaps(series.normalize(series.taper(filtered), "std"))
+    return preprocessing(1.0, 1 / 48, 1 / 4).run(samples(spark, folder))
 
 
 @query("picking_pipeline")
