@@ -72,9 +72,10 @@ def _same(left: DataFrame, right: DataFrame, *more: str) -> Column:
 def _rare_terms(index: Index, width: int, n_terms: int) -> DataFrame:
     """item, start, ipos, term of the rarest terms of each window that can occur at all."""
     counts = index.postings.groupBy("term").agg(F.count("*").alias("n"))
+    counted = stored(index.items.join(counts, "term", "left").select("item", "ipos", "term", "n"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("length") - width, F.lit(0)))
-    windows = index.items.select("item", "length").distinct().select("item", "length", F.explode(starts).alias("start"))
-    inside = windows.join(index.items.select("item", "ipos", "term"), "item").where(f"ipos between start and start + {width - 1}").join(counts, "term", "left")
+    windows = index.items.select("item", "length").distinct().select("item", F.explode(starts).alias("start"))
+    inside = windows.join(counted, "item").where(f"ipos between start and start + {width - 1}")
     per = Window.partitionBy("item", "start")
     ranked = inside.withColumns({"rank": F.row_number().over(per.orderBy("n", "ipos")), "lost": F.max(F.col("n").isNull()).over(per)})
     return ranked.where(f"rank <= {n_terms} and not lost").select("item", "start", "ipos", "term")
@@ -90,7 +91,10 @@ def phrase_hits(index: Index, width: int = 10, n_terms: int = 3) -> DataFrame:
     met = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("held"))) == 0)
     aligned = stored(held.join(small(needs), "item").where(met).select(*DOC, "item", "shift"))
     wanted = aligned.join(small(index.items), "item").withColumn("pos", F.col("shift") + F.col("ipos"))
-    matched = index.postings.join(wanted, _same(index.postings, wanted, "term", "pos"), "left_semi").distinct()
+    # the lists of all terms, but of the few documents that have an alignment
+    suspects = small(stored(aligned.select(*DOC).distinct()))
+    lists = index.postings.join(suspects, _same(index.postings, suspects), "left_semi")
+    matched = lists.join(wanted, _same(lists, wanted, "term", "pos"), "left_semi").distinct()
     found = wanted.join(matched, _same(wanted, matched, "term", "pos"), "left_semi")
     runs = found.groupBy(*DOC, "item", "item_id", "shift", "length").agg(F.sort_array(F.collect_set("ipos")).alias("run"))
     size = F.least(F.col("length"), F.lit(width))
