@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.llm.common import spans
+
 NONE = np.int32(2**31 - 1)
 LONG = 1024
-REMEMBERED = 150_000
-CHUNK_BYTES = 1_000_000
+REMEMBERED = 120_000
+CHUNK_BYTES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,7 +156,7 @@ class Encoder:
             else:
                 buckets.setdefault(len(data).bit_length(), []).append((piece, data))
         for bits, bucket in buckets.items():
-            step = max(1, (1 << 20) >> bits)
+            step = max(1, (1 << 18) >> bits)
             for k in range(0, len(bucket), step):
                 part = bucket[k : k + step]
                 self.met.update(zip((p for p, _ in part), self._rows([d for _, d in part]), strict=True))
@@ -167,16 +169,6 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.met.__getitem__, pieces)), np.int32) for pieces in cut]
 
 
-def _spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of successive rows of about `most` bytes each."""
-    first, size = 0, 0
-    for k, n in enumerate(sizes):
-        size += n
-        if size >= most or k == len(sizes) - 1:
-            yield first, k + 1
-            first, size = k + 1, 0
-
-
 def _listed(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32), pa.int32()))
@@ -201,7 +193,7 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
             tokens[rank] = data
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for first, end in _spans(sizes, CHUNK_BYTES):
+            for first, end in spans(sizes, CHUNK_BYTES):
                 part = batch.slice(first, end - first)
                 ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), _listed(ids), pa.array(decoded(ids, tokens), pa.binary())], ["doc_id", "ids", "decoded"])
