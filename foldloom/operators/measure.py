@@ -99,7 +99,7 @@ def gap_counts(samples: DataFrame, by: Sequence[str] = BY, length: int = LENGTH)
 
 def retained(metrics: DataFrame, max_age_us: int, time: str = "start_us", end: str = "end_us") -> DataFrame:
     """Rows that start at most max_age_us before the latest end of all rows."""
-    return metrics.crossJoin(F.broadcast(metrics.agg(F.max(end).alias("latest_")))).where(F.col(time) >= F.col("latest_") - max_age_us).drop("latest_")
+    return metrics.where(F.col(time) >= metrics.agg(F.max(end)).scalar() - max_age_us)
 
 
 def newest(rows: DataFrame, n: int, by: Sequence[str], time: str, *ties: str) -> DataFrame:

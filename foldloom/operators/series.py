@@ -41,7 +41,7 @@ def normalize(samples: DataFrame, how: str | float = "max", scope: str = "trace"
     if not isinstance(how, str):
         return samples.withColumn("value", F.col("value") / F.lit(float(how)))
     norms = samples.groupBy(*by).agg(_norm(how).alias("norm_"))
-    joined = samples.join(norms, list(by)) if scope == "trace" else samples.crossJoin(norms.agg(F.max("norm_").alias("norm_")))
+    joined = samples.join(norms, list(by)) if scope == "trace" else samples.withColumn("norm_", norms.agg(F.max("norm_")).scalar())
     divided = F.when(F.col("norm_") > 0, F.col("value") / F.col("norm_")).otherwise(F.col("value"))
     return joined.withColumn("value", divided).drop("norm_")
 

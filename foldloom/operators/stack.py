@@ -44,13 +44,12 @@ def stack(samples: DataFrame, method: str = "mean", by: Sequence[str] = ("id",))
 def collapse_identical(packets: DataFrame, keys: Sequence[str] = ("id", "start")) -> DataFrame:
     """Packets of one id, start and equal data become one, whose fold is the sum; before any stacking, for every method.
 
-    Packets carry data and fold as arrays; equality is that of whole arrays. At most two rows of a copy group meet in a
-    comparison, because folds add up pairwise.
+    Packets carry data and fold as bounded arrays; equality is that of whole arrays. Packets of equal folds are counted
+    first, so a group of copies gathers its distinct fold arrays only.
     """
+    counted = packets.groupBy(*keys, "data", "fold").count().withColumn("fold", F.expr("transform(fold, f -> f * count)"))
     added = F.expr("aggregate(folds, transform(data, x -> 0D), (a, f) -> zip_with(a, f, (p, q) -> coalesce(p, 0D) + coalesce(q, 0D)))")
-    salted = packets.groupBy(*keys, "data", F.pmod(F.xxhash64("fold"), F.lit(16)).alias("salt"), "fold").count()
-    scaled = salted.withColumn("fold", F.expr("transform(fold, f -> f * count)"))
-    return scaled.groupBy(*keys, "data").agg(F.collect_list("fold").alias("folds")).select(*keys, "data", added.alias("fold"))
+    return counted.groupBy(*keys, "data").agg(F.collect_list("fold").alias("folds")).select(*keys, "data", added.alias("fold"))
 
 
 def span(samples: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
