@@ -2,7 +2,8 @@
 
 A series is cut into chunks of `length` sample numbers. For operators that look a bounded way back or ahead, each sample
 also enters the neighbouring chunks that need it; a window then runs within a chunk, and only a chunk's own samples leave.
-Running totals take the chunks' totals as offsets. Runs are paired from their two ends, which are few.
+Running totals take the chunks' totals as offsets. Runs are paired from their two ends within a chunk, and across chunks from
+one row a chunk.
 """
 
 from __future__ import annotations
@@ -47,9 +48,14 @@ def run_bounds(samples: DataFrame, by: Sequence[str], inside: Column, length: in
         F.coalesce(F.col("back") != F.col("idx") - 1, F.lit(True)).alias("starts"),
         F.coalesce(F.col("ahead") != F.col("idx") + 1, F.lit(True)).alias("ends"),
     )
-    ends = edges.where("starts or ends")
-    after = F.min(F.when(F.col("ends"), F.col("idx"))).over(Window.partitionBy(*by).orderBy("idx").rowsBetween(0, 1))
-    return ends.withColumn("last", after).where("starts").select(*by, F.col("idx").alias("first"), "last")
+    ends = edges.where("starts or ends").withColumn("chunk_", chunk(length))
+    end = F.when(F.col("ends"), F.col("idx"))
+    beside = F.min(end).over(Window.partitionBy(*by, "chunk_").orderBy("idx").rowsBetween(0, 1))
+    # only the last run of a chunk may end in a later one; that is looked up among the chunks' first ends
+    later = Window.partitionBy(*by).orderBy("chunk_").rowsBetween(1, Window.unboundedFollowing)
+    onward = ends.groupBy(*by, "chunk_").agg(F.min(end).alias("end_")).withColumn("end_", F.min("end_").over(later))
+    paired = ends.withColumn("last", beside).where("starts").join(onward, [*by, "chunk_"])
+    return paired.select(*by, F.col("idx").alias("first"), F.coalesce("last", "end_").alias("last"))
 
 
 def in_runs(samples: DataFrame, runs: DataFrame, by: Sequence[str], length: int = LENGTH) -> DataFrame:

@@ -2,12 +2,12 @@ import fnmatch
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foldloom.functions import ids, shapes
-from foldloom.operators import collate, dsp, pairs, predict, series, trigger, windows
+from foldloom.operators import collate, dsp, frames, pairs, predict, series, trigger, windows
 from foldloom.plans import pipeline
 from foldloom.sources import messages
 
@@ -49,6 +49,20 @@ def test_chunks_do_not_matter(spark):
         assert all(small[k] == pytest.approx(large[k]) for k in small)
 
 
+@given(st.lists(st.booleans(), min_size=1, max_size=60), st.sampled_from([1, 2, 7]))
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_runs_across_chunks(spark, marks, length):
+    rows = spark.createDataFrame([("a", k, bool(m)) for k, m in enumerate(marks)], "id string, idx long, m boolean")
+    expected, first = [], None
+    for k, m in enumerate([*marks, False]):
+        if m and first is None:
+            first = k
+        if not m and first is not None:
+            expected.append((first, k - 1))
+            first = None
+    assert sorted((r["first"], r["last"]) for r in frames.run_bounds(rows, ["id"], F.col("m"), length).collect()) == expected
+
+
 @pytest.mark.parametrize("length", [3, 65_536])
 def test_triggers(spark, length):
     data = [0, 0.4, 0.6, 0.9, 0.9, 0.4, 0.2, 0.6, 0.1, 0.4, 0.4, 0.8]
