@@ -8,7 +8,8 @@ by lookups. The prediction is the language of least code length; its score is th
 priors, 2^-length normalised over the languages.
 
 Learning reads only text and lang, of rows that have both. The sample is about `sample_bytes` of text for each
-language, drawn by a hash of doc_id; `max_contexts` bounds the table: (max_contexts x 256 x languages) floats.
+language, drawn by a hash of doc_id, of the `max_languages` lang values with most text. The table of code lengths has at most
+`max_contexts` contexts, and fewer where there are many languages, so that it stays below CELLS numbers.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or where nothing could be learned; equal
 code lengths go to the language first in order; equal rows get equal results; further columns are ignored.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 DEPTH = 3
 START = b"\n" * DEPTH
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 250_000
+CELLS = 1 << 25
 UNKNOWN = "und"
 
 
@@ -101,10 +103,12 @@ class ContextTrees:
         return out
 
 
-def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 16_384) -> ContextTrees:
+def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192, max_languages: int = 500) -> ContextTrees:
     """Trees learned from text and lang of the given rows (doc_id, text, lang)."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("size")).collect()}
+    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("size"))
+    sizes = {r["lang"]: r["size"] for r in totals.orderBy(F.desc("size"), "lang").limit(max_languages).collect()}
+    max_contexts = min(max_contexts, CELLS // (256 * max(1, len(sizes))))
     if not sizes:
         return ContextTrees(pd.DataFrame({"lang": [], "gram": [], "n": []}), max_contexts)
     fine = 1 << 30
