@@ -1,7 +1,14 @@
+import hashlib
+import random
+
 import corpus_pipeline
+from foldloom.llm import pii
 from foldloom.llm.entry_queries import QUERIES
 
 from .conftest import documents
+from .test_bpe import OTHER
+from .test_decontaminate import brute
+from .test_simhash import components, plain
 
 
 def test_stages_take_effect(spark, folder):
@@ -20,3 +27,36 @@ def test_stages_take_effect(spark, folder):
             assert "10.1.2.3" not in {r["doc_id"]: r["text"] for r in docs.collect()}[5]
     assert kept == [{1, 2, 4, 5}, {1, 4, 5}, {1, 5}, {1, 5}, {1, 5}]
     assert {r["doc_id"] for r in QUERIES["pipeline"](spark, path).collect()} == {1, 5}
+
+
+def test_run_against_brute_force(spark, folder):
+    """Stages two, three and five by brute force over what the first keeps; names of stage four by its own operator."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["an", "the", "er", "ou", "in"]) for _ in range(rng.randrange(1, 4)))
+    items = [(k, " ".join(word() + word() for _ in range(14))) for k in range(6)]
+    texts = []
+    for _ in range(50):
+        parts = [word() for _ in range(rng.randrange(5, 80))]
+        if rng.random() < 0.25:
+            parts += items[rng.randrange(6)][1].split()[: rng.randrange(8, 14)]
+        if rng.random() < 0.3:
+            parts.append(rng.choice(["10.1.2.3", "4041894974608795", "+1 (988) 555-2485"]))
+        texts.append(" ".join(parts))
+    texts += [t.upper() for t in texts[:8]] + [t + " end" for t in texts[8:12]] + [None, "", "99 !!"]
+    rows = documents(*texts)
+    path = folder(rows, benchmark=items)
+
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.language_id(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
+    assert set(kept) == {r[0] for r in rows if any(c.isalpha() for c in r[1] or "")}
+    roots = components({k: plain(t) for k, t in kept.items()})
+    kept = {k: t for k, t in kept.items() if roots[k] == k}
+    kept = {k: t for k, t in kept.items() if not brute([(k, t)], items)[k][4]}
+    frame = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
+    named = {r["doc_id"]: r["text"] for r in pii.pseudonymized(frame).collect()}
+    assert any(named[k] != t for k, t in kept.items())
+    expected = {}
+    for k, t in named.items():
+        ids = OTHER.encode_ordinary(t)
+        expected[k] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["pipeline"](spark, path).collect()}
+    assert found == expected and 10 < len(found) < 50
