@@ -8,8 +8,8 @@ back and appends a leaf to its list. How many leaves a query visits is calibrate
 brute force over the sample's own rows, and leaves are added until `recall` of their true neighbours lie in them.
 
 Neighbouring leaves are packed into bins of about `bin_rows` rows; a larger leaf is a bin of its own, cut into parts of
-that size. A query is sent once to each bin that holds leaves on its list, in groups of at most `group_queries` queries. A
-task multiplies one group by one part, leaves out what is not on a query's list, and returns at most k rows a query.
+that size. A query is sent once to each bin that holds leaves on its list, with others of the same best bin, in groups of
+about `group_queries`. A task multiplies one group by one part, leaves out what is not on a query's list, and returns at most k rows a query.
 Equal vectors are one class with their k + 1 smallest ids (no query needs more), kept by salted top lists, so a vector
 that a third of all rows share is one row of the index.
 
@@ -193,13 +193,15 @@ def neighbours(
                 out.append([{"bin": b, "part": p, "leaves": leaves} for b, leaves in lists.items() for p in range(parts[b])])
             yield pd.Series(out, dtype=object)
 
-    asked = rows.where(F.col("vec_id") % every == 0)
-    groups = max(1, -(-asked.count() // group_queries))
-    own_group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
-    left = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), own_group.alias("group"), F.explode(sent("vector")).alias("to")).select("query_id", "query", "group", "to.*")
-    # the table of leaves is as small as the tree; every part meets every group of queries
+    # queries are grouped by their best bin, so that on clustered data a group goes to few bins
+    asked = stored(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), sent("vector").alias("to")).withColumn("home", F.col("to")[0]["bin"]))
+    homes = asked.groupBy("home").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("groups"))
+    dealt = asked.join(homes, "home").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
+    left = dealt.select("query_id", "query", "home", "group", F.explode("to").alias("to")).select("query_id", "query", "home", "group", "to.*")
+    # the table of leaves is as small as the tree; a part goes to the groups that ask for its bin
     leaf_bins = F.broadcast(spark.createDataFrame([(n, b, parts[b]) for n, b in bins.items()], "leaf int, bin int, parts int"))
-    right = placed.join(leaf_bins, "leaf").select("leaf", "bin", F.pmod("h", F.col("parts")).cast("int").alias("part"), "vector", "ids", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    held = placed.join(leaf_bins, "leaf").select("leaf", "bin", F.pmod("h", F.col("parts")).cast("int").alias("part"), "vector", "ids")
+    right = held.join(stored(left.select("bin", "part", "home", "group").distinct()), ["bin", "part"])
 
     def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -221,7 +223,7 @@ def neighbours(
                 out.append((np.full(len(order), q), ids[order], score[order]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    keys = ("bin", "part", "group")
+    keys = ("bin", "part", "home", "group")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
