@@ -33,10 +33,13 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: later stages reread the files, so a lost executor costs no recomputation of what made them.
+    The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
