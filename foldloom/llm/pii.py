@@ -6,7 +6,8 @@ eight-round Feistel network permutes them; the round function is SHA-512 of key,
 half. Every half-round adds a keyed number digit by digit, modulo its radix, so the whole is a bijection on the values
 of that format. Equal values get equal pseudonyms in every document, and a pseudonym is again valid in its format: card numbers
 get a new Luhn digit, dates stay dates of the same layout between 1900 and 2099, separators stay in place. E-mail
-addresses keep their domain, phone numbers their country code; hexadecimal secrets stay hexadecimal.
+addresses keep their domain, phone numbers their country code, access keys their four letters in front; hexadecimal secrets
+stay hexadecimal.
 
 Defined results: a null text stays null with no finds; values that fail validation stay as they are; equal rows stay
 equal; all columns but the text pass unchanged.
@@ -29,7 +30,8 @@ TEST_KEY = "not-a-secret: set spark.foldloom.pii.key"
 #: kinds in order of precedence
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]{0,63}[a-f])(?=[a-f]{0,63}[0-9])[0-9a-f]{16,64}(?![0-9A-Za-z])",
+    "access_key": r"(?<![0-9A-Za-z])[A-Z]{4}(?=[A-Z]{0,15}[0-9])[0-9A-Z]{16}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_date": r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])",
@@ -200,6 +202,7 @@ def pseudonym(text: Column, key: str) -> Column:
     made = {
         "email": _email(text, key),
         "secret": _spelled(text, "[0-9a-f]", key, "secret", ("0123456789", "abcdef")),
+        "access_key": F.concat(F.substring(text, 1, 4), _spelled(F.substring(text, 5, 16), "[0-9A-Z]", key, "access_key", ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))),
         "ipv4": _ipv4(text, key),
         "iso_date": _date(text, key, "yyyy-MM-dd"),
         "day_date": F.coalesce(*[_date(text, key, f"dd{c}MM{c}yyyy") for c in "./"]),
@@ -219,7 +222,7 @@ def key_of(spark: SparkSession) -> str:
 def pseudonymized(docs: DataFrame, key: str | None = None, text: str = "text", found: str = "n_found") -> DataFrame:
     """docs with pseudonyms in place of the valid values in its text, and their number in a new column `found`."""
     key = key_of(docs.sparkSession) if key is None else key
-    some = F.coalesce(F.col(text).rlike("[0-9]{2}|@|[0-9a-f]{32}"), F.lit(False))
+    some = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     values = F.when(some, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     listed = docs.withColumn("values_", values)
     made = F.transform("values_", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
