@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.llm import bpe, decontaminate, langid, pii, simhash
-from foldloom.llm.common import stored, table
+from foldloom.llm.common import long_texts, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: code length of noise is near eight bits a byte; text of a learned language lies far below
@@ -22,6 +22,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a learned language: no `und`, and fewer bits a byte than noise takes. lang becomes the prediction."""
+    long_texts(spark)
     found = langid.predict(langid.fit(docs), docs, F.col("text"))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -29,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest doc_id of each component of near copies."""
+    long_texts(spark)
     return simhash.deduplicated(docs).select(*COLUMNS)
 
 
@@ -44,6 +46,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and digests of ids and of the decoded bytes."""
+    long_texts(spark)
     tokens = bpe.tokenized(docs, bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
     return bpe.digests(tokens)
 

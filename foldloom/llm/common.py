@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: tables of at most so many short rows are broadcast; larger ones join by a shuffle
+BROADCAST_ROWS = 200_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,6 +45,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def long_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers batches of at most `rows` rows, for texts of some thousand bytes: Spark's 10,000 hold tens of
+    megabytes in the JVM and again in each worker. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def remainder(doc_id: Column, k: int) -> Column:
     """crc32 of doc_id as text, modulo k; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k

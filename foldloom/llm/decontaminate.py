@@ -20,25 +20,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import ascii_lower, stored
+from foldloom.llm.common import ascii_lower, small, stored
 
 #: what stands between words, once A-Z are lower-case
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = ""
 DOC = ["doc_id", "text_hash"]
-#: tables of at most so many rows are broadcast; larger ones join by a shuffle
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # doc_id, text_hash, term, pos
@@ -139,5 +132,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs without any benchmark window."""
-    hits = phrase_hits(build_index(docs, benchmark), width).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    hits = small(stored(phrase_hits(build_index(docs, benchmark), width).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()))
     return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_hash")), "left_anti")

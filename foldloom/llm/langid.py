@@ -17,6 +17,7 @@ code lengths go to the language first in order; equal rows get equal results; fu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,13 +117,16 @@ def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(fine)) < share[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Counter] = {}
         for batch in batches:
             for lang, part in batch.groupby("lang"):
                 codes, starts, ends = _grams(part["text"].tolist())
                 inside = np.ones(len(codes), bool)
                 inside[(starts[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
                 grams, n = np.unique(codes[inside], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n})
+                held.setdefault(lang, Counter()).update(dict(zip(grams.tolist(), n.tolist(), strict=True)))
+        for lang, found in held.items():
+            yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
     counts = sample.select("text", "lang").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return ContextTrees(counts.toPandas().sort_values(["lang", "gram"]), max_contexts)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import pieces, stored
+from foldloom.llm.common import pieces, small, stored
 from foldloom.llm.components import connected
 
 _EVEN = 0x5555555555555555
@@ -161,9 +161,9 @@ def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
     Only the ids to remove, and ids met more than once, are joined to the texts.
     """
     found = stored(near_duplicates(docs, radius))
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = small(stored(found.where("doc_id <> component_id").select("doc_id").distinct()))
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = stored(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("twice")))
+    twice = small(stored(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("twice"))))
     if twice.isEmpty():
         return kept
     same = F.col("doc_id").eqNullSafe(F.col("twice"))

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from foldloom.llm import decontaminate
+from foldloom.llm import common, decontaminate
 from foldloom.llm.entry_queries import QUERIES
 
 from .conftest import documents
@@ -57,7 +57,7 @@ def test_query_against_brute_force(spark, folder):
 
 def test_without_broadcasts(spark, monkeypatch):
     docs, items = make()
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     rows = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r["doc_id"]: r["n_hit"] for r in rows} == {k: v[1] for k, v in brute(docs, items).items()}
 
