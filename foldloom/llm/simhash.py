@@ -140,31 +140,47 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 6, cell_rows: int =
     return grouped.select(F.explode(compare("group")).alias("link")).select("link.a", "link.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of every row."""
-    prints = stored(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+def _classified(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and the fingerprints that stand for several rows or have links.
+
+    The second is stored, so that a class of very many copies can be split where it is joined: fp, chosen (the smallest
+    doc_id of the component and its text_hash; null ids come last), shared (true). Most rows are alone and not in it.
+    """
+    prints = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint(F.col("text")).alias("fp")))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = stored(prints.groupBy("fp").agg(F.min(own).alias("own"), F.count("*").alias("n")))
     roots = connected(links(classes.select("fp"), radius))
     linked = classes.join(roots, F.col("fp") == F.col("node"))
-    firsts = linked.groupBy("root").agg(F.min("first").alias("linked_first"))
-    named = linked.join(firsts, "root").select("fp", "linked_first")
-    # most rows are alone; the others' classes are stored, so that a class of very many copies can be split where it is joined
-    shared = stored(classes.join(named, "fp", "left").where("n > 1 or linked_first is not null").select("fp", F.coalesce("linked_first", "first").alias("component_id"), F.lit(True).alias("shared")))
-    component = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id"))
+    firsts = linked.groupBy("root").agg(F.min("own").alias("first"))
+    named = linked.join(firsts, "root").select("fp", "first")
+    shared = classes.join(named, "fp", "left").where("n > 1 or first is not null")
+    return prints, stored(shared.select("fp", F.coalesce("first", "own").alias("chosen"), F.lit(True).alias("shared")))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every row."""
+    prints, shared = _classified(docs, radius)
+    component = F.when(F.col("shared"), F.col("chosen.doc_id")).otherwise(F.col("doc_id"))
     return prints.join(shared, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs without the near copies: the document of smallest doc_id of each component stays.
+    """docs without the near copies: of each component one row stays, of its smallest doc_id (a null one only where all are).
 
-    Rows of one doc_id and text are one document. A null doc_id has no order: such rows stay, one for each text.
-    Only the ids to remove, and ids met more than once, are joined to the texts.
+    Rows are told apart by doc_id and text, so a row is never lost to another that repeats its doc_id. Only the rows to
+    remove, and those met more than once, are joined to the texts.
     """
-    found = stored(near_duplicates(docs, radius))
-    gone = small(stored(found.where("doc_id <> component_id").select("doc_id").distinct()))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = small(stored(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("twice"))))
+    prints, shared = _classified(docs, radius)
+    placed = prints.join(shared, "fp")
+    chosen = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash"))
+    gone = small(stored(placed.where(~chosen).select("doc_id", "text_hash").distinct()))
+    kept = docs.join(gone, _same(docs, gone), "left_anti")
+    twice = small(stored(placed.where(chosen).groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")))
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("twice"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(twice, _same(kept, twice), "left_anti").unionByName(kept.join(twice, _same(kept, twice), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _same(docs: DataFrame, rows: DataFrame) -> Column:
+    """Equal doc_id (a null equals itself) and text."""
+    return docs["doc_id"].eqNullSafe(rows["doc_id"]) & (F.xxhash64(docs["text"]) == rows["text_hash"])

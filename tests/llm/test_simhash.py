@@ -86,3 +86,10 @@ def test_dedup_keeps_one_of_each_group(spark):
     t = " ".join(f"w{k}" for k in range(50))
     rows = spark.createDataFrame([(3, t), (1, t), (2, "other words are here"), (2, "other words are here"), (9, t.upper())], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in simhash.deduplicated(rows).collect()) == [(1, t), (2, "other words are here")]
+
+
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    t = " ".join(f"w{k}" for k in range(50))
+    rows = [(3, t, "a"), (1, t, "b"), (3, "a text of its own", "c"), (4, t.upper(), "d"), (4, t, "e"), (None, t, "f"), (None, "no id here", "g"), (None, "no id here", "h"), (None, "NO ID HERE", "i")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, twice string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"].lower()) for r in kept) == [("1", t), ("3", "a text of its own"), ("None", "no id here")]
