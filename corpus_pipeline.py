@@ -23,6 +23,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a learned language: no `und`, and fewer bits a byte than noise takes. lang becomes the prediction."""
     long_texts(spark)
+    docs = docs.select(*COLUMNS)
     found = langid.predict(langid.fit(docs), docs, F.col("text"))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)

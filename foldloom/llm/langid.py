@@ -12,7 +12,8 @@ language, drawn by a hash of doc_id, of the `max_languages` lang values with mos
 `max_contexts` contexts, and fewer where there are many languages, so that it stays below CELLS numbers.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or where nothing could be learned; equal
-code lengths go to the language first in order; equal rows get equal results; further columns are ignored.
+code lengths go to the language first in order; equal rows get equal results; further columns pass unchanged, but for
+those named like a result, which it replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.llm.common import free
+
 DEPTH = 3
 START = b"\n" * DEPTH
 CHUNK_BYTES = 250_000
@@ -158,10 +161,11 @@ def predict(trees: ContextTrees, docs: DataFrame, text: Column) -> DataFrame:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
     of = of.asNondeterministic()  # else a filter on its fields would run it twice
     told = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    named = docs.withColumns({"told_": told, "found_": of(text)})
-    return named.select(
-        *docs.columns,
-        F.when(F.col("told_"), F.col("found_.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("told_"), F.col("found_.score")).otherwise(0.0).alias("score"),
-        F.when(F.col("told_"), F.col("found_.bits_per_byte")).alias("bits_per_byte"),
-    )
+    told_, found_ = free(docs, "told"), free(docs, "found")
+    named = docs.withColumns({told_: told, found_: of(text)})
+    results = {
+        "lang_pred": F.when(F.col(told_), F.col(f"{found_}.lang_pred")).otherwise(UNKNOWN),
+        "score": F.when(F.col(told_), F.col(f"{found_}.score")).otherwise(0.0),
+        "bits_per_byte": F.when(F.col(told_), F.col(f"{found_}.bits_per_byte")),
+    }
+    return named.select(*[c for c in docs.columns if c.lower() not in results], *[value.alias(name) for name, value in results.items()])

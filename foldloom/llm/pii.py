@@ -10,7 +10,7 @@ addresses keep their domain, phone numbers their country code, access keys their
 stay hexadecimal.
 
 Defined results: a null text stays null with no finds; values that fail validation stay as they are; equal rows stay
-equal; all columns but the text pass unchanged.
+equal; all columns but the text pass unchanged, but for one named like the number of finds, which that replaces.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldloom.llm.common import free
+
 ROUNDS = 8
 #: half a value has at most so many digits: four hexadecimal digits of the hash stand behind each
 MOST_DIGITS = 32
@@ -223,12 +225,13 @@ def pseudonymized(docs: DataFrame, key: str | None = None, text: str = "text", f
     """docs with pseudonyms in place of the valid values in its text, and their number in a new column `found`."""
     key = key_of(docs.sparkSession) if key is None else key
     some = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
+    values_, made_ = free(docs, "values"), free(docs, "made")
     values = F.when(some, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    listed = docs.withColumn("values_", values)
-    made = F.transform("values_", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
-    named = listed.withColumn("made_", F.when(F.size("values_") > 0, made))
+    listed = docs.withColumn(values_, values)
+    made = F.transform(values_, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
+    named = listed.withColumn(made_, F.when(F.size(values_) > 0, made))
     around = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(around, "made_", lambda a, m: F.array(a, F.coalesce(m["new"], m["old"], F.lit(""))))), "")
-    renewed = F.when(F.size("made_") > 0, joined).otherwise(F.col(text))
-    count = F.coalesce(F.when(F.size("made_") > 0, F.size(F.filter("made_", lambda m: m["new"].isNotNull()))), F.lit(0)).cast("long")
-    return named.withColumns({found: count, text: renewed}).drop("values_", "made_")
+    joined = F.array_join(F.flatten(F.zip_with(around, made_, lambda a, m: F.array(a, F.coalesce(m["new"], m["old"], F.lit(""))))), "")
+    renewed = F.when(F.size(made_) > 0, joined).otherwise(F.col(text))
+    count = F.coalesce(F.when(F.size(made_) > 0, F.size(F.filter(made_, lambda m: m["new"].isNotNull()))), F.lit(0)).cast("long")
+    return named.withColumns({found: count, text: renewed}).drop(values_, made_)

@@ -6,7 +6,7 @@ BENCHMARK = "item_id long, text string"
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
 #: names that operators use for columns of their own
-CLASHING = "shard fp cell count bucket term pos item row k size salt values_ made_ told_ found_ h twice node root words".split()
+CLASHING = "lang_pred score bits_per_byte held_out text_hash told found values made hit_id hit_hash gone chosen shared data n_found shard fp cell count bucket term pos item row k size salt values_ made_ told_ found_ h twice node root words".split()
 
 
 @pytest.fixture
