@@ -44,7 +44,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     listed = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     named = stored(listed.withColumn("item", F.monotonically_increasing_id()))
     exploded = named.select("item", "item_id", F.size("words").alias("length"), F.posexplode("words").alias("ipos", "word"))
-    end = docs.sparkSession.createDataFrame([(END,)], "word string")
+    end = docs.sparkSession.range(1).select(F.lit(END).alias("word"))
     vocabulary = stored(exploded.select("word").unionByName(end).distinct().withColumn("term", F.when(F.col("word") == END, -1).otherwise(F.monotonically_increasing_id())))
     lookup = small(vocabulary)
     items = stored(exploded.join(lookup, "word").drop("word"))
@@ -133,4 +133,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs without any benchmark window."""
     hits = small(stored(phrase_hits(build_index(docs, benchmark), width).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()))
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_hash")), "left_anti")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]) & (F.xxhash64(docs["text"]) == hits["hit_hash"]), "left_anti")
