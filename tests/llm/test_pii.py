@@ -88,6 +88,22 @@ def test_short_secrets_and_access_keys(spark):
     assert (word, letters, digits) == ("ERTIONSHONERTIONSHON", "deadbeefdeadbeefdead", "1234567890123456")
 
 
+def test_single_characters_long_and_upper_case_secrets_and_american_dates(spark):
+    upper, long = "6A0E75EE07641E38AD", "24be64439e3e49cf46b2d7c90f3602a3" * 4 + "7"
+    (text, n), (again, _), (vast, m) = made(spark, f"j@example.org 7@example.org {upper} {long} 12/25/2024 01.13.2020", f"x {long} j@example.org", "0a" * 50_000)
+    letter, digit, new_upper, new_long, date_, dotted = text.split(" ")
+    assert re.fullmatch(r"[a-ik-z]@example\.org", letter) and re.fullmatch(r"[0-689]@example\.org", digit) and again == f"x {new_long} {letter}"
+    assert new_upper != upper and re.sub("[A-F]", "A", re.sub("[0-9]", "0", new_upper)) == re.sub("[A-F]", "A", re.sub("[0-9]", "0", upper))
+    assert len(new_long) == 129 and all(new_long[k : k + 64] != long[k : k + 64] for k in (0, 64, 128)) and new_long[:64] != new_long[64:128]
+    assert re.fullmatch(r"(0[1-9]|1[0-2])/(1[3-9]|[23]\d)/(19|20)\d\d", date_) and date_ != "12/25/2024" and re.fullmatch(r"(0[1-9]|1[0-2])\.(1[3-9]|[23]\d)\.(19|20)\d\d", dotted)
+    assert n == 6 and m == 1 and len(vast) == 100_000 and re.fullmatch(r"(\d[a-f])+", vast)
+
+
+def test_american_dates_stay_apart(spark):
+    days = [f"{m:02}/{d:02}/2024" for m in range(1, 13) for d in range(13, 29)]
+    assert len({text for text, n in made(spark, *days) if n == 1}) == len(days)
+
+
 @pytest.mark.parametrize("text", [None, "", "no numbers", "12", "4" * 30, "a@b", "@@", "1.2.3", "x" * 100_000 + "@", "1-" * 50_000])
 def test_left_alone(spark, text):
     assert made(spark, text) == [(text, 0)]
