@@ -165,6 +165,17 @@ def test_junk_is_told_from_prose(spark, folder):
     assert np.mean([found[k] for k in range(400) if k % 5]) > 0.97
 
 
+def test_thresholds_cover_all_good_rows(spark):
+    rng = random.Random(6)
+    rows = [(k, prose("en", rng.randrange(1, 60), rng), "en") for k in range(120)] + [(k, prose("de", 30, rng), "de") for k in (500, 501)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    found = kneser_ney.quality(docs, labels, quantile=1.0, slack=1.0, trusted=20).collect()
+    assert len(found) == 122 and all(r["keep"] for r in found)
+    for lang in ("en", "de"):
+        worst = max(r["perplexity"] for r in found if r["lang"] == lang)
+        assert all(worst <= r["threshold"] < worst * 1.001 for r in found if r["lang"] == lang)
+
+
 # toxicity
 
 
