@@ -132,6 +132,8 @@ def fourier_resample(x: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n // 2 + 1, complex)
     m = min(len(spectrum), len(out))
     out[:m] = spectrum[:m]
+    if n > len(x) and len(x) % 2 == 0:
+        out[m - 1] /= 2  # the highest frequency of an even number of samples stands for its negative too
     if n < len(x) and n % 2 == 0:
         out[-1] = 2 * out[-1].real if len(spectrum) > m else out[-1].real
     return np.fft.irfft(out, n) * n / len(x)
@@ -140,19 +142,22 @@ def fourier_resample(x: np.ndarray, n: int) -> np.ndarray:
 def resample(packets: DataFrame, factor: float, *keys: str) -> DataFrame:
     """Packets (keys, start, data, fold) at `factor` times their rate: Fourier for data, linear for folds.
 
-    start counts samples of the new rate. A packet is a bounded array; masked ones must be split first.
+    start counts samples of the new rate. A packet is a bounded array; masked ones must be split first. At a factor above 1,
+    one sample stays as it is, two or three are joined by the one wave through them.
     """
 
     def run(batches):
         for batch in batches:
-            for row, (data, fold) in enumerate(zip(batch["data"], batch["fold"], strict=True)):
+            made: list[tuple[list[float], list[float]]] = []
+            for data, fold in zip(batch["data"], batch["fold"], strict=True):
                 x, f = np.asarray(data, float), np.asarray(fold, float)
                 if np.isnan(x).any():
                     raise ValueError("masked packets must be split before they are resampled")
                 n = max(1, int(round(len(x) * factor)))
                 at = np.arange(n) / factor
                 inside = at <= len(x) - 1
-                batch.at[row, "data"], batch.at[row, "fold"] = fourier_resample(x, n)[inside], np.interp(at, np.arange(len(f)), f)[inside]
+                made.append((fourier_resample(x, n)[inside].tolist(), np.interp(at, np.arange(len(f)), f)[inside].tolist()))
+            batch["data"], batch["fold"] = [m[0] for m in made], [m[1] for m in made]
             batch["start"] = np.rint(batch["start"] * factor).astype(np.int64)
             yield batch
 

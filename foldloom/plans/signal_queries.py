@@ -10,7 +10,7 @@ from foldloom.operators.frames import in_runs
 from foldloom.plans.catalog import query
 from foldloom.plans.pipeline import picking, preprocessing
 from foldloom.plans.series_queries import SHARES, grid, instrument_windows
-from foldloom.sources.packets import to_packets, to_samples
+from foldloom.sources.packets import to_packets, to_samples, unmasked
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,8 +40,8 @@ def carl_trigger(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fft_resample")
 def fft_resample(spark: SparkSession, folder: str) -> DataFrame:
-    """Full packets of 48 hours at twice the rate."""
-    packets = to_packets(samples(spark, folder), 48, "id").where("not exists(data, x -> x is null) and size(data) > 3")
+    """Packets of 48 hours at twice the rate, each split at its gaps; a piece of one sample stays as it is."""
+    packets = unmasked(to_packets(samples(spark, folder), 48, "id"), "id")
     return to_samples(dsp.resample(packets, 2.0, "id"), "id")
 
 

@@ -54,6 +54,17 @@ def to_packets(samples: DataFrame, size: int, *keys: str) -> DataFrame:
     return filled.select(*keys, "start", F.size("grid_").alias("npts"), data.alias("data"), fold.alias("fold"))
 
 
+def unmasked(packets: DataFrame, *keys: str) -> DataFrame:
+    """The contiguous unmasked pieces of packets (keys, start, data, fold), as packets of their own."""
+    at = F.when(F.size("data") > 0, F.sequence(F.lit(0), F.size("data") - 1)).otherwise(F.array().cast("array<int>"))
+    live = lambda i: F.get("data", i).isNotNull() & ~F.isnan(F.get("data", i))
+    alone = lambda i: ~F.coalesce(live(i), F.lit(False))
+    bounds = F.zip_with(F.filter("at_", lambda i: live(i) & alone(i - 1)), F.filter("at_", lambda i: live(i) & alone(i + 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pieces = packets.select(*keys, "start", "data", "fold", at.alias("at_")).withColumn("piece_", F.explode(bounds))
+    part = lambda c: F.slice(c, F.col("piece_.a") + 1, F.col("piece_.b") - F.col("piece_.a") + 1).alias(c)
+    return pieces.select(*keys, (F.col("start") + F.col("piece_.a")).alias("start"), part("data"), part("fold"))
+
+
 def invalid(packets: DataFrame) -> DataFrame:
     """Packets that break an invariant: unequal lengths, or a masked sample with a fold."""
     masked: Column = F.exists(F.arrays_zip("data", "fold"), lambda x: x["data"].isNull() & (x["fold"] != 0))

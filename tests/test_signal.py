@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foldloom.functions import ids, shapes
 from foldloom.operators import collate, dsp, frames, pairs, predict, series, trigger, windows
 from foldloom.plans import pipeline
-from foldloom.sources import messages
+from foldloom.sources import messages, packets
 
 from .test_stack import packet, table
 
@@ -103,6 +103,18 @@ def test_resample_of_a_sine():
     assert np.allclose(dsp.fourier_resample(x, 50), x[::2])
 
 
+def test_packets_with_gaps_are_resampled_in_pieces(spark):
+    x = np.sin(np.arange(20))
+    data = [float(v) for v in x]
+    data[4] = data[11] = data[13] = None
+    rows = packet(spark, ("a", 100, data, None))
+    pieces = {r["start"]: r["data"] for r in packets.unmasked(packets.to_packets(rows, 48, "id"), "id").collect()}
+    assert pieces == {100: data[:4], 105: data[5:11], 112: data[12:13], 114: data[14:]}
+    found = table(packets.to_samples(dsp.resample(packets.unmasked(packets.to_packets(rows, 48, "id"), "id"), 2.0, "id"), "id"))
+    assert {k // 2 - 100 for k in found if k % 2 == 0} == {k for k, v in enumerate(data) if v is not None} and len(found) == 7 + 11 + 1 + 11
+    assert all(found[2 * (100 + k)][0] == pytest.approx(v) for k, v in enumerate(data) if v is not None)
+
+
 def test_characteristic_functions():
     x = np.r_[np.ones(50), 5 * np.ones(10)]
     assert dsp.recursive_sta_lta(x, 3, 20)[:20].tolist() == [0] * 20 and dsp.recursive_sta_lta(x, 3, 20)[52] > 2
