@@ -51,6 +51,14 @@ def fill_components(samples: DataFrame, length: int, components: Sequence[str],
     return taken.unionByName(blank.select(*by, "component", "idx", F.lit(0.0).alias("value"), F.lit(0.0).alias("fold")))
 
 
+def whole(samples: DataFrame, windows: DataFrame, by: Sequence[str] = ("instrument", "k")) -> DataFrame:
+    """Every sample number (first to last of windows) of every component of samples; gaps have value 0 and fold 0."""
+    each = samples.select(*by, "component").distinct().join(windows, list(by)).select(*by, "component", F.explode(F.sequence("first", "last")).alias("idx"))
+    given = samples.select(*by, "component", "idx", "value", "fold")
+    fold = F.when(F.col("value").isNull(), 0.0).otherwise(F.coalesce("fold", F.lit(0.0)))
+    return each.join(given, [*by, "component", "idx"], "left").select(*by, "component", "idx", F.coalesce("value", F.lit(0.0)).alias("value"), fold.alias("fold"))
+
+
 def tensor(samples: DataFrame, components: Sequence[str], length: int, by: Sequence[str] = ("instrument", "k")) -> DataFrame:
     """Windows as arrays (component x sample) of floats; windows without all components and samples are left out.
 

@@ -28,6 +28,12 @@ def placed(samples: DataFrame, by: Sequence[str], primary: Column, length: int,
     return joined.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
 
 
+def spans(placed: DataFrame, by: Sequence[str], length: int, step: int) -> DataFrame:
+    """by, k, first, last of the windows that hold any of the placed samples."""
+    first = F.col("anchor") + F.col("k") * step
+    return placed.select(*by, "k", first.alias("first"), (first + length - 1).alias("last")).distinct()
+
+
 def ready(samples: DataFrame, by: Sequence[str], ids: str, primary: Column, length: int, step: int, min_valid: float = 0.9, threshold: float = 1.0, delay: int = 0, eager: bool = False) -> DataFrame:
     """by, k, first, last, valid_fraction of the windows that are ready.
 

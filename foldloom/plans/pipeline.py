@@ -139,6 +139,7 @@ def picking(rows: DataFrame, components: str, length: int, step: int, blinding:
     placed = windows.placed(rows, ["instrument"], primary, length, step)
     predict.check_blinding(length - step, blinding)
     filled = collate.fill_components(placed, length, components, "secondary", primary_share=0.9, secondary_share=0.8)
+    filled = collate.whole(filled, windows.spans(placed, ["instrument"], length, step))
     tensors = collate.tensor(filled, components, length)
     scored = predict.predict(tensors, {"fast": predict.energy_ratio(max(1, length // 12), max(2, length // 3))}, ("Detection", "P", "S"), "ER").where("label in ('P', 'S')")
     per = measure.collapse_fold(filled, ["instrument", "k"])

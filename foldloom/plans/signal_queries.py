@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.operators import collate, dsp, predict, series, trigger
+from foldloom.operators import collate, dsp, predict, series, trigger, windows
 from foldloom.operators.frames import in_runs
 from foldloom.plans.catalog import query
 from foldloom.plans.pipeline import picking, preprocessing
@@ -56,7 +56,8 @@ def lsq_gaussian(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("predict_multiweight")
 def predict_multiweight(spark: SparkSession, folder: str) -> DataFrame:
-    filled = collate.fill_components(instrument_windows(spark, folder), 24, "PCS", "secondary", **SHARES)
+    placed = instrument_windows(spark, folder)
+    filled = collate.whole(collate.fill_components(placed, 24, "PCS", "secondary", **SHARES), windows.spans(placed, ["instrument"], 24, 24))
     tensors = collate.tensor(filled, "PCS", 24)
     return predict.predict(tensors, {"fast": predict.energy_ratio(2, 8), "slow": predict.energy_ratio(4, 12)}, ("Detection", "P", "S"), "ER")
 

@@ -115,6 +115,24 @@ def test_packets_with_gaps_are_resampled_in_pieces(spark):
     assert all(found[2 * (100 + k)][0] == pytest.approx(v) for k, v in enumerate(data) if v is not None)
 
 
+def test_windows_with_gaps_reach_the_scorer(spark):
+    rows = [("i", c, k, float(k), 1.0) for c in "PCS" for k in range(48) if (c, k) not in (("P", 5), ("C", 6), ("S", 23), ("S", 24), ("P", 40))]
+    df = spark.createDataFrame(rows, "instrument string, component string, idx long, value double, fold double")
+    placed = windows.placed(df, ["instrument"], F.col("component") == "P", 24, 12)
+    filled = collate.fill_components(placed, 24, "PCS", "secondary", primary_share=0.9, secondary_share=0.8)
+    given = collate.whole(filled, windows.spans(placed, ["instrument"], 24, 12))
+    found = {r["k"]: r["tensor"] for r in collate.tensor(given, "PCS", 24).collect()}
+    assert set(found) == {0, 1, 2} and found[0][0] == [0.0 if k == 5 else float(k) for k in range(24)] and found[1][2][11:14] == [0.0, 0.0, 25.0]
+    assert {(r["component"], r["idx"]) for r in given.where("k = 0 and fold = 0").collect()} == {("P", 5), ("C", 6), ("S", 23)}
+
+
+def test_picks_in_spite_of_gaps(spark):
+    rows = [("i", c, k, 50.0 if 60 <= k < 66 else 1.0, 1.0) for c in "PCS" for k in range(120) if k % 24 != 1]
+    df = spark.createDataFrame(rows, "instrument string, component string, idx long, value double, fold double")
+    found = pipeline.picking(df, "PCS", length=24, step=12, blinding=2, thr_on=0.6, thr_off=0.3).collect()
+    assert found
+
+
 def test_characteristic_functions():
     x = np.r_[np.ones(50), 5 * np.ones(10)]
     assert dsp.recursive_sta_lta(x, 3, 20)[:20].tolist() == [0] * 20 and dsp.recursive_sta_lta(x, 3, 20)[52] > 2
