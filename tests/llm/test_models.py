@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -75,48 +76,53 @@ def test_held_out_languages(spark, folder):
 # weighted backoff automaton
 
 
-def test_automaton_against_plain_backoff(spark, folder):
-    rng = random.Random(1)
-    vocabulary = [f"w{k}" for k in range(12)]
-    texts = [" ".join(rng.choices(vocabulary, weights=range(12, 0, -1), k=rng.randrange(1, 60))) for _ in range(300)] + ["", None, "Never seen words", "W1 w2 never"]
-    rows = documents(*texts)
-    found = {r["doc_id"]: r for r in QUERIES["op5_backoff_automaton"](spark, folder(rows)).collect()}
-    tokens = {r[0]: (r[1] or "").lower().split() + [None] for r in rows}
-    training = [t for k, t in tokens.items() if not held_out(k, 7)]
-    counts = collections.Counter(w for t in training for w in t)
-    total, kinds, d = sum(counts.values()), len(counts), lm_score.DISCOUNT
-    grams = {n: {g: c for g, c in collections.Counter(tuple(t[i : i + n]) for t in training for i in range(len(t) - n + 1)).items() if c >= lm_score.MIN_COUNT} for n in (2, 3)}
-    names = {w for w, c in counts.items() if c * 2**14 >= total and c >= 2}
-    grams = {n: {g: c for g, c in x.items() if set(g) <= names} for n, x in grams.items()}
-
-    def uni(w):
-        return (counts[w] + 1) / (total + kinds + 1)
+def plain_backoff(rows, k):
+    """Tokens of each row, training counts by n-gram, and the probability function of the smoothed model, all without thresholds."""
+    tokens = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in r[1] or "")) + [None] for r in rows}
+    training = [t for d, t in tokens.items() if not held_out(d, 7)]
+    counts = collections.Counter(tuple(t[i : i + n]) for t in training for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    total, kinds = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
 
     def p(history, w):
         if not history:
-            return uni(w)
-        n = len(history) + 1
-        kept = {g[-1]: c for g, c in grams[n].items() if g[:-1] == history}
-        if not kept:
-            return p(history[1:], w)
-        whole = counts[history[0]] if n == 2 else grams[2][history]
-        mass = 1 - sum(c - d for c in kept.values()) / whole
-        return (max(kept.get(w, 0) - d, 0) / whole if w in kept else 0) + mass * p(history[1:], w)
-
-    def log(text):
-        out = 0.0
-        for i, w in enumerate(text):
-            back = [v if v in names else object() for v in text[max(0, i - 2) : i]]
-            out += math.log10(p(tuple(back), w))
-        return out
-
-    for k, t in tokens.items():
-        r = found[k]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(w in counts for w in t), total, held_out(k, 7))
-        assert r["base_score"] == pytest.approx(sum(math.log10(uni(w)) for w in t))
-        assert r["score"] == pytest.approx(log(t))
-    for history in [(), ("w0",), ("w0", "w1"), ("w11", "w0")]:
-        assert sum(p(history, w) for w in counts) + p(history, "unseen") == pytest.approx(1)
+            return (counts[w,] + 1) / (total + kinds + 1)
+        lower, c = p(history[1:], w), counts[history]
+        return (counts[*history, w] + k[len(history) - 1] * lower) / (c + k[len(history) - 1]) if c else lower
+
+    return tokens, counts, total, p
+
+
+@pytest.mark.parametrize(("block_bytes", "piece_bytes", "shard_bytes"), [(16_000_000, 1 << 20, 8_000_000), (900, 150, 700)])
+def test_automaton_against_plain_backoff(spark, monkeypatch, block_bytes, piece_bytes, shard_bytes):
+    monkeypatch.setattr(lm_score, "PIECE_BYTES", piece_bytes)
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", shard_bytes)
+    rng = random.Random(1)
+    vocabulary = [f"w{k}" for k in range(12)] + ["É", "x" * 70, "x" * 64 + "y" * 6, "x" * 200]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(len(vocabulary), 0, -1), k=rng.randrange(1, 90))) for _ in range(300)] + ["", None, " \n ", "Never seen words", "W1 w2 never", "rare\x0btriple\tonce", "rare triple once", "rare triple other"]
+    texts += [" ".join(rng.choices(vocabulary, k=n)) for n in (lm_score.STRETCH - 1, lm_score.STRETCH, 3 * lm_score.STRETCH + 5)]
+    rows = documents(*texts)
+    k = (60.0, 4.0)
+    docs = spark.createDataFrame([(r[0], r[1], held_out(r[0], 7)) for r in rows], "doc_id long, text string, held_out boolean")
+    found = {r["doc_id"]: r for r in lm_score.scored(docs, k, block_bytes).collect()}
+    tokens, counts, total, p = plain_backoff(rows, k)
+    assert set(found) == set(tokens)
+    for d, t in tokens.items():
+        r = found[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum((w,) in counts for w in t), total, held_out(d, 7))
+        assert r["base_score"] == pytest.approx(sum(math.log10(p((), w)) for w in t))
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t)))
+    for history in [(), ("w0",), ("w0", "w1"), ("w11", "w0"), ("rare", "triple")]:
+        assert sum(p(history, g[0]) for g in counts if len(g) == 1) + p(history, "unseen") == pytest.approx(1)
+
+
+def test_one_trigram_of_rare_words_changes_a_score(spark, folder):
+    rng = random.Random(7)
+    filler = [prose("en", 30, rng) for _ in range(60)]
+    ids = [d for d in range(1, 200) if not held_out(d, 7)]
+    test = next(d for d in range(200, 300) if held_out(d, 7))
+    make = lambda last, name: folder([(d, t, "en", "s", 0) for d, t in zip(ids, [*filler, last], strict=False)] + [(test, "zebra quartz onyx", "en", "s", 0)], name=name)
+    score = lambda path: next(r["score"] for r in QUERIES["op5_backoff_automaton"](spark, path).collect() if r["doc_id"] == test)
+    assert score(make("zebra quartz onyx", "a")) > score(make("quartz zebra onyx", "b")) + 0.3
 
 
 # Kneser-Ney
