@@ -246,11 +246,10 @@ class Automaton:
     @classmethod
     def build(cls, counts: np.ndarray, total: int, kinds: int, prior: tuple[float, ...]) -> Automaton:
         """counts: length x token, of the n-gram that ends at each token."""
-        before = np.concatenate((np.zeros((ORDER, 1)), counts[:, :-1]), axis=1)
         chance = (counts[0] + 1) / (total + kinds + 1)
         arc, loss = [np.log10(chance)], [np.zeros(counts.shape[1])]
         for n in range(1, ORDER):
-            k, history = prior[n - 1], before[n - 1]
+            k, history = prior[n - 1], np.concatenate(([0.0], counts[n - 1, :-1]))
             chance = np.where(history > 0, (counts[n] + k * chance) / (history + k), chance)
             arc.append(np.log10(chance))
             loss.append(np.log10(k / (history + k)))
@@ -305,12 +304,15 @@ def scores(held: DataFrame, returned: DataFrame, bits: int, total: int, kinds: i
         prints = np.concatenate([p for _, p in listed])
         order = np.argsort(prints)
         ranked = prints[order]
-        rank = np.cumsum(np.diff(ranked, prepend=ranked[:1]) != 0)
+        rank = np.cumsum(np.diff(ranked, prepend=ranked[:1]) != 0, dtype=np.int32)
+        del ranked
         prints[order] = found[rank]
+        del order, rank, found
         counts, at = np.zeros((ORDER, len(tokens.words))), 0
         for n, (ends, _) in enumerate(listed):
             counts[n, ends] = prints[at : at + len(ends)]
             at += len(ends)
+        del prints, listed
         automaton = Automaton.build(counts, total, kinds, prior)
         mine = tokens.own
         size, piece = len(own["rows"]), tokens.piece[mine]
@@ -330,7 +332,7 @@ def scores(held: DataFrame, returned: DataFrame, bits: int, total: int, kinds: i
     return held.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(run, fields)
 
 
-def scored(docs: DataFrame, prior: tuple[float, ...] = (500.0, 4.0), block_bytes: int = 16_000_000, spare: int = 24) -> DataFrame:
+def scored(docs: DataFrame, prior: tuple[float, ...] = (500.0, 4.0), block_bytes: int = 8_000_000, spare: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, held_out)."""
     held = stored(blocks(docs, block_bytes))
     size = held.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)).alias("bytes")).first()["bytes"]
