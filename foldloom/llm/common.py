@@ -50,6 +50,25 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def joined(rows: DataFrame, one: DataFrame, key: str, salt: str, size: int | None = None, hot_rows: int = 1_000_000) -> DataFrame:
+    """rows joined on key with `one`, which has one row a key.
+
+    Keys of over hot_rows rows, and over 1 / 4096 of all, are hot: at most 4,096, so their list is broadcast. Their rows are dealt by
+    the hash of `salt`, and their row of `one` is repeated for each share. size: a bound of the number of rows, counted if not given.
+    """
+    size = rows.count() if size is None else size
+    if size <= hot_rows:
+        return rows.join(one, key)
+    limit = max(hot_rows, size >> 12)
+    hot = stored(rows.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("shares_")))
+    if hot.isEmpty():
+        return rows.join(one, key)
+    shares = F.coalesce("shares_", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("share_", F.pmod(F.xxhash64(salt), shares).cast("int")).drop("shares_")
+    repeated = one.join(F.broadcast(hot), key, "left").withColumn("share_", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares_")
+    return dealt.join(repeated, [key, "share_"]).drop("share_")
+
+
 def long_texts(spark: SparkSession, rows: int = 1000) -> None:
     """Send Python workers batches of at most `rows` rows, for texts of some thousand bytes: Spark's 10,000 hold tens of
     megabytes in the JVM and again in each worker. A smaller setting of the session stays.
