@@ -57,7 +57,7 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

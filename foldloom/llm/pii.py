@@ -1,7 +1,8 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel permutation, in DataFrame functions only.
 
 Numbers and dates are found by patterns and validated (Luhn digit of card numbers, octets of IPv4 addresses, calendar
-of dates, area of social security numbers). The free characters of a value are read as digits of mixed radix, and an
+of dates, area of social security numbers; a telephone number needs a country code, an area code in brackets, or an area and
+an exchange that begin with 2 to 9). The free characters of a value are read as digits of mixed radix, and an
 eight-round Feistel network permutes them; the round function is SHA-512 of key, kind, radices, round and the other
 half. Every half-round adds a keyed number digit by digit, modulo its radix, so the whole is a bijection on the values
 of that format. Equal values get equal pseudonyms in every document, and a pseudonym is again valid in its format: card numbers
@@ -12,11 +13,13 @@ a hexadecimal run is permuted in pieces of 64, each keyed by the piece before it
 is valid only as month, day, year is permuted among such dates.
 
 Defined results: a null text stays null with no finds; values that fail validation stay as they are; equal rows stay
-equal; all columns but the text pass unchanged, but for one named like the number of finds, which that replaces.
+equal, repeated ones too; a very long text is worked on whole, in the JVM's memory, like any other; an empty table gives an
+empty one; all columns but the text pass unchanged, but for one named like the number of finds, which that replaces.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
@@ -28,8 +31,9 @@ from foldloom.llm.common import free
 ROUNDS = 8
 #: half a value has at most so many digits: four hexadecimal digits of the hash stand behind each
 MOST_DIGITS = 32
-KEY_SETTING = "spark.foldloom.pii.key"
-TEST_KEY = "not-a-secret: set spark.foldloom.pii.key"
+#: a name that Spark's own redaction hides in its pages and logs
+KEY_SETTING = "spark.foldloom.pii.secret"
+_DRAWN: dict[str, str] = {}
 
 #: kinds in order of precedence
 PATTERNS = {
@@ -40,7 +44,7 @@ PATTERNS = {
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_date": r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])|\([0-9]{3}\)[ .-]?|[2-9][0-9]{2}[ .-](?=[2-9]))[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
@@ -61,7 +65,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def feistel(digits: Column, radices: Column, key: str, kind: str | Column, inverse: bool = False) -> Column:
+def feistel(digits: Column, radices: Column, key: Column, kind: str | Column, inverse: bool = False) -> Column:
     """Permute digits (array<bigint>) of the given radices; inverse undoes it. Fewer than two digits stay."""
     sign = -1 if inverse else 1
     names = ("left", "right", "left_radix", "right_radix", "text")
@@ -75,7 +79,7 @@ def feistel(digits: Column, radices: Column, key: str, kind: str | Column, inver
         return held(F.slice(d, 1, half), F.slice(d, half + 1, F.size(d) - half), F.slice(r, 1, half), F.slice(r, half + 1, F.size(r) - half), F.array_join(r.cast("array<string>"), ","))
 
     def moved(own: Column, radix: Column, other: Column, text: Column, turn: Column) -> Column:
-        told = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), text, turn.cast("string"), F.array_join(other.cast("array<string>"), ",")).cast("binary"), 512)
+        told = F.sha2(F.concat_ws("|", key, F.lit(kind), text, turn.cast("string"), F.array_join(other.cast("array<string>"), ",")).cast("binary"), 512)
         step = lambda t: F.transform(F.arrays_zip(own.alias("d"), radix.alias("r")), lambda x, i: F.pmod(x["d"] + sign * _number(F.substring(t, 4 * i + 1, 4), 16), x["r"]))
         return _let(told, step)
 
@@ -93,9 +97,9 @@ def feistel(digits: Column, radices: Column, key: str, kind: str | Column, inver
     return _let(F.struct(digits.alias("digits"), radices.alias("radices")), permuted)
 
 
-def _shifted(digits: Column, radices: Column, key: str, kind: str | Column) -> Column:
+def _shifted(digits: Column, radices: Column, key: Column, kind: str | Column) -> Column:
     """A single digit, moved on by a keyed number of 1 to its radix - 1."""
-    told = _number(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.array_join(radices.cast("array<string>"), ",")).cast("binary"), 512), 1, 8), 16)
+    told = _number(F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), F.array_join(radices.cast("array<string>"), ",")).cast("binary"), 512), 1, 8), 16)
     return F.transform(F.arrays_zip(digits.alias("d"), radices.alias("r")), lambda x: F.pmod(x["d"] + 1 + F.pmod(told, x["r"] - 1), x["r"]))
 
 
@@ -117,7 +121,7 @@ def _filled(text: Column, free: str, values: Column, alphabets: Column) -> Colum
     return _let(F.struct(values.alias("values"), alphabets.alias("alphabets")), lambda given: F.aggregate(_letters(text), start(given), put, lambda s: s["out"]))
 
 
-def _spelled(text: Column, free: str, key: str, kind: str | Column, classes: tuple[str, ...]) -> Column:
+def _spelled(text: Column, free: str, key: Column, kind: str | Column, classes: tuple[str, ...]) -> Column:
     """Permute the characters of class `free`, each within its own alphabet."""
 
     def alphabet(c: Column) -> Column:
@@ -156,7 +160,7 @@ def _written(text: Column, digits: Column) -> Column:
     return _filled(text, "[0-9]", digits, F.transform(digits, lambda _: F.lit("0123456789")))
 
 
-def _card(text: Column, key: str) -> Column:
+def _card(text: Column, key: Column) -> Column:
     def made(digits: Column) -> Column:
         body = F.slice(digits, 1, F.size(digits) - 1)
         new = _let(feistel(body, _ten(body), key, "card"), lambda x: F.concat(x, F.array(_luhn(x))))
@@ -165,13 +169,13 @@ def _card(text: Column, key: str) -> Column:
     return _let(_digits(text), made)
 
 
-def _ipv4(text: Column, key: str) -> Column:
+def _ipv4(text: Column, key: Column) -> Column:
     octets = F.transform(F.split(text, r"\."), lambda c: c.cast("long"))
     new = feistel(octets, F.transform(octets, lambda _: F.lit(256).cast("long")), key, "ipv4")
     return F.when(F.array_max(octets) <= 255, F.array_join(new.cast("array<string>"), "."))
 
 
-def _date(text: Column, key: str, layout: str) -> Column:
+def _date(text: Column, key: Column, layout: str) -> Column:
     day = F.datediff(F.try_to_timestamp(text, F.lit(layout)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
     radices = F.array(*[F.lit(r).cast("long") for r in DAY_RADICES])
     inside = day.between(0, DAY_RADICES[0] * DAY_RADICES[1] - 1)
@@ -184,7 +188,7 @@ def _date(text: Column, key: str, layout: str) -> Column:
     return F.when(inside, _let(new, written))
 
 
-def _ssn(text: Column, key: str) -> Column:
+def _ssn(text: Column, key: Column) -> Column:
     """Area 1-665 or 667-899, group 1-99, serial 1-9999, as three digits of those radices."""
     area, group, serial = (_number(F.regexp_extract(text, r"^(\d{3})-(\d{2})-(\d{4})$", k)) for k in (1, 2, 3))
     digits = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
@@ -194,7 +198,7 @@ def _ssn(text: Column, key: str) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), _let(new, written))
 
 
-def _phone(text: Column, key: str) -> Column:
+def _phone(text: Column, key: Column) -> Column:
     """The last ten digits; what stands before them is the country code."""
 
     def made(national: Column) -> Column:
@@ -204,13 +208,13 @@ def _phone(text: Column, key: str) -> Column:
     return _let(F.regexp_extract(text, r"\(?[0-9]{3}\)?[ .-]*[0-9]{3}[ .-][0-9]{4}$", 0), made)
 
 
-def _email(text: Column, key: str) -> Column:
+def _email(text: Column, key: Column) -> Column:
     local = F.substring_index(text, "@", 1)
     classes = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return F.concat(_spelled(local, "[0-9A-Za-z]", key, "email", classes), F.lit("@"), F.substring_index(text, "@", -1))
 
 
-def _secret(text: Column, key: str) -> Column:
+def _secret(text: Column, key: Column) -> Column:
     classes = ("0123456789", "abcdef", "ABCDEF")
 
     def made(parts: Column) -> Column:
@@ -225,7 +229,7 @@ def kind_of(text: Column) -> Column:
     return F.coalesce(*[F.when(text.rlike(f"^(?:{p})$"), F.lit(kind)) for kind, p in PATTERNS.items()])
 
 
-def pseudonym(text: Column, key: str) -> Column:
+def pseudonym(text: Column, key: Column) -> Column:
     """The pseudonym of a found value; null where it is not valid."""
     made = {
         "email": _email(text, key),
@@ -243,13 +247,32 @@ def pseudonym(text: Column, key: str) -> Column:
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key of the session; a fixed one for tests where none is set."""
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    """The key of the session's setting; there is none by default."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING}, or pass one")
+    return key
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of the setting, or else one drawn at random for this application: pseudonyms then agree within it only,
+    and nobody can undo them.
+    """
+    if spark.conf.get(KEY_SETTING, None):
+        return key_of(spark)
+    return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def pseudonymized(docs: DataFrame, key: str | None = None, text: str = "text", found: str = "n_found") -> DataFrame:
-    """docs with pseudonyms in place of the valid values in its text, and their number in a new column `found`."""
-    key = key_of(docs.sparkSession) if key is None else key
+    """docs with pseudonyms in place of the valid values in its text, and their number in a new column `found`.
+
+    The key is read from a table of one row by a scalar subquery, so plans, pages and event logs don't show it.
+    """
+    spark = docs.sparkSession
+    held = spark.createDataFrame([(key_of(spark) if key is None else key,)], "key string").scalar()
+    key_ = free(docs, "key")
+    docs = docs.withColumn(key_, held)
+    key = F.col(key_)
     some = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     values_, made_ = free(docs, "values"), free(docs, "made")
     values = F.when(some, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -260,4 +283,4 @@ def pseudonymized(docs: DataFrame, key: str | None = None, text: str = "text", f
     joined = F.array_join(F.flatten(F.zip_with(around, made_, lambda a, m: F.array(a, F.coalesce(m["new"], m["old"], F.lit(""))))), "")
     renewed = F.when(F.size(made_) > 0, joined).otherwise(F.col(text))
     count = F.coalesce(F.when(F.size(made_) > 0, F.size(F.filter(made_, lambda m: m["new"].isNotNull()))), F.lit(0)).cast("long")
-    return named.withColumns({found: count, text: renewed}).drop(values_, made_)
+    return named.withColumns({found: count, text: renewed}).drop(values_, made_, key_)

@@ -52,7 +52,7 @@ def test_run_against_brute_force(spark, folder):
     kept = {k: t for k, t in kept.items() if roots[k] == k}
     kept = {k: t for k, t in kept.items() if not brute([(k, t)], items)[k][4]}
     frame = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
-    named = {r["doc_id"]: r["text"] for r in pii.pseudonymized(frame).collect()}
+    named = {r["doc_id"]: r["text"] for r in pii.pseudonymized(frame, pii.session_key(spark)).collect()}
     assert any(named[k] != t for k, t in kept.items())
     expected = {}
     for k, t in named.items():
