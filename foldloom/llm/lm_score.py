@@ -38,7 +38,7 @@ ORDER = 3
 #: the end of a text; UTF-8 holds no such byte
 END = b"\xff"
 PIECE_BYTES = 1 << 20
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 5_000_000
 STRETCH = 256
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -332,7 +332,7 @@ def scores(held: DataFrame, returned: DataFrame, bits: int, total: int, kinds: i
     return held.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(run, fields)
 
 
-def scored(docs: DataFrame, prior: tuple[float, ...] = (500.0, 4.0), block_bytes: int = 8_000_000, spare: int = 24) -> DataFrame:
+def scored(docs: DataFrame, prior: tuple[float, ...] = (500.0, 4.0), block_bytes: int = 5_000_000, spare: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, held_out)."""
     held = stored(blocks(docs, block_bytes))
     size = held.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)).alias("bytes")).first()["bytes"]
