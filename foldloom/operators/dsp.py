@@ -1,8 +1,9 @@
 """Signal processing that has no relational form: Fourier resampling, filters, recursive ratios, fits.
 
 Work is dealt by (series, block): a series is cut into blocks of `block` samples, each with `margin` samples of its
-neighbours on both sides, so that a task holds block + 2 x margin samples however long a series is. Filters settle
-within the margin; the result of a block leaves without it. Within a block, gaps split the samples (an operator sees
+neighbours on both sides, so that a task holds block + 2 x margin samples however long a series is. The margin follows the
+operator: the samples it looks back, or the time in which it forgets its start (to 1e-12); the result of a block leaves
+without it. Within a block, gaps split the samples (an operator sees
 contiguous samples only) and results are put together again.
 """
 
@@ -15,12 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, MARGIN = 65_536, 4096
+BLOCK = 65_536
+FORGOTTEN = 1e-12
 Segment = Callable[[np.ndarray], np.ndarray]
 
 
-def by_segment(samples: DataFrame, work: Segment, by: Sequence[str] = ("id",), block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
-    """samples with `work` applied to each contiguous unmasked stretch of each block; it must keep the number of samples."""
+def by_segment(samples: DataFrame, work: Segment, by: Sequence[str] = ("id",), margin: int = 0, block: int = BLOCK) -> DataFrame:
+    """samples with `work` applied to each contiguous unmasked stretch of each block; it must keep the number of samples, and
+    each result must depend on at most `margin` samples on either side.
+    """
+    block = max(block, 2 * margin)
     low, high = F.floor((F.col("idx") - margin) / block), F.floor((F.col("idx") + margin) / block)
     placed = samples.select(*by, "idx", "value", "fold").withColumn("block_", F.explode(F.sequence(low, high)))
 
@@ -41,59 +46,85 @@ def by_segment(samples: DataFrame, work: Segment, by: Sequence[str] = ("id",), b
     return placed.groupBy(*by, "block_").applyInPandas(run, fields)
 
 
-def butterworth(order: int, low: float | None, high: float | None, sampling_rate: float) -> np.ndarray:
-    """Second-order sections (b0 b1 b2 a1 a2) of a low-, high- or band-pass by the bilinear transform; a band is a
-    high-pass followed by a low-pass.
+def butterworth(order: int, low: float | None, high: float | None, sampling_rate: float, stop: bool = False) -> np.ndarray:
+    """Second-order sections (b0 b1 b2 a1 a2) of a low-, high- or band-pass, or a band-stop, by the bilinear transform of the
+    analogue prototype; both corners are transformed together.
+    """
+    cuts = [c for c in (low, high) if c is not None]
+    if not cuts or not all(0 < c < sampling_rate / 2 for c in cuts) or (len(cuts) == 2 and low >= high) or (stop and len(cuts) < 2):
+        raise ValueError("corners must lie between 0 and half the sampling rate, the low one below the high one")
+    poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    edge = [2 * np.tan(np.pi * c / sampling_rate) for c in cuts]
+    if len(cuts) == 2:
+        width, centre = edge[1] - edge[0], edge[0] * edge[1]
+        half = (width / poles if stop else width * poles) / 2
+        poles = np.concatenate((half + np.sqrt(half**2 - centre + 0j), half - np.sqrt(half**2 - centre + 0j)))
+        turn = 2 * np.arctan(np.sqrt(centre) / 2)
+        zeros = np.array([1, -2 * np.cos(turn), 1]) if stop else np.array([1, 0, -1])
+        still = 0.0 if stop else turn  # where the gain is one
+    else:
+        poles = edge[0] / poles if high is None else edge[0] * poles
+        zeros, still = (np.array([1, -2, 1]), np.pi) if high is None else (np.array([1, 2, 1]), 0.0)
+    z = (2 + poles) / (2 - poles)
+    real = np.sort(z[np.abs(z.imag) < 1e-9].real)
+    sections = [[1.0, -2 * p.real, abs(p) ** 2] for p in z[z.imag >= 1e-9]] + [[1.0, -(a + b), a * b] for a, b in zip(real[::2], real[1::2], strict=False)]
+    out = []
+    for a in sections:
+        out.append([*zeros, *a[1:]])
+    if len(real) % 2:
+        out.append([1.0, zeros[1] / 2, 0.0, -real[-1], 0.0])
+    at = np.exp(-1j * still * np.arange(3))
+    return np.array([[*(np.array(s[:3]) * abs(at @ [1, *s[3:]]) / abs(at @ s[:3])), *s[3:]] for s in out])
+
+
+def recurrence(x: np.ndarray, a1: float, a2: float = 0.0, stretch: int = 128) -> np.ndarray:
+    """y[n] = x[n] - a1 y[n-1] - a2 y[n-2] from rest. Stretches are products with one triangular matrix; the two last values of each
+    carry over to the next.
     """
-    sections = []
-    for cut, rising in ((low, True), (high, False)):
-        if cut is None:
-            continue
-        if not 0 < cut < sampling_rate / 2:
-            raise ValueError("a corner must lie between 0 and half the sampling rate")
-        w = np.tan(np.pi * cut / sampling_rate)
-        for k in range(order // 2):
-            q = 2 * np.sin(np.pi * (2 * k + 1) / (2 * order))
-            a0 = 1 + q * w + w * w
-            b = np.array([1, -2, 1]) / a0 if rising else np.array([w * w, 2 * w * w, w * w]) / a0
-            sections.append([*b, (2 * w * w - 2) / a0, (1 - q * w + w * w) / a0])
-        if order % 2:
-            b = np.array([1, -1, 0]) / (1 + w) if rising else np.array([w, w, 0]) / (1 + w)
-            sections.append([*b, (w - 1) / (1 + w), 0.0])
-    return np.array(sections)
+    h = np.zeros(stretch + 1)  # the answer to one impulse
+    h[0], h[1] = 1.0, -a1
+    for k in range(2, stretch + 1):
+        h[k] = -a1 * h[k - 1] - a2 * h[k - 2]
+    n = -(-len(x) // stretch)
+    parts = np.pad(np.asarray(x, float), (0, n * stretch - len(x))).reshape(n, stretch)
+    at = np.arange(stretch)
+    y = parts @ np.where(at[None, :] >= at[:, None], h[np.maximum(at[None, :] - at[:, None], 0)], 0.0)
+    carry = np.stack([h[1:], -a2 * h[:-1]])  # what the last value and the one before it add
+    for k in range(1, n):
+        y[k] += y[k - 1, -1] * carry[0] + y[k - 1, -2] * carry[1]
+    return y.ravel()[: len(x)]
 
 
 def sos_filter(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     out = np.asarray(x, float)
     for b0, b1, b2, a1, a2 in sections.tolist():
-        y, z1, z2 = np.empty_like(out), 0.0, 0.0
-        for k, v in enumerate(out.tolist()):
-            w = b0 * v + z1
-            z1, z2 = b1 * v - a1 * w + z2, b2 * v - a2 * w
-            y[k] = w
-        out = y
+        before = np.concatenate(([0.0, 0.0], out))
+        out = recurrence(b0 * out + b1 * before[1:-1] + b2 * before[:-2], a1, a2)
     return out
 
 
-def bandpass(samples: DataFrame, low: float | None, high: float | None, sampling_rate: float, order: int = 4, zero_phase: bool = False, **blocks: int) -> DataFrame:
-    """Butterworth filter; zero_phase runs it both ways."""
-    sections = butterworth(order, low, high, sampling_rate)
+def settling(sections: np.ndarray) -> int:
+    """Samples after which the slowest pole has died away."""
+    slowest = max(abs(r) for s in sections for r in np.roots([1.0, *s[3:]]))
+    return int(np.ceil(np.log(FORGOTTEN) / np.log(min(slowest, 1 - 1e-9)))) if slowest > 0 else 2
+
+
+def bandpass(samples: DataFrame, low: float | None, high: float | None, sampling_rate: float, order: int = 4, zero_phase: bool = False, stop: bool = False, by: Sequence[str] = ("id",), **blocks: int) -> DataFrame:
+    """Butterworth filter (stop: the band goes); zero_phase runs it both ways."""
+    sections = butterworth(order, low, high, sampling_rate, stop)
 
     def work(x: np.ndarray) -> np.ndarray:
         y = sos_filter(x, sections)
         return sos_filter(y[::-1], sections)[::-1] if zero_phase else y
 
-    return by_segment(samples, work, **blocks)
+    return by_segment(samples, work, by, settling(sections), **blocks)
 
 
 def recursive_sta_lta(x: np.ndarray, nsta: int, nlta: int) -> np.ndarray:
     """The ratio of exponential means of squares; 0 for the first nlta samples."""
-    s = l = 0.0  # noqa: E741
-    out = np.zeros(len(x))
-    for k, v in enumerate((x * x).tolist()):
-        s += (v - s) / nsta
-        l += (v - l) / nlta  # noqa: E741
-        out[k] = s / l if k >= nlta and l > 0 else 0.0
+    short, long = (recurrence(x * x / n, -(1 - 1 / n)) for n in (nsta, nlta))
+    out = np.divide(short, long, out=np.zeros(len(x)), where=long > 0)
+    out[:nlta] = 0.0
     return out
 
 
@@ -107,15 +138,26 @@ def delayed_sta_lta(x: np.ndarray, nsta: int, nlta: int) -> np.ndarray:
     return out
 
 
-def carl_trigger(x: np.ndarray, nsta: int, nlta: int, ratio: float = 0.8, quiet: float = 0.8) -> np.ndarray:
-    """star - ratio x ltar - |sta - lta| - quiet, over trailing means: sta and lta of values, star and ltar of their rectified rests."""
-    trailing = lambda v, n: np.array([v[max(0, k - n + 1) : k + 1].mean() for k in range(len(v))])
-    sta = trailing(x, nsta)
-    lta = trailing(sta, nlta)
-    star = trailing(np.abs(x - lta), nsta)
-    return star - ratio * trailing(star, nlta) - np.abs(sta - lta) - quiet
+def trailing_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """The mean of the last n samples, of fewer at the start."""
+    total, k = np.concatenate(([0.0], np.cumsum(x))), np.arange(1, len(x) + 1)
+    return (total[k] - total[np.maximum(k - n, 0)]) / np.minimum(k, n)
 
 
+def carl_trigger(x: np.ndarray, nsta: int, nlta: int, ratio: float = 0.8, quiet: float = 0.8) -> np.ndarray:
+    """star - ratio x ltar - |sta - lta| - quiet, over trailing means: sta and lta of values, star and ltar of their rectified rests."""
+    sta = trailing_mean(x, nsta)
+    lta = trailing_mean(sta, nlta)
+    star = trailing_mean(np.abs(x - lta), nsta)
+    return star - ratio * trailing_mean(star, nlta) - np.abs(sta - lta) - quiet
+
+
+#: samples on which a result depends, for nsta and nlta
+LOOKS_BACK: dict[str, Callable[[int, int], int]] = {
+    "recstalta": lambda nsta, nlta: int(np.ceil(np.log(FORGOTTEN) / np.log1p(-1 / max(2, nsta, nlta)))),
+    "delayedstalta": lambda nsta, nlta: nsta + nlta,
+    "carlstatrig": lambda nsta, nlta: 2 * (nsta + nlta),
+}
 CHARACTERISTIC = {"recstalta": recursive_sta_lta, "delayedstalta": delayed_sta_lta, "carlstatrig": carl_trigger}
 
 
@@ -123,12 +165,16 @@ def characteristic(samples: DataFrame, name: str, nsta: int, nlta: int, **blocks
     if name not in CHARACTERISTIC:
         raise ValueError(f"name must be one of {', '.join(CHARACTERISTIC)}")
     work = CHARACTERISTIC[name]
-    return by_segment(samples, lambda x: work(x, nsta, nlta), **blocks)
+    return by_segment(samples, lambda x: work(x, nsta, nlta), margin=LOOKS_BACK[name](nsta, nlta), **blocks)
 
 
-def fourier_resample(x: np.ndarray, n: int) -> np.ndarray:
-    """n samples over the span of x, by cutting or padding its spectrum."""
+def fourier_resample(x: np.ndarray, n: int, window: str | None = None) -> np.ndarray:
+    """n samples over the span of x, by cutting or padding its spectrum; window hann weighs the spectrum down to its highest frequency."""
     spectrum = np.fft.rfft(x)
+    if window == "hann":
+        spectrum = spectrum * (0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(len(spectrum)) + len(x) // 2) / len(x)))
+    elif window is not None:
+        raise ValueError("window must be hann or None")
     out = np.zeros(n // 2 + 1, complex)
     m = min(len(spectrum), len(out))
     out[:m] = spectrum[:m]
@@ -139,11 +185,11 @@ def fourier_resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(out, n) * n / len(x)
 
 
-def resample(packets: DataFrame, factor: float, *keys: str) -> DataFrame:
+def resample(packets: DataFrame, factor: float, *keys: str, window: str | None = None) -> DataFrame:
     """Packets (keys, start, data, fold) at `factor` times their rate: Fourier for data, linear for folds.
 
-    start counts samples of the new rate. A packet is a bounded array; masked ones must be split first. At a factor above 1,
-    one sample stays as it is, two or three are joined by the one wave through them.
+    start counts samples of the new rate; samples past the span of a packet go. A packet is a bounded array; masked ones
+    must be split first. At a factor above 1, one sample stays as it is, two or three are joined by the one wave through them.
     """
 
     def run(batches):
@@ -156,7 +202,7 @@ def resample(packets: DataFrame, factor: float, *keys: str) -> DataFrame:
                 n = max(1, int(round(len(x) * factor)))
                 at = np.arange(n) / factor
                 inside = at <= len(x) - 1
-                made.append((fourier_resample(x, n)[inside].tolist(), np.interp(at, np.arange(len(f)), f)[inside].tolist()))
+                made.append((fourier_resample(x, n, window)[inside].tolist(), np.interp(at, np.arange(len(f)), f)[inside].tolist()))
             batch["data"], batch["fold"] = [m[0] for m in made], [m[1] for m in made]
             batch["start"] = np.rint(batch["start"] * factor).astype(np.int64)
             yield batch

@@ -59,6 +59,20 @@ def run_bounds(samples: DataFrame, by: Sequence[str], inside: Column, length: in
 
 
 def in_runs(samples: DataFrame, runs: DataFrame, by: Sequence[str], length: int = LENGTH) -> DataFrame:
-    """samples joined with the run (first, last) they lie in; runs meet samples chunk by chunk."""
-    spread = runs.withColumn("chunk_", F.explode(F.sequence(F.floor(F.col("first") / length), F.floor(F.col("last") / length))))
-    return samples.withColumn("chunk_", chunk(length)).join(spread, [*by, "chunk_"]).where(F.col("idx").between(F.col("first"), F.col("last"))).drop("chunk_")
+    """samples with the columns of the run (by, first, last, ...) they lie in; runs of a series must not overlap.
+
+    A run leaves one mark in each chunk it touches, and a window carries the latest mark along the chunk's samples, so the work is
+    in proportion to samples and marks however many runs a chunk holds.
+    """
+    told = [c for c in runs.columns if c not in by]
+    marks = runs.withColumn("chunk_", F.explode(F.sequence(F.floor(F.col("first") / length), F.floor(F.col("last") / length))))
+    marked = marks.select(*by, "chunk_", F.greatest(F.col("first"), F.col("chunk_") * length).alias("idx"), F.lit(0).alias("sample_"), F.struct(*told).alias("run_"))
+    placed = samples.withColumns({"chunk_": chunk(length), "sample_": F.lit(1)})
+    along = Window.partitionBy(*by, "chunk_").orderBy("idx", "sample_").rowsBetween(Window.unboundedPreceding, 0)
+    carried = placed.unionByName(marked, allowMissingColumns=True).withColumn("run_", F.last("run_", ignorenulls=True).over(along))
+    return carried.where((F.col("sample_") == 1) & (F.col("idx") <= F.col("run_.last"))).select(*samples.columns, "run_.*")
+
+
+def in_spans(samples: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    """samples with the columns of each span (by, first, last, ...) that holds them; spans may overlap, and are laid out sample by sample."""
+    return spans.withColumn("idx", F.explode(F.sequence("first", "last"))).join(samples, [*by, "idx"])

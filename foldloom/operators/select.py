@@ -46,10 +46,20 @@ def lookup(df: DataFrame, key: str, *values: str) -> DataFrame:
 
 
 def positions(df: DataFrame, order: Sequence[str], first: int = 0, last: int | None = None, step: int = 1) -> DataFrame:
-    """Rows first to last - 1 by `step` in the given order, counted from 0; meant for tables of series, one row each."""
-    placed = df.withColumn("place_", F.row_number().over(Window.orderBy(*order)) - 1)
-    keep = (F.col("place_") >= first) & ((F.col("place_") - first) % step == 0)
-    return placed.where(keep if last is None else keep & (F.col("place_") < last)).drop("place_")
+    """Rows first to last - 1 by `step` in the given order, counted from 0.
+
+    With a last one, only so many rows are ordered (a distributed top list). Without, rows are dealt by ranges of the order into the
+    shared folder's checkpoint, numbered within each range, and moved on by the numbers of rows of the ranges before.
+    """
+    if last is not None:
+        placed = df.orderBy(*order).limit(last).withColumn("place_", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        dealt = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()).checkpoint()
+        sizes = dealt.groupBy("range_").agg(F.count("*").alias("size_"))
+        before = sizes.select("range_", F.coalesce(F.sum("size_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+        own = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+        placed = dealt.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn("place_", F.col("own_") + F.col("before_")).drop("range_", "own_", "before_")
+    return placed.where((F.col("place_") >= first) & ((F.col("place_") - first) % step == 0)).drop("place_")
 
 
 def split_on(df: DataFrame, key: str) -> DataFrame:

@@ -93,3 +93,20 @@ def models(samples: DataFrame, found: DataFrame, by: Sequence[str] = BY, quantil
     moments = measure.weighed_moments(inside, keys)
     at = measure.quantile_indices(inside, quantiles, keys, length).groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("idx"))).alias(f"q{round(100 * q)}") for q in quantiles])
     return found.select(*by, "on", "off").join(at, keys).join(moments, keys, "left")
+
+
+def fitted_shapes(samples: DataFrame, found: DataFrame, by: Sequence[str] = BY, length: int = LENGTH) -> DataFrame:
+    """Least-squares heights, and the norms of the rests, of a box over each trigger (by, on, off, at_max) and of a triangle that rises
+    from before on to its maximum and falls to after off. Both are linear in the height, so two passes of sums do.
+    """
+    spans = found.select(*by, F.col("on").alias("first"), F.col("off").alias("last"), F.col("at_max").alias("top"))
+    inside = in_runs(samples.where("value is not null"), spans, by, length)
+    idx, y = F.col("idx"), F.col("value")
+    rise, fall = (idx - F.col("first") + 1) / (F.col("top") - F.col("first") + 1), (F.col("last") + 1 - idx) / (F.col("last") + 1 - F.col("top"))
+    shaped = inside.withColumn("shape_", F.when(idx <= F.col("top"), rise).otherwise(fall))
+    keys = [*by, "first", "last", "top"]
+    heights = shaped.groupBy(*keys).agg(F.avg(y).alias("box_height"), (F.sum(y * F.col("shape_")) / F.sum(F.col("shape_") * F.col("shape_"))).alias("triangle_height"))
+    rest = lambda modelled: F.sqrt(F.sum(F.pow(y - modelled, 2)))
+    both = shaped.join(heights, keys).groupBy(*keys, "box_height", "triangle_height")
+    told = both.agg(rest(F.col("box_height")).alias("box_l2"), rest(F.col("triangle_height") * F.col("shape_")).alias("triangle_l2"))
+    return told.select(*by, F.col("first").alias("on"), F.col("last").alias("off"), "top", "box_height", "box_l2", "triangle_height", "triangle_l2")

@@ -53,8 +53,12 @@ def ready(samples: DataFrame, by: Sequence[str], ids: str, primary: Column, leng
 
 
 def owned(samples: DataFrame, by: Sequence[str], primary: Column, length: int, step: int) -> DataFrame:
-    """samples with the one window that consumes each: the earliest that holds it."""
-    return placed(samples, by, primary, length, step).groupBy(*samples.columns).agg(F.min("k").alias("k"))
+    """samples with the one window that consumes each: the earliest that holds it; repeated rows stay."""
+    if length < 1 or step < 1:
+        raise ValueError("length and step must be at least 1")
+    at = F.col("idx") - F.col("anchor")
+    low, high = F.greatest(F.floor((at - length) / step) + 1, F.lit(0)), F.floor(at / step)
+    return samples.join(anchors(samples, by, primary), list(by)).where((at >= 0) & (low <= high)).select(*samples.columns, low.alias("k"))
 
 
 def model_windows(in_samples: int, sampling_rate: float, overlap: int, count: int = 1) -> dict[str, float]:

@@ -269,14 +269,6 @@ def wave_messages(spark: SparkSession, folder: str) -> DataFrame:
     return waves.select(F.col("station").alias("id"), F.round("startt", 2).alias("startt"), F.round("endt", 2).alias("endt"), "nsamp", F.round(total, 4).alias("total"))
 
 
-@query("tables_equal", """select 'events' as name, true as same, count(*) as rows from events""")
-def tables_equal(spark: SparkSession, folder: str) -> DataFrame:
-    """Both differences of a table with itself are empty."""
-    events = tables.table(spark, folder, "events").select("event_id", "user_id", "value")
-    differ = events.exceptAll(events).agg(F.count("*")).scalar()
-    return events.agg(F.count("*").alias("rows")).select(F.lit("events").alias("name"), (differ == 0).alias("same"), "rows")
-
-
 @query(
     "trigger_report",
     f"""{GRID}, {_onsets("g", 40, 20)}, x as (select t.id, t.on_, t.off_, g.idx, g.value as y from t join g on g.id = t.id and g.idx between t.on_ and t.off_),
@@ -292,9 +284,9 @@ def trigger_report(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "on", "off", "q16", "q50", "q84", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@query("pick_record_times", f"select event_id, epoch_us(ts) + cast(round_even((event_id % 50) * 1000000 / 20::double, 0) as bigint) as pick_us from events where event_id % 3 = 0")
+@query("pick_record_times", f"select event_id, epoch_us(ts) + cast(round_even((event_id % 50) * 1000000 / 20::double, 0) as bigint) as pick_us from events")
 def pick_record_times(spark: SparkSession, folder: str) -> DataFrame:
-    events = tables.table(spark, folder, "events").where("event_id % 3 = 0")
+    events = tables.table(spark, folder, "events")
     params = F.create_map(F.lit("mean"), (F.col("event_id") % 50).cast("double"), F.lit("other"), F.lit(-1.0))
     rows = events.select("event_id", instants.micros(F.col("ts")).alias("reference_us"), params.alias("params"), F.lit("mean").alias("pick_param"), F.lit(20.0).alias("sampling_rate"))
     return trigger.pick_times(rows).select("event_id", "pick_us")

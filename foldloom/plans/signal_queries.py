@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.operators import collate, dsp, predict, series, trigger, windows
-from foldloom.operators.frames import in_runs
+from foldloom.operators.frames import in_spans
 from foldloom.plans.catalog import query
 from foldloom.plans.pipeline import picking, preprocessing
 from foldloom.plans.series_queries import SHARES, grid, instrument_windows
@@ -23,21 +23,6 @@ def bandpass(spark: SparkSession, folder: str) -> DataFrame:
     return dsp.bandpass(series.demean(samples(spark, folder)), 1 / 48, 1 / 4, 1.0)
 
 
-@query("recursive_stalta")
-def recursive_stalta(spark: SparkSession, folder: str) -> DataFrame:
-    return dsp.characteristic(samples(spark, folder), "recstalta", 3, 12)
-
-
-@query("delayed_stalta")
-def delayed_stalta(spark: SparkSession, folder: str) -> DataFrame:
-    return dsp.characteristic(samples(spark, folder), "delayedstalta", 3, 12)
-
-
-@query("carl_trigger")
-def carl_trigger(spark: SparkSession, folder: str) -> DataFrame:
-    return dsp.characteristic(samples(spark, folder), "carlstatrig", 3, 12)
-
-
 @query("fft_resample")
 def fft_resample(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of 48 hours at twice the rate, each split at its gaps; a piece of one sample stays as it is."""
@@ -51,7 +36,7 @@ def lsq_gaussian(spark: SparkSession, folder: str) -> DataFrame:
     rows = samples(spark, folder)
     found = trigger.onsets(rows, 40.0, 20.0, max_len=200)
     spans = found.select("id", (F.col("on") - 2).alias("first"), (F.col("off") + 2).alias("last"), "on")
-    return dsp.gaussian_fits(in_runs(rows, spans, ["id"]))
+    return dsp.gaussian_fits(in_spans(rows, spans, ["id"]))
 
 
 @query("predict_multiweight")

@@ -93,7 +93,7 @@ def test_filter_blocks_settle_in_their_margin(spark):
     data = rng.normal(size=3000)
     rows = packet(spark, ("a", 0, data.tolist(), None))
     whole = dsp.sos_filter(data, dsp.butterworth(4, 5.0, 20.0, 100.0))
-    found = table(dsp.bandpass(rows, 5.0, 20.0, 100.0, block=500, margin=400))
+    found = table(dsp.bandpass(rows, 5.0, 20.0, 100.0, block=500))
     assert np.allclose([found[k][0] for k in range(3000)], whole, atol=1e-6)
 
 
