@@ -13,9 +13,13 @@ about `group_queries`. A task multiplies one group by one part, leaves out what
 Equal vectors are one class with their k + 1 smallest ids (no query needs more), kept by salted top lists, so a vector
 that a third of all rows share is one row of the index.
 
-Defined results: vectors that are null, zero or of another length than the first, or hold a null, NaN or infinite
-component, take no part; a null vec_id takes no part; equal ids are one row each; ties go to the smaller vec_id; fewer
-candidates than k give all; an empty table gives an empty result; further columns are ignored.
+The tree has at most about sample_rows leaves, so a query's share of leaves is what calibration finds at that
+resolution: on data without clusters the products grow with rows x queries x share.
+
+Defined results: vectors that are null, zero or of another length than most, or hold a null, NaN or infinite
+component, take no part; a null vec_id takes no part; rows that repeat a vec_id are rows of their own, as candidates and as
+queries, and a query leaves out its own row only; ties go to the smaller vec_id; fewer candidates than k give all; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,20 +103,22 @@ def grow(rows: np.ndarray, branches: int, leaf_rows: int, seed: int = 0) -> Tree
 
 
 def calibrate(tree: Tree, sample: np.ndarray, queries: np.ndarray, k: int, recall: float, slack: float) -> int:
-    """The number of leaves that hold `recall` of the k best sample rows of the queries."""
+    """The number of leaves that hold `recall` of the k best sample rows of the queries (numbers of sample rows)."""
     leaf = tree.leaf(sample)
     leaves = sum(not c for c in tree.children)
     need = []
-    for q in queries:
-        place = {n: i for i, n in enumerate(tree.visits(q, leaves, slack))}
-        best = np.argsort(-(sample @ q), kind="stable")[1 : k + 1]  # without itself
+    for row in queries:
+        place = {n: i for i, n in enumerate(tree.visits(sample[row], leaves, slack))}
+        near = sample @ sample[row]
+        near[row] = -np.inf  # without itself, which an inner product need not put first
+        best = np.argsort(-near, kind="stable")[:k]
         need += [place[n] for n in leaf[best]]
     return int(np.sort(need)[max(0, int(np.ceil(recall * len(need))) - 1)]) + 1 if need else 1
 
 
 def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id, vector (array<double>) of the rows that take part."""
-    values = F.col(vector).cast("array<double>")
+    """vec_id, vector of the rows that take part; floats stay floats, which halves what is sent, and are multiplied as doubles."""
+    values = F.col(vector) if table.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
     fine = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0)
     return table.where(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).alias("vec_id"), values.alias("vector"))
 
@@ -132,13 +138,13 @@ def neighbours(
     vector: str = "embedding",
     every: int = 20,
     k: int = 20,
-    recall: float = 0.97,
+    recall: float = 0.96,
     sample_rows: int = 20_000,
     branches: int = 8,
     leaf_rows: int = 128,
     slack: float = 0.5,
-    bin_rows: int = 8192,
-    group_queries: int = 512,
+    bin_rows: int = 2048,
+    group_queries: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
@@ -157,17 +163,17 @@ def neighbours(
     fine = 1 << 30
     share = min(1.0, sample_rows / count)
     drawn = classes.where(F.pmod(F.xxhash64("vector"), F.lit(fine)) < int(fine * share)).select("vector").toPandas()
-    sample = np.stack(drawn["vector"].to_numpy()) if len(drawn) else np.zeros((1, first["width"]))
+    sample = np.stack(drawn["vector"].to_numpy()).astype(np.float64) if len(drawn) else np.zeros((1, first["width"]))
     sample = sample[np.lexsort(sample.T)]
     tree = grow(sample, branches, max(2, int(leaf_rows * len(sample) / count)))
-    picked = sample[np.random.default_rng(1).choice(len(sample), min(len(sample), 200), replace=False)]
+    picked = np.random.default_rng(1).choice(len(sample), min(len(sample), 200), replace=False)
     most = calibrate(tree, sample, picked, min(k, len(sample) - 1), recall, slack) if len(sample) > 1 else 1
     grown = spark.sparkContext.broadcast((tree, most))
 
     @F.pandas_udf("int")
     def leaf_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(grown.value[0].leaf(np.stack(batch.to_numpy())) if len(batch) else [], dtype="int32")
+            yield pd.Series(grown.value[0].leaf(np.stack(batch.to_numpy()).astype(np.float64)) if len(batch) else [], dtype="int32")
 
     placed = stored(classes.select("vector", "ids", leaf_of("vector").alias("leaf"), F.xxhash64("vector").alias("h")))
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most the tree's leaves
@@ -187,17 +193,17 @@ def neighbours(
             out = []
             for query in batch:
                 lists: dict[int, list[int]] = {}
-                for leaf in tree.visits(np.asarray(query), most, slack):
+                for leaf in tree.visits(np.asarray(query, np.float64), most, slack):
                     if leaf in bins:
                         lists.setdefault(bins[leaf], []).append(leaf)
                 out.append([{"bin": b, "part": p, "leaves": leaves} for b, leaves in lists.items() for p in range(parts[b])])
             yield pd.Series(out, dtype=object)
 
     # queries are grouped by their best bin, so that on clustered data a group goes to few bins
-    asked = stored(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), sent("vector").alias("to")).withColumn("home", F.col("to")[0]["bin"]))
+    asked = stored(rows.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), sent("vector").alias("to")).withColumn("home", F.col("to")[0]["bin"]))
     homes = asked.groupBy("home").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("groups"))
-    dealt = asked.join(homes, "home").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
-    left = dealt.select("query_id", "query", "home", "group", F.explode("to").alias("to")).select("query_id", "query", "home", "group", "to.*")
+    dealt = asked.join(homes, "home").withColumn("group", F.pmod(F.xxhash64("query_row"), F.col("groups")).cast("int"))
+    left = dealt.select("query_row", "query_id", "query", "home", "group", F.explode("to").alias("to")).select("query_row", "query_id", "query", "home", "group", "to.*")
     # the table of leaves is as small as the tree; a part goes to the groups that ask for its bin
     leaf_bins = F.broadcast(spark.createDataFrame([(n, b, parts[b]) for n, b in bins.items()], "leaf int, bin int, parts int"))
     held = placed.join(leaf_bins, "leaf").select("leaf", "bin", F.pmod("h", F.col("parts")).cast("int").alias("part"), "vector", "ids")
@@ -206,24 +212,27 @@ def neighbours(
     def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(held):
-            asked, vectors = np.stack(queries["query"].to_numpy()), np.stack(held["vector"].to_numpy())
+            asked, vectors = (np.stack(x.to_numpy()).astype(np.float64) for x in (queries["query"], held["vector"]))
             leaves, leaf = np.unique(held["leaf"].to_numpy(), return_inverse=True)
             listed = np.stack([np.isin(leaves, x) for x in queries["leaves"]])
             near = np.where(listed[:, leaf], asked @ vectors.T, -np.inf)
             some = min(k + 1, len(vectors))
             least = -np.partition(-near, some - 1, axis=1)[:, some - 1]
-            for q, query, line, bound in zip(queries["query_id"], asked, near, least, strict=True):
+            for row, q, query, line, bound in zip(queries["query_row"], queries["query_id"], asked, near, least, strict=True):
                 # a hair below the last one, for products that differ by rounding only
                 at = np.nonzero((line >= bound - 1e-9 * (1 + abs(bound) if np.isfinite(bound) else 0)) & np.isfinite(line))[0]
                 lists = [held["ids"].iat[i] for i in at]
                 ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 score = np.repeat((vectors[at] * query).sum(axis=1), [len(x) for x in lists])
-                order = np.lexsort((ids, -score))
-                order = order[ids[order] != q][:k]
-                out.append((np.full(len(order), q), ids[order], score[order]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                same = np.repeat((vectors[at] == query).all(axis=1), [len(x) for x in lists])
+                own = np.nonzero(same & (ids == q))[0][:1]  # one row of this id and vector is the query's own
+                ids, score = np.delete(ids, own), np.delete(score, own)
+                order = np.lexsort((ids, -score))[:k]
+                out.append((np.full(len(order), row), np.full(len(order), q), ids[order], score[order]))
+        names = ("query_row", "query_id", "vec_id", "score")
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({c: [] for c in names})
 
     keys = ("bin", "part", "home", "group")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {kind}, vec_id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_row long, query_id {kind}, vec_id {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

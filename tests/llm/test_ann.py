@@ -60,3 +60,30 @@ def test_visits_come_best_first():
     leaves = [n for n, c in enumerate(tree.children) if not c]
     assert sorted(tree.visits(rows[0], len(leaves), 0.5)) == leaves
     assert np.isin(tree.leaf(rows), leaves).all()
+
+
+def test_vectors_of_varied_length(spark, folder):
+    """Under an inner product long vectors come first, and a row is often not its own best."""
+    rng = np.random.default_rng(5)
+    vectors = (rng.normal(size=(1500, 16)) * rng.lognormal(0, 0.6, size=(1500, 1))).astype(np.float32)
+    rows = QUERIES["op10_kmeans_tree_neighbours"](spark, folder(embeddings=[(k, v.tolist(), 0) for k, v in enumerate(vectors)])).collect()
+    found, true = read(rows), exact(np.arange(1500), vectors.astype(np.float64))
+    assert sum(len({a for a, _ in found[q]} & {a for a, _ in true[q]}) for q in true) / (20 * len(true)) >= 0.9
+
+
+def test_calibration_leaves_out_the_row_itself():
+    sample = np.array([[1.0, 0.0], [3.0, 0.0], [0.0, 1.0], [0.0, 2.0]])
+    tree = ann.grow(sample, 2, 1)
+    visits = [tree.visits(sample[0], 9, 0.5).index(leaf) for leaf in tree.leaf(sample[[1]])]
+    assert ann.calibrate(tree, sample, np.array([0]), 1, 1.0, 0.5) == visits[0] + 1
+
+
+def test_rows_that_repeat_an_id_are_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (8, [0.5, 0.5])]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, recall=1.0).collect()
+    lists = {}
+    assert len(found) == 9 and sorted(r["rank"] for r in found) == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+    for r in found:
+        lists.setdefault(r["rank"], []).append((r["vec_id"], r["score"]))
+    # both rows of [1, 0] find 7, 7 and each other; [0, 1] finds 7, 7 and 8
+    assert sorted(lists[1]) == [(7, 1.0), (7, 2.0), (7, 2.0)] and sorted(lists[2]) == [(7, 1.0), (7, 2.0), (7, 2.0)] and sorted(lists[3]) == [(8, 0.5), (20, 1.0), (20, 1.0)]
