@@ -8,30 +8,35 @@ by lookups. The prediction is the language of least code length; its score is th
 priors, 2^-length normalised over the languages.
 
 Learning reads only text and lang, of rows that have both. The sample is about `sample_bytes` of text for each
-language, drawn by a hash of doc_id, of the `max_languages` lang values with most text. The table of code lengths has at most
-`max_contexts` contexts, and fewer where there are many languages, so that it stays below CELLS numbers.
+language, drawn by a hash of doc_id. Any number of languages is learned, in blocks of `block_languages`: the driver
+gathers the counts of one block at a time, and a block's trees, of `max_contexts` contexts at most (the most frequent ones; of
+a bounded sample), are one broadcast of a fixed size. One block is one pass over the texts; more blocks are a pass each, whose least
+code lengths meet by row.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or where nothing could be learned; equal
-code lengths go to the language first in order; equal rows get equal results; further columns pass unchanged, but for
-those named like a result, which it replaces.
+code lengths go to the language first in order; equal rows get equal results, repeated ones too; an empty table gives an empty
+result; a very long text is scored in pieces of CHUNK_BYTES that begin with the bytes before them; further columns pass
+unchanged, but for those named like a result, which it replaces.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import free
+from foldloom.llm.common import BROADCAST_ROWS, free, stored
 
 DEPTH = 3
 START = b"\n" * DEPTH
 CHUNK_BYTES = 250_000
-CELLS = 1 << 25
 UNKNOWN = "und"
 
 
@@ -106,18 +111,47 @@ class ContextTrees:
             out[full, k] = np.add.reduceat(bits, np.stack([starts[full], ends[full]], 1).ravel())[::2] if len(full) else 0
         return out
 
-
-def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192, max_languages: int = 500) -> ContextTrees:
+    def whole_lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and the number of bytes of each text, for texts of any length: long ones are cut where a character ends."""
+        parts, owner = [], []
+        for k, t in enumerate(texts):
+            for at in range(0, max(1, len(t)), CHUNK_BYTES):
+                parts.append((t[max(0, at - DEPTH) : at], t[at : at + CHUNK_BYTES]))
+                owner.append(k)
+        bits, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(parts):
+            end, size = at, 0
+            while end < len(parts) and size < CHUNK_BYTES:
+                size += len(parts[end][1])
+                end += 1
+            before, own = [b for b, _ in parts[at:end]], [t for _, t in parts[at:end]]
+            told = self.lengths([b + t for b, t in zip(before, own, strict=True)])
+            if any(before):
+                told -= self.lengths(before)
+            np.add.at(bits, owner[at:end], told)
+            np.add.at(sizes, owner[at:end], [len(t.lower().encode("utf-8", "replace")) for t in own])
+            at = end
+        return bits, sizes
+
+
+@dataclass
+class Languages:
+    """The names of all languages, and the trees of each block of them, broadcast."""
+
+    names: list[str]
+    blocks: list[Broadcast]
+
+
+def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192, block_languages: int = 16) -> Languages:
     """Trees learned from text and lang of the given rows (doc_id, text, lang)."""
+    spark = docs.sparkSession
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("size"))
-    sizes = {r["lang"]: r["size"] for r in totals.orderBy(F.desc("size"), "lang").limit(max_languages).collect()}
-    max_contexts = min(max_contexts, CELLS // (256 * max(1, len(sizes))))
-    if not sizes:
-        return ContextTrees(pd.DataFrame({"lang": [], "gram": [], "n": []}), max_contexts)
+    names = sorted(r["lang"] for r in totals.select("lang").collect())  # one short name a language
     fine = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, int(fine * min(1.0, sample_bytes / size)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(fine)) < share[F.col("lang")])
+    share = F.least(F.lit(float(fine)), F.lit(float(fine * sample_bytes)) / F.col("size"))
+    sample = rows.join(F.broadcast(totals) if len(names) <= BROADCAST_ROWS else totals, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(fine)) < F.floor(share))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -132,40 +166,51 @@ def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192
             yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
     counts = sample.select("text", "lang").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return ContextTrees(counts.toPandas().sort_values(["lang", "gram"]), max_contexts)
+    parts = [names[k : k + block_languages] for k in range(0, len(names), block_languages)]
+    if len(parts) > 1:
+        counts = stored(counts)
+    blocks = []
+    for part in parts:
+        own = counts if len(parts) == 1 else counts.where(F.col("lang").between(part[0], part[-1]))
+        blocks.append(spark.sparkContext.broadcast(ContextTrees(own.toPandas().sort_values(["lang", "gram"]), max_contexts)))
+    return Languages(names, blocks)
 
 
-def predict(trees: ContextTrees, docs: DataFrame, text: Column) -> DataFrame:
-    """The columns of docs with lang_pred, score and bits_per_byte (of the least code length; null for `und`)."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+def _told(block: Broadcast) -> Callable[[Column], Column]:
+    """The language of least code length in one block, that length, the bytes, and the sum of 2^-(length - least) over the block."""
 
-    @F.pandas_udf("struct<lang_pred:string,score:double,bits_per_byte:double>")
+    @F.pandas_udf("struct<lang:string,least:double,size:long,weight:double>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
+        trees = block.value
         for batch in batches:
-            found, texts = [], batch.tolist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < CHUNK_BYTES:
-                    size += len(texts[end] or "")
-                    end += 1
-                found.append(trees.lengths([t or "" for t in texts[at:end]]))
-                at = end
-            bits = np.concatenate(found) if found else np.zeros((0, len(trees.languages)))
+            bits, sizes = trees.whole_lengths([t or "" for t in batch])
             least = bits.min(axis=1, keepdims=True)
-            size = np.array([max(1, len((t or "").lower().encode("utf-8", "replace"))) for t in texts])
-            yield pd.DataFrame({"lang_pred": np.array(trees.languages, object)[bits.argmin(axis=1)], "score": 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1), "bits_per_byte": least[:, 0] / size})
+            yield pd.DataFrame({"lang": np.array(trees.languages, object)[bits.argmin(axis=1)], "least": least[:, 0], "size": sizes, "weight": np.exp2(np.maximum(least - bits, -1000)).sum(axis=1)})
+
+    return of.asNondeterministic()  # else a filter on its fields would run it twice
 
-    if not trees.languages:
+
+def predict(model: Languages, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs with lang_pred, score and bits_per_byte (of the least code length; null for `und`)."""
+    if not model.names:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
-    of = of.asNondeterministic()  # else a filter on its fields would run it twice
     told = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     told_, found_ = free(docs, "told"), free(docs, "found")
-    named = docs.withColumns({told_: told, found_: of(text)})
+    if len(model.blocks) == 1:
+        named = docs.withColumns({told_: told, found_: _told(model.blocks[0])(text)})
+    else:
+        row_ = free(docs, "row")
+        rows = stored(docs.withColumns({row_: F.monotonically_increasing_id(), told_: told}))
+        passes = [stored(rows.select(row_, _told(b)(text).alias("x")).select(row_, "x.*")) for b in model.blocks]
+        first = F.min(F.struct("least", "lang", "size")).alias("m")
+        every = reduce(DataFrame.unionByName, passes)
+        best = every.groupBy(row_).agg(first)
+        weight = F.sum(F.col("weight") * F.pow(F.lit(2.0), F.greatest(F.col("m.least") - F.col("least"), F.lit(-1000.0)))).alias("weight")
+        summed = every.join(best, row_).groupBy(row_, "m").agg(weight)
+        named = rows.join(summed.select(row_, F.struct(F.col("m.lang"), F.col("m.least"), F.col("m.size"), "weight").alias(found_)), row_).drop(row_)
     results = {
-        "lang_pred": F.when(F.col(told_), F.col(f"{found_}.lang_pred")).otherwise(UNKNOWN),
-        "score": F.when(F.col(told_), F.col(f"{found_}.score")).otherwise(0.0),
-        "bits_per_byte": F.when(F.col(told_), F.col(f"{found_}.bits_per_byte")),
+        "lang_pred": F.when(F.col(told_), F.col(f"{found_}.lang")).otherwise(UNKNOWN),
+        "score": F.when(F.col(told_), 1 / F.col(f"{found_}.weight")).otherwise(0.0),
+        "bits_per_byte": F.when(F.col(told_), F.col(f"{found_}.least") / F.greatest(F.col(f"{found_}.size"), F.lit(1))),
     }
     return named.select(*[c for c in docs.columns if c.lower() not in results], *[value.alias(name) for name, value in results.items()])

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldloom.llm import kneser_ney, langid, lm_score, toxicity
 from foldloom.llm.entry_queries import QUERIES
@@ -73,6 +74,35 @@ def test_held_out_languages(spark, folder):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    """600 languages, each of syllables of its own, in blocks; scores are those of one block with all of them."""
+    rng = random.Random(8)
+    kinds = {f"l{k:03}": [chr(0x3400 + 40 * k + j) + rng.choice("aeiou") for j in range(12)] for k in range(600)}
+    make = lambda lang, n: " ".join("".join(rng.choices(kinds[lang], k=3)) for _ in range(n))
+    rows = [(k, make(lang, 30), lang) for k, lang in enumerate(list(kinds) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 600"), max_contexts=2048, block_languages=150)
+    assert len(model.names) == 600 and len(model.blocks) == 4
+    found = langid.predict(model, docs.where("doc_id >= 600").select("doc_id", "text", F.col("lang").alias("truth")), F.col("text")).collect()
+    assert len(found) == 600 and np.mean([r["lang_pred"] == r["truth"] for r in found]) > 0.99 and all(0 < r["score"] <= 1 for r in found)
+    few = docs.where("lang < 'l020'")
+    one, many = (langid.predict(langid.fit(few.where("doc_id < 600"), max_contexts=100_000, block_languages=n), few, F.col("text")) for n in (50, 6))
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["score"], r["bits_per_byte"]) for r in x.collect()} for x in (one, many))
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], rel=1e-3) for k in a)
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    counts = collections.Counter()
+    text = "".join(random.Random(9).choices("abcdeé ", k=2000))
+    codes, starts, ends = langid._grams([text])
+    counts.update(codes[starts[0] : ends[0]].tolist())
+    trees = langid.ContextTrees(pd.DataFrame([("x", g, n) for g, n in counts.items()], columns=["lang", "gram", "n"]), 5000)
+    whole = trees.lengths([text, "b"])
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 97)
+    bits, sizes = trees.whole_lengths([text, "b", ""])
+    assert np.allclose(bits[:2], whole) and bits[2] == 0 and sizes.tolist() == [len(text.encode()), 1, 0]
+
+
 # weighted backoff automaton
 
 
