@@ -11,10 +11,15 @@ than the dictionaries, turns them into a calibrated score; of the offered sizes
 log loss there is taken.
 
 Learning reads labels of at most about `sample` texts of each class, drawn by a hash of doc_id; labels of one document
-that disagree count as toxic. Scores read whole texts and nothing else.
+that disagree count as toxic. All words and stems of that sample count. Scores read whole texts and nothing else.
+
+Dictionaries trained on whole windows of two or three words of each class, also on those alone that the other class's dictionary
+compresses badly, found at most 46 % of toxic texts at 1.4 % false alarms here, as their content is ordinary words for the most part; so the toxic one is
+trained on words with a telling stem.
 
 Defined results: a null or wordless text has no windows and gets the score of that; where no toxic or no ordinary
-labels exist all scores are 0; equal rows get equal scores; further columns are ignored.
+labels exist all scores are 0; equal rows get equal scores, repeated ones too; an empty table gives an empty result; a very long
+text is cut into its distinct words, whose distances are remembered; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,8 +146,8 @@ def _listed(texts: DataFrame) -> DataFrame:
     return counted.groupBy("part", "is_stem").agg(total(1).alias("bad"), total(0).alias("good"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 20_000, toxic_sizes: tuple[int, ...] = (1024, 2048), ordinary_size: int = 32_768) -> Model | None:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic); words: at most so many of each kind reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, toxic_sizes: tuple[int, ...] = (1024, 2048), ordinary_size: int = 32_768) -> Model | None:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -157,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, words: int = 20_
     n = {r["toxic"]: r["count"] for r in first.groupBy("toxic").count().collect()}
     rate = (F.col("bad") + 0.1) / (n.get(1, 0) + 1) / ((F.col("good") + 0.1) / (n.get(0, 0) + 1))
     listed = stored(_listed(first).withColumn("rate", rate))
-    taken = lambda rows, by: {bytes(r["part"]): int(r[by]) for r in rows.orderBy(F.desc(by), "part").limit(words).collect()}
+    taken = lambda rows, by: {bytes(r["part"]): int(r[by]) for r in rows.collect()}
     telling = set(taken(listed.where("is_stem and rate >= 30").where(F.col("bad") >= max(3, 0.015 * n.get(1, 0))), "bad"))
     typical = {w: k for w, k in taken(listed.where("not is_stem and bad >= 1 and rate >= 5"), "bad").items() if stems([w]) & telling}
     common = taken(listed.where("not is_stem and good >= 1 and rate < 2").where(F.octet_length("part") >= 3), "good")
