@@ -9,7 +9,7 @@ brute force over the sample's own rows, and leaves are added until `recall` of t
 
 Neighbouring leaves are packed into bins of about `bin_rows` rows; a larger leaf is a bin of its own, cut into parts of
 that size. A query is sent once to each bin that holds leaves on its list, with others of the same best bin, in groups of
-about `group_queries`. A task multiplies one group by one part, leaves out what is not on a query's list, and returns at most k rows a query.
+about `group_queries`. A task multiplies one group by one part, a few queries at a time, leaves out what is not on a query's list, and returns at most k rows a query.
 Equal vectors are one class with their k + 1 smallest ids (no query needs more), kept by salted top lists, so a vector
 that a third of all rows share is one row of the index.
 
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 from foldloom.llm.common import stored
 
+CELLS = 1 << 22  # products held at a time
+
 
 @dataclass
 class Tree:
@@ -143,8 +145,8 @@ def neighbours(
     branches: int = 8,
     leaf_rows: int = 128,
     slack: float = 0.5,
-    bin_rows: int = 2048,
-    group_queries: int = 2048,
+    bin_rows: int = 65_536,
+    group_queries: int = 512,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
@@ -209,26 +211,33 @@ def neighbours(
     held = placed.join(leaf_bins, "leaf").select("leaf", "bin", F.pmod("h", F.col("parts")).cast("int").alias("part"), "vector", "ids")
     right = held.join(stored(left.select("bin", "part", "home", "group").distinct()), ["bin", "part"])
 
+    def nearest(q, query, line, bound, vectors, ids_of) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows among those whose product reaches the bound."""
+        # a hair below it, for products that differ by rounding only
+        at = np.nonzero((line >= bound - 1e-9 * (1 + abs(bound) if np.isfinite(bound) else 0)) & np.isfinite(line))[0]
+        lists = [ids_of.iat[i] for i in at]
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        score = np.repeat((vectors[at] * query).sum(axis=1), [len(x) for x in lists])
+        same = np.repeat((vectors[at] == query).all(axis=1), [len(x) for x in lists])
+        own = np.nonzero(same & (ids == q))[0][:1]  # one row of this id and vector is the query's own
+        ids, score = np.delete(ids, own), np.delete(score, own)
+        order = np.lexsort((ids, -score))[:k]
+        return ids[order], score[order]
+
     def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(held):
             asked, vectors = (np.stack(x.to_numpy()).astype(np.float64) for x in (queries["query"], held["vector"]))
             leaves, leaf = np.unique(held["leaf"].to_numpy(), return_inverse=True)
-            listed = np.stack([np.isin(leaves, x) for x in queries["leaves"]])
-            near = np.where(listed[:, leaf], asked @ vectors.T, -np.inf)
-            some = min(k + 1, len(vectors))
-            least = -np.partition(-near, some - 1, axis=1)[:, some - 1]
-            for row, q, query, line, bound in zip(queries["query_row"], queries["query_id"], asked, near, least, strict=True):
-                # a hair below the last one, for products that differ by rounding only
-                at = np.nonzero((line >= bound - 1e-9 * (1 + abs(bound) if np.isfinite(bound) else 0)) & np.isfinite(line))[0]
-                lists = [held["ids"].iat[i] for i in at]
-                ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-                score = np.repeat((vectors[at] * query).sum(axis=1), [len(x) for x in lists])
-                same = np.repeat((vectors[at] == query).all(axis=1), [len(x) for x in lists])
-                own = np.nonzero(same & (ids == q))[0][:1]  # one row of this id and vector is the query's own
-                ids, score = np.delete(ids, own), np.delete(score, own)
-                order = np.lexsort((ids, -score))[:k]
-                out.append((np.full(len(order), row), np.full(len(order), q), ids[order], score[order]))
+            some, step = min(k + 1, len(vectors)), max(1, CELLS // len(vectors))
+            for at in range(0, len(asked), step):
+                part = queries.iloc[at : at + step]
+                listed = np.stack([np.isin(leaves, x) for x in part["leaves"]])
+                near = np.where(listed[:, leaf], asked[at : at + step] @ vectors.T, -np.inf)
+                least = -np.partition(-near, some - 1, axis=1)[:, some - 1]
+                for row, q, query, line, bound in zip(part["query_row"], part["query_id"], asked[at : at + step], near, least, strict=True):
+                    out.append((row, q, *nearest(q, query, line, bound, vectors, held["ids"])))
+        out = [(np.full(len(ids), row), np.full(len(ids), q), ids, score) for row, q, ids, score in out]
         names = ("query_row", "query_id", "vec_id", "score")
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({c: [] for c in names})
 
