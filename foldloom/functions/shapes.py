@@ -40,6 +40,19 @@ def kl_uniform(width1: Column, width2: Column) -> Column:
     return F.log(width2 / width1)
 
 
+def kl_triangle(first: tuple[Column, Column, Column], second: tuple[Column, Column, Column], steps: int = 400) -> Column:
+    """D(1 || 2) of two triangular densities (start, top, end), the first within the second, by the midpoint rule over the first."""
+    (a, b, c), (d, e, f) = first, second
+    density = lambda x, low, top, high: F.when(x <= top, 2 * (x - low) / ((high - low) * (top - low))).otherwise(2 * (high - x) / ((high - low) * (high - top)))
+
+    def part(total: Column, k: Column) -> Column:
+        x = a + (k - 0.5) * (c - a) / steps
+        p, q = density(x, a, b, c), density(x, d, e, f)
+        return total + F.when((p > 0) & (q > 0), p * F.log(p / q)).otherwise(0.0)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), part) * (c - a) / steps
+
+
 def variation_bound(divergence: Column) -> Column:
     """Upper bound of the total variation distance: sqrt(1 - exp(-D)) (Bretagnolle and Huber)."""
     return F.sqrt(1 - F.exp(-divergence))

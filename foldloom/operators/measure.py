@@ -114,3 +114,15 @@ def run_report(metrics: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
     return metrics.groupBy(*by).agg(F.sum("niter").alias("niter"), F.sum(took).alias("runtime"), F.avg(took).alias("mean_runtime"), F.min(took).alias("min_runtime"), F.max(took).alias("max_runtime")).withColumn(
         "rate", F.when(F.col("runtime") > 0, F.col("niter") / F.col("runtime"))
     )
+
+
+def stop_reasons(runs: DataFrame, max_iter: str = "max_iter") -> DataFrame:
+    """runs with stop, the reason why each ended, and niter, the iterations it counts.
+
+    Needs in_init (items waiting at its start), done (iterations begun) and halted (the stage that stopped early: get, run, put or null).
+    An iteration counts once its result is put.
+    """
+    early = F.col("halted").isin("get", "run", "put")
+    stop = F.when(F.col("in_init") == 0, "nodata").when(early, F.concat(F.lit("early-"), F.col("halted"))).otherwise("max")
+    niter = F.when(F.col("in_init") == 0, 0).when(F.col("halted") == "put", F.col("done")).when(early, F.col("done") - 1).otherwise(F.col(max_iter))
+    return runs.withColumns({"stop": stop, "niter": niter.cast("long")})

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -23,6 +23,7 @@ def energy_ratio(nsta: int, nlta: int) -> Scorer:
     """
 
     def ratio(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
         total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x * x, axis=1)], axis=1)
         k = np.arange(1, x.shape[1] + 1)
         mean = lambda n: (total[:, k] - total[:, np.maximum(k - n, 0)]) / np.minimum(k, n)
@@ -66,6 +67,29 @@ def to_series(predicted: DataFrame, folds: DataFrame, length: int, blinding: int
     return rows.select("id", (F.col(first) + F.col("at")).alias("idx"), F.col("x.values").alias("value"), F.when(edge, 0.0).otherwise(F.col("x.fold")).alias("fold"))
 
 
+#: fixed values: the names of the published weights of each model
+CATALOGUE = {
+    "EQTransformer": ("ethz", "geofon", "instance", "iquique", "lendb", "neic", "obs", "original", "original_nonconservative", "pnw", "scedc", "stead"),
+    "PhaseNet": ("diting", "ethz", "geofon", "instance", "iquique", "lendb", "neic", "obs", "original", "scedc", "stead"),
+}
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """model and weight of each published weight; a table of fixed size."""
+    return spark.createDataFrame([(m, w) for m, weights in CATALOGUE.items() for w in weights], "model string, weight string")
+
+
+def window_parameters(in_samples: int, blinding: int | None = None, overlap: int | None = None, defaults: tuple[int, int] = (0, 0)) -> dict[str, int]:
+    """A model's blinding (at most half a window) and overlap (less than a window), given or by default; gaps between windows warn."""
+    blinding, overlap = (d if v is None else v for v, d in zip((blinding, overlap), defaults, strict=True))
+    if not 0 <= blinding <= in_samples / 2 or int(blinding) != blinding:
+        raise ValueError("blinding must be a whole number of at most half a window")
+    if not 0 <= overlap < in_samples or int(overlap) != overlap:
+        raise ValueError("overlap must be a whole number below the window's length")
+    check_blinding(overlap, blinding)
+    return {"in_samples": in_samples, "blinding": int(blinding), "overlap": int(overlap), "step": in_samples - int(overlap)}
+
+
 def check_blinding(overlap: int, blinding: int) -> None:
     """Windows must overlap by both blinded edges at least, or samples are lost between them."""
     if overlap < 2 * blinding:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.functions import checks
 from foldloom.operators import collate, dsp, measure, predict, select, series, stack, trigger, windows
 
 Transform = Callable[..., DataFrame]
@@ -110,6 +111,17 @@ def resolved(config: Mapping[str, Mapping[str, str]]) -> dict[str, dict[str, str
     return {s: {k: value(s, k) for k in keys} for s, keys in config.items()}
 
 
+def section(config: Mapping[str, Mapping[str, str]], name: str, kind: str = "CLASS") -> tuple[str, dict[str, object]]:
+    """The operator that a section names, and its other entries as arguments: references filled in, values read but never evaluated."""
+    if name not in config:
+        raise ValueError(f"no section {name}")
+    entries = resolved(config)[name]
+    if kind not in {k.upper() for k in entries}:
+        raise ValueError(f"section {name} has no {kind}")
+    chosen = next(v for k, v in entries.items() if k.upper() == kind)
+    return chosen, {k: checks.coerced(v) for k, v in entries.items() if k.upper() != kind}
+
+
 def preprocessing(sampling_rate: float, low: float, high: float, norm: str = "std") -> Pipeline:
     """The sequence before scoring: detrend, filter, taper, normalise, and the grid with gaps masked."""
     return Pipeline(

@@ -9,7 +9,7 @@ from foldloom.operators import collate, dsp, predict, series, trigger, windows
 from foldloom.operators.frames import in_spans
 from foldloom.plans.catalog import query
 from foldloom.plans.pipeline import picking, preprocessing
-from foldloom.plans.series_queries import SHARES, grid, instrument_windows
+from foldloom.plans.series_queries import GRID, SHARES, grid, instrument_windows
 from foldloom.sources.packets import to_packets, to_samples, unmasked
 
 
@@ -39,12 +39,35 @@ def lsq_gaussian(spark: SparkSession, folder: str) -> DataFrame:
     return dsp.gaussian_fits(in_spans(rows, spans, ["id"]))
 
 
-@query("predict_multiweight")
+def _scores(step: int, shares: tuple[float, float], weights: dict[str, tuple[int, int]]) -> str:
+    """Windows of 24 samples every `step` of the components P, C and S in SQL, repaired by the first good secondary and scored.
+
+    y: instrument, k, pos, weight, p and s (scores of the labels P and S); c: instrument, k, pos, fold summed over components.
+    """
+    frame = lambda n: f"avg(x * x) over (partition by instrument, k, component order by pos rows between {n - 1} preceding and current row)"
+    rated = " union all ".join(f"select *, '{w}' as weight, {frame(a)} / ({frame(b)} + 1e-12::double) as r from t" for w, (a, b) in weights.items())
+    return f"""{GRID}, o as (select min(idx) as a from g where component = 'P'), q as (select instrument, component, idx, value, fold, idx - a as at_ from g, o where idx >= a and component in ('P', 'C', 'S')),
+s as (select *, unnest(range(greatest(0, cast(floor((at_ - 24) / {step}::double) as bigint) + 1), at_ // {step} + 1)) as k from q), e as (select instrument, k, component, count(*) filter (where fold >= 1) / 24::double + 0.001::double >= case when component = 'P' then {shares[0]} else {shares[1]} end as ok from s group by instrument, k, component),
+h as (select instrument, k, list(component) filter (where ok) as good from e group by instrument, k having list_contains(list(component) filter (where ok), 'P')),
+plan as (select instrument, k, c as component, list_contains(good, c) as kept, case when list_contains(good, c) then c when list_contains(good, 'C') then 'C' when list_contains(good, 'S') then 'S' else 'P' end as donor from h, (select unnest(['P', 'C', 'S']) as c)),
+t as (select plan.instrument, plan.k, plan.component, pos, cast(cast(coalesce(s.value, 0) as float) as double) as x, case when kept then coalesce(s.fold, 0) else 0 end as fold from plan cross join (select unnest(range(24)) as pos) cross join o
+left join s on s.instrument = plan.instrument and s.k = plan.k and s.component = plan.donor and s.idx = o.a + plan.k * {step} + pos),
+n as ({rated}), y as (select instrument, k, pos, weight, max(r / (1 + r)) filter (where component = 'P') as p, avg(r / (1 + r)) filter (where component <> 'P') as s from n group by all), c as (select instrument, k, pos, sum(fold) as fold from t group by all)"""
+
+
+@query(
+    "predict_multiweight",
+    f"""{_scores(24, (0.5, 0.95), {"fast": (2, 8), "slow": (4, 12)})} select instrument, k, weight, pos, 'Detection' as label, round(greatest(p, s), 6) as value from y
+union all select instrument, k, weight, pos, 'P', round(p, 6) from y union all select instrument, k, weight, pos, 'S', round(s, 6) from y""",
+)
 def predict_multiweight(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every window, weight and label, sample by sample."""
     placed = instrument_windows(spark, folder)
     filled = collate.whole(collate.fill_components(placed, 24, "PCS", "secondary", **SHARES), windows.spans(placed, ["instrument"], 24, 24))
     tensors = collate.tensor(filled, "PCS", 24)
-    return predict.predict(tensors, {"fast": predict.energy_ratio(2, 8), "slow": predict.energy_ratio(4, 12)}, ("Detection", "P", "S"), "ER")
+    made = predict.predict(tensors, {"fast": predict.energy_ratio(2, 8), "slow": predict.energy_ratio(4, 12)}, ("Detection", "P", "S"), "ER")
+    each = made.select("instrument", "k", "weight", "label", F.posexplode("values").alias("pos", "value"))
+    return each.select("instrument", "k", "weight", F.col("pos").cast("long").alias("pos"), "label", F.round("value", 6).alias("value"))
 
 
 @query("preprocess_window")
@@ -53,8 +76,21 @@ def preprocess_window(spark: SparkSession, folder: str) -> DataFrame:
     return preprocessing(1.0, 1 / 48, 1 / 4).run(samples(spark, folder))
 
 
-@query("picking_pipeline")
+_QUALITY = "case when p_max > 0.9 then 0 when p_max > 0.7 then 1 when p_max > 0.5 then 2 when p_max > 0.3 then 3 else 4 end"
+
+
+@query(
+    "picking_pipeline",
+    f"""{_scores(12, (0.9, 0.8), {"fast": (2, 8)})}, l as (select y.instrument || l || '.ER.fast' as id, o.a + y.k * 12 + y.pos as idx, case l when 'P' then p else s end as value, c.fold
+from y join c on c.instrument = y.instrument and c.k = y.k and c.pos = y.pos cross join o cross join (select unnest(['P', 'S']) as l) where y.pos between 2 and 21 and c.fold > 0),
+z as (select id, idx, case when count(*) = 1 then max(value) else sum(value * fold) / sum(fold) end as value, sum(fold) as fold from l group by id, idx),
+b as (select id, idx, idx - row_number() over (partition by id order by idx) as island, value from z where value > 0.3), i as (select id, min(idx) filter (where value > 0.5) as on_, max(idx) as off_ from b group by id, island having max(value) > 0.5),
+u as (select i.id, on_, off_, count(*) as npts, max(z.value) as p_max, arg_max(z.idx, (z.value, -z.idx)) as at_max, avg(z.fold) as fold_mean from i join z on z.id = i.id and z.idx between on_ and off_ group by all)
+select id, on_ as "on", off_ as "off", npts, round(p_max, 6) as p_max, at_max, round(fold_mean, 6) as fold_mean, at_max * 3600000000 as pick_us, (at_max - on_) * 3600::double as lower, (off_ - at_max) * 3600::double as upper, round((1 - 0.5::double / p_max) * 100, 4) as confidence, {_QUALITY} as quality from u""",
+)
 def picking_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The whole path from events to picks: window, repair, predict, blind, stack, trigger, pick."""
     rows = grid(spark, folder).where("component in ('P', 'C', 'S')").drop("id")
-    return picking(rows, "PCS", length=24, step=12, blinding=2, thr_on=0.5, thr_off=0.3)
+    found = picking(rows, "PCS", length=24, step=12, blinding=2, thr_on=0.5, thr_off=0.3)
+    rounded = {c: F.round(c, n) for c, n in (("p_max", 6), ("fold_mean", 6), ("confidence", 4))}
+    return found.select("id", "on", "off", "npts", "at_max", "pick_us", "lower", "upper", "quality", *[v.alias(c) for c, v in rounded.items()])

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.plans.catalog import query
+from foldloom.plans.series_queries import GRID, WINDOWS
 from foldloom.sources import tables
 from foldloom.streaming import processors
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder in the one that all machines share; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldloom-")
+    """A new folder in the one that all machines share; where none is set, a temporary one, on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="foldloom-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -57,15 +62,27 @@ def packet_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.concat(F.lit("EV.ALL..EV"), F.upper(F.substring("event_type", 1, 1))).alias("id"), idx.alias("start"), F.array("value").alias("data"), F.array(F.lit(1.0)).alias("fold"))
 
 
-@query("stream_buffer")
+@query(
+    "stream_buffer",
+    f"""{GRID}, b as (select *, case when idx - 167 > lag(idx) over (partition by id order by idx) then 1 else 0 end as reset from g), e as (select id, max(idx) as e, sum(reset)::bigint as resets from b group by id),
+w as (select id, resets, unnest(range(e - 167, e + 1)) as idx from e) select w.id, w.idx, round(g.value, 6) as value, coalesce(g.fold, 0) as fold, 0::bigint as late, w.resets from w left join g on g.id = w.id and g.idx = w.idx""",
+)
 def stream_buffer(spark: SparkSession, folder: str) -> DataFrame:
-    """The last week of each series as a ring buffer holds it."""
+    """The last week of each series as a ring buffer holds it, sample by sample."""
     spark.conf.set(*processors.PROVIDER)
-    return finished(processors.buffered(packet_stream(spark, folder), 168), "update")
+    held = finished(processors.buffered(packet_stream(spark, folder), 168), "update")
+    each = held.select("id", "start", "late", "resets", F.posexplode(F.arrays_zip("value", "fold")).alias("at", "x"))
+    return each.select("id", (F.col("start") + F.col("at")).alias("idx"), F.round("x.value", 6).alias("value"), "x.fold", "late", "resets")
 
 
-@query("stream_windows")
+@query(
+    "stream_windows",
+    f"""{WINDOWS}, r as (select id, first from v where vf >= 0.2 and b - 2 > first + 23), p as (select id, first, unnest(range(first, first + 24)) as idx from r)
+select p.id, p.first, p.idx, round(g.value, 6) as value, coalesce(g.fold, 0) as fold from p left join g on g.id = p.id and g.idx = p.idx""",
+)
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of a day every half day, two hours late."""
+    """Windows of a day every half day, two hours late, sample by sample."""
     spark.conf.set(*processors.PROVIDER)
-    return finished(processors.windowed(packet_stream(spark, folder), 240, 24, 12, min_valid=0.2, delay=2), "append")
+    made = finished(processors.windowed(packet_stream(spark, folder), 240, 24, 12, min_valid=0.2, delay=2), "append")
+    each = made.select("id", "first", F.posexplode(F.arrays_zip("value", "fold")).alias("at", "x"))
+    return each.select("id", "first", (F.col("first") + F.col("at")).alias("idx"), F.round("x.value", 6).alias("value"), "x.fold")

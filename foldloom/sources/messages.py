@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldloom.functions import shapes
 from foldloom.functions.instants import MICROS, instant, micros
 
 WAVE = T.StructType(
@@ -155,6 +156,11 @@ def pick2k(rows: DataFrame) -> DataFrame:
     return rows.withColumn("message", F.concat(head, F.lit(" "), codes, mark, stamp(F.col("pick_us")), amps, F.lit("\n")))
 
 
+def graded_pick2k(rows: DataFrame, uncertainty: str = "uncertainty") -> DataFrame:
+    """pick2k of rows whose quality is the grade of their uncertainty in seconds; rows without one are of the last grade."""
+    return pick2k(rows.withColumn("quality", shapes.grade(F.coalesce(F.col(uncertainty), F.lit(float("inf"))))))
+
+
 def pick_scnl(rows: DataFrame) -> DataFrame:
     """rows with a space-separated PICK_SCNL line, its time in milliseconds; an empty location is --.
 

@@ -71,6 +71,24 @@ def invalid(packets: DataFrame) -> DataFrame:
     return packets.where((F.size("data") != F.size("fold")) | masked)
 
 
+def rejection(codes: tuple[str, ...] = CODES[:4]) -> Column:
+    """Why a row can't be a packet: its codes, sampling rate, start, samples or folds lack; null where it can."""
+    lacks = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    needed = [c for c in codes if c != "location"]
+    reason = F.when(F.greatest(*[lacks(F.col(c)) for c in needed]), "codes")
+    reason = reason.when(~F.coalesce(F.col("sampling_rate") > 0, F.lit(False)), "sampling_rate").when(F.col("starttime").isNull(), "starttime")
+    return reason.when(F.coalesce(F.size("data") <= 0, F.lit(True)), "data").when(F.coalesce(F.size("fold") != F.size("data"), F.lit(False)), "fold")
+
+
+def accepted(rows: DataFrame, metric: str | None = None) -> DataFrame:
+    """The rows that can be packets. metric: the number of each kind of rejected rows is an observed metric of this name."""
+    told = rows.withColumn("reason_", rejection())
+    if metric is not None:
+        reasons = ("codes", "sampling_rate", "starttime", "data", "fold")
+        told = told.observe(metric, *[F.count(F.when(F.col("reason_") == r, 1)).alias(r) for r in reasons])
+    return told.where("reason_ is null").drop("reason_")
+
+
 def contributions(spark: SparkSession, folder: str) -> DataFrame:
     """id, idx, value, fold: each user's hourly means as contributions to the series of the event type."""
     each = tables.event_samples(spark, folder, by_user=True)

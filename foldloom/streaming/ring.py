@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 METHODS = ("drop", "max", "mean")
+PAST = ("late", "restricted", "unrestricted")
 
 
 @dataclass
@@ -17,6 +18,8 @@ class Ring:
 
     length: int
     method: str = "mean"
+    past: str = "late"
+    edge: str = "end"
     start: int = 0
     value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     fold: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -26,6 +29,8 @@ class Ring:
     def __post_init__(self):
         if self.length < 1 or self.method not in METHODS:
             raise ValueError(f"length must be positive and method one of {', '.join(METHODS)}")
+        if self.past not in PAST or self.edge not in ("start", "end"):
+            raise ValueError(f"past must be one of {', '.join(PAST)}, and edge start or end")
 
     @property
     def end(self) -> int:
@@ -39,18 +44,45 @@ class Ring:
         n = min(self.length, len(value))
         self.value[self.length - n :], self.fold[self.length - n :] = value[len(value) - n :], fold[len(fold) - n :]
 
+    def _first(self, start: int, value: np.ndarray, fold: np.ndarray) -> None:
+        """The first packet: its end (or start) is the buffer's, and what does not fit at the other edge goes."""
+        if self.edge == "end":
+            self._set(start, value, fold)
+            return
+        self.start, n = start, min(self.length, len(value))
+        self.value, self.fold = np.full(self.length, np.nan), np.zeros(self.length)
+        self.value[:n], self.fold[:n] = value[:n], fold[:n]
+
+    def slide(self, to: int, edge: str = "end") -> None:
+        """Move the buffer so that its end (or start) is sample `to`; what moves out goes, and what comes in is masked."""
+        shift = to - (self.end if edge == "end" else self.start)
+        value, fold = np.full(self.length, np.nan), np.zeros(self.length)
+        low, high = max(0, shift), min(self.length, self.length + shift)
+        if low < high:
+            value[low - shift : high - shift], fold[low - shift : high - shift] = self.value[low:high], self.fold[low:high]
+        self.value, self.fold, self.start = value, fold, self.start + shift
+
     def append(self, start: int, value: np.ndarray, fold: np.ndarray) -> str:
-        """Take a packet: `first`, `joined`, `reset` (nothing of the buffer would remain) or `late` (it ends before the buffer's start).
+        """Take a packet: `first`, `joined`, `reset` (nothing of the buffer would remain), `late` (it ends before the buffer's start) or
+        `empty`.
 
-        The buffer's end is the latest end of all packets, so its scope never moves back.
+        The buffer's end is the latest end of all packets, so its scope never moves back, unless past is `unrestricted`: then a packet that
+        begins no later than the buffer and ends before it moves the buffer back to the packet's end, or takes its place if nothing would remain.
+        `restricted` takes the part of such a packet that lies within the buffer, as `late` does.
         """
         value, fold = np.asarray(value, float), np.where(np.isnan(np.asarray(value, float)), 0.0, np.asarray(fold, float))
         if not len(value):
             return "empty"
         if not len(self.value):
-            self._set(start, value, fold)
+            self._first(start, value, fold)
             return "first"
         end = start + len(value) - 1
+        if self.past == "unrestricted" and start <= self.start and end < self.end:
+            if self.start - end >= self.length:
+                self.resets += 1
+                self._first(start, value, fold)
+                return "reset"
+            self.slide(end)
         if max(end, self.end) - self.length + 1 > self.end:
             self.resets += 1
             self._set(start, value, fold)
