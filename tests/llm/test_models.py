@@ -201,15 +201,65 @@ def test_junk_is_told_from_prose(spark, folder):
     assert np.mean([found[k] for k in range(400) if k % 5]) > 0.97
 
 
-def test_thresholds_cover_all_good_rows(spark):
-    rng = random.Random(6)
-    rows = [(k, prose("en", rng.randrange(1, 60), rng), "en") for k in range(120)] + [(k, prose("de", 30, rng), "de") for k in (500, 501)]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
-    found = kneser_ney.quality(docs, labels, quantile=1.0, slack=1.0, trusted=20).collect()
-    assert len(found) == 122 and all(r["keep"] for r in found)
-    for lang in ("en", "de"):
-        worst = max(r["perplexity"] for r in found if r["lang"] == lang)
-        assert all(worst <= r["threshold"] < worst * 1.001 for r in found if r["lang"] == lang)
+def plain_kneser_ney(texts):
+    """Modified Kneser-Ney of order three over bytes, as published: probabilities of (context of two bytes, byte)."""
+    counts = collections.Counter(p[i : i + 3] for t in texts for p in [b"\0\0" + t] for i in range(len(t)))
+    tables = {3: counts}
+    for n in (2, 1):
+        tables[n] = collections.Counter(g[1:] for g in tables[n + 1])  # in how many contexts a shorter one stands
+
+    def cut(table):
+        n1, n2, n3, n4 = (sum(c == k for c in table.values()) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return 0.5, 1.0, 1.5
+        y = n1 / (n1 + 2 * n2)
+        return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
+
+    cuts = {n: cut(t) for n, t in tables.items()}
+
+    def chance(context, byte):
+        n = len(context) + 1
+        lower = chance(context[1:], byte) if context else 1 / 256
+        own = {g[-1]: c for g, c in tables[n].items() if g[:-1] == context}
+        if not own:
+            return lower
+        d = lambda c: cuts[n][min(c, 3) - 1]
+        total = sum(own.values())
+        c = own.get(byte, 0)
+        return (c - d(c) if c else 0) / total + sum(map(d, own.values())) / total * lower
+
+    return chance
+
+
+def test_query_against_plain_kneser_ney(spark):
+    """Counts, discounts, continuation counts, sums and quantiles, over trusted, other good, bad and unlabelled texts."""
+    rng = random.Random(11)
+    rows = [(k, prose(rng.choice(["en", "de"]), rng.randrange(1, 40), rng) if k % 9 else "~~" * rng.randrange(1, 9), rng.choice(["en", "de", None])) for k in range(90)] + [(90, "", "en"), (91, None, "en"), (92, "rare", "xx")]
+    labels = [(k, int(k % 9 > 0)) for k in range(0, 90, 2)] + [(92, 1)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in kneser_ney.quality(docs, told, quantile=0.9, slack=1.0, trusted=20).collect()}
+    good = {k for k, q in labels if q}
+    share = min(0.5, 20 / len(good))
+    picked = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 30)).alias("h")).collect()
+    trusted = {r["doc_id"] for r in picked if r["h"] < int((1 << 30) * share)} & good
+    assert 0 < len(trusted) < len(good)
+    text = {k: (t or "").encode() for k, t, _ in rows}
+    chance = plain_kneser_ney([text[k] for k in sorted(trusted)])
+    costs = {}
+    for k, t in text.items():
+        p = b"\0\0" + t
+        if t:
+            costs[k] = math.exp(-sum(math.log(chance(p[i : i + 2], p[i + 2])) for i in range(len(t))) / len(t))
+            assert found[k]["perplexity"] == pytest.approx(costs[k]), k
+    lang = {r[0]: r[2] for r in rows}
+    held = lambda some: sorted(math.ceil(math.log2(costs[k]) * 1000) for k in some)
+    for name in ("en", "de", None, "xx"):
+        some = [k for k in good - trusted if lang[k] == name] or [k for k in good if lang[k] == name]
+        limit = 2 ** (math.ceil(np.percentile(held(some), 90)) / 1000)
+        for k in costs:
+            if lang[k] == name:
+                assert found[k]["threshold"] == pytest.approx(limit) and found[k]["keep"] == (found[k]["perplexity"] <= found[k]["threshold"])
+    assert not found[90]["keep"] and found[91]["perplexity"] is None
 
 
 # toxicity
