@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset, and on a local master (tests), a temporary folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="foldloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,16 +38,58 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: later stages reread the files, so a lost executor costs no recomputation of what made them.
-    The files go when the driver's JVM ends.
+    The files go at the end of a surrounding `temporary`, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    if _MADE:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[list[str]] = []
+
+
+def _place(spark: SparkSession, path: str) -> tuple[object, object]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored in here go at its end, but for those stored by the function it gives; whoever stored those deletes them with `discard`."""
+    made: list[str] = []
+    _MADE.append(made)
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        made.pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table; nothing may read it any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("table-"):
+            _delete(spark, folder)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, broadcast if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

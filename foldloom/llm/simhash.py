@@ -33,6 +33,7 @@ from foldloom.llm.components import connected
 
 _EVEN = 0x5555555555555555
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+FINE = 1 << 26
 _LANES = (np.arange(8) * 256)[None, :]
 
 
@@ -107,8 +108,16 @@ def _forest(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(prints: DataFrame, radius: int = 3, blocks: int = 6, cell_rows: int = 1024) -> DataFrame:
-    """Links a, b whose transitive closure is that of all pairs of fingerprints (column fp, distinct) within the radius."""
+def links(prints: DataFrame, radius: int = 3, blocks: int | None = None, cell_rows: int = 1024) -> DataFrame:
+    """Links a, b whose transitive closure is that of all pairs of fingerprints (column fp, distinct) within the radius.
+
+    blocks: more of them make more projections and smaller cells. Six, or two more for each FINE-fold of fingerprints, so that few
+    fingerprints share a cell by accident; the links are the same.
+    """
+    if blocks is None:
+        blocks, size = radius + 3, prints.count()
+        while size > FINE:
+            blocks, size = blocks + 2, size // FINE
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def compare(groups: pd.Series) -> pd.Series:

@@ -1,12 +1,17 @@
 """Every query on empty tables, and on tables with nulls, empty and very long texts, repeated rows, ties and clashing names."""
 
+import collections
+import hashlib
 import random
+import zlib
 
 import pytest
 
 from foldloom.llm import entry_queries
 
 from .conftest import documents
+from .test_bpe import OTHER
+from .test_simhash import plain
 
 QUERIES = entry_queries.QUERIES
 
@@ -48,6 +53,33 @@ def test_awkward_rows(spark, full, name):
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in spark.read.parquet(f"{full}/documents.parquet").select("doc_id").collect())
 
 
+def test_values_of_awkward_rows(spark, full):
+    """Results that follow from a text alone, for null, empty, long and repeated rows, against plain versions."""
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{full}/documents.parquet").collect()]
+    text = lambda t: (t or "").encode()
+    listed = lambda name, *columns: sorted(map(repr, ((r["doc_id"], *[r[c] for c in columns]) for r in QUERIES[name](spark, full).collect())))
+    assert listed("op1_jump_shards", "size", "text_crc32") == sorted(repr((d, len(text(t)) + 1, zlib.crc32(text(t)))) for d, t in given)
+    assert listed("op2_simhash_near_dedup", "fingerprint") == sorted(repr((d, f"{plain(t):016x}")) for d, t in given)
+    ids = [(d, OTHER.encode_ordinary(t or ""), text(t)) for d, t in given]
+    told = lambda x: hashlib.sha256(x).hexdigest()
+    assert listed("op7_byte_bpe", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(repr((d, len(i), told(",".join(map(str, i)).encode()), told(t))) for d, i, t in ids)
+    training = [(t or "").lower().split() + [None] for d, t in given if zlib.crc32(str(d).encode()) % 7 != 2 or d is None]
+    counts = collections.Counter(w for t in training for w in t)
+    words_ = [(d, (t or "").lower().split() + [None]) for d, t in given]
+    assert listed("op5_backoff_automaton", "n_tokens", "n_known", "train_tokens") == sorted(repr((d, len(w), sum(x in counts for x in w), sum(counts.values()))) for d, w in words_)
+    lone = [d for d, t in given if not any(c.isalpha() for c in t or "")]
+    found = QUERIES["op4_ppm_language_id"](spark, full).collect()
+    assert sorted(str(r["doc_id"]) for r in found if r["lang_pred"] == "und") == sorted(map(str, lone)) and all((r["score"] == 0) == (r["lang_pred"] == "und") for r in found)
+    quality = QUERIES["op3_kneser_ney_quality"](spark, full).collect()
+    assert sorted(str(r["doc_id"]) for r in quality if r["perplexity"] is None) == sorted(str(d) for d, t in given if not t) and not any(r["keep"] for r in quality if r["perplexity"] is None)
+    blank = {r["score"] for r in QUERIES["op6_compression_toxicity"](spark, full).collect() if r["doc_id"] in {d for d, t in given if d is not None and not (t or "").split()}}
+    assert len(blank) == 1
+    by_text = {}
+    for r in QUERIES["op8_positional_index"](spark, full).collect():
+        by_text.setdefault((r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]), 0)
+    assert (0, 0, 0, False) in by_text and any(hit for _, hit, _, _ in by_text)
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, folder, name):
     assert QUERIES[name](spark, folder()).collect() == []

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from foldloom.llm import pii
 from foldloom.llm.entry_queries import QUERIES
 
@@ -60,3 +62,41 @@ def test_run_against_brute_force(spark, folder):
         expected[k] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["pipeline"](spark, path).collect()}
     assert found == expected and 10 < len(found) < 50
+
+
+def test_stored_tables_go(spark, folder, tmp_path):
+    import os
+
+    from foldloom.llm.common import discard, shared_folder, stored, temporary
+
+    listed = lambda: {x for x in os.listdir(shared_folder(spark)) if x.startswith("table-")}
+    before = listed()
+    with temporary(spark) as kept:
+        stored(spark.range(3))
+        last = kept(spark.range(5))
+        assert len(listed() - before) == 2
+    assert len(listed() - before) == 1 and last.count() == 5
+    discard(last)
+    assert listed() == before
+    path = folder(documents("a text of some words here", "another text of other words"))
+    QUERIES["pipeline"](spark, path).collect()
+    assert len(listed() - before) == 1 and os.path.exists(f"{path}/documents.parquet")
+
+
+def test_each_stage_takes_awkward_rows(spark, folder):
+    rows = documents("one text of words", "one text of words", None, "", (None, "no id here at all"), (1, "the same id again"), "x" * 3000)
+    path = folder(rows, benchmark=[(1, None), (None, "")])
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("gone", F.lit(1))
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, path).collect() == [], name
+        kept = [(r["doc_id"], r["text"]) for r in stage(spark, docs, path).collect()] if name != "byte_bpe" else None
+        texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        if name == "language_id":
+            assert sorted(map(str, kept)) == sorted(str(x) for x in texts if x[1])
+        elif name == "simhash_near_dedup":
+            assert sorted(map(str, kept)) == sorted(map(str, [(1, "one text of words"), (3, None), (None, "no id here at all"), (1, "the same id again"), (7, "x" * 3000)]))
+        elif kept is not None:
+            assert sorted(map(str, kept)) == sorted(map(str, texts)), name
+        else:
+            assert stage(spark, docs, path).count() == len(texts)
