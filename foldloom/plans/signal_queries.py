@@ -1,4 +1,4 @@
-"""Queries whose work is signal processing, fitting or scoring in Python; no SQL can express them."""
+"""Queries whose work is signal processing, fitting or scoring in Python, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from foldloom.operators import collate, dsp, predict, series, trigger, windows
 from foldloom.operators.frames import in_spans
 from foldloom.plans.catalog import query
 from foldloom.plans.pipeline import picking, preprocessing
-from foldloom.plans.series_queries import GRID, SHARES, grid, instrument_windows
+from foldloom.plans.series_queries import GRID, OFF_TIES, SHARES, grid, instrument_windows
 from foldloom.sources.packets import to_packets, to_samples, unmasked
 
 
@@ -17,17 +17,49 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return grid(spark, folder).select("id", "idx", "value", "fold")
 
 
-@query("bandpass")
+def _filtered(sections: list[list[float]]) -> str:
+    """The filter over each contiguous piece of table d (id, island, j, idx, value, fold) in SQL: u, of which `y` is the result."""
+    states = [f"{z}{k}" for k in range(len(sections)) for z in "pq"]
+    held = []
+    # each level of the nest works out one section from the one before it
+    nest = "select {keys}, d.value as x, {before} from {source}"
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        nest = f"select *, {b0!r}::double * {'x' if k == 0 else f'y{k - 1}'} + p{k} as y{k} from ({nest})"
+        held += [f"{b1!r}::double * {'x' if k == 0 else f'y{k - 1}'} - ({a1!r}::double) * y{k} + q{k}", f"{b2!r}::double * {'x' if k == 0 else f'y{k - 1}'} - ({a2!r}::double) * y{k}"]
+    last = f"y{len(sections) - 1}"
+    new = lambda keys, before, source: f"select id, island, j, idx, fold, {last} as y, {', '.join(f'{h} as n_{s}' for h, s in zip(held, states, strict=True))} from ({nest.format(keys=keys, before=before, source=source)})"
+    keys = "d.id, d.island, d.j, d.idx, d.fold"
+    first = new(keys, ", ".join(f"0::double as {s}" for s in states), "d where d.j = 1")
+    following = new(keys, ", ".join(f"u.n_{s} as {s}" for s in states), "u join d on d.id = u.id and d.island = u.island and d.j = u.j + 1")
+    return f"u as ({first} union all {following})"
+
+
+BAND = (1 / 48, 1 / 4, 1.0)
+
+
+@query(
+    "bandpass",
+    f"""{GRID.replace("with g", "with recursive g")}, i as (select id, idx, value - avg(value) over (partition by id) as value, fold, idx - row_number() over (partition by id order by idx) as island from g),
+d as (select *, row_number() over (partition by id, island order by idx) as j from i), {_filtered(dsp.butterworth(4, *BAND).tolist())} select id, idx, round(y + 0.0000314159::double, 5) as value, fold from u""",
+)
 def bandpass(spark: SparkSession, folder: str) -> DataFrame:
     """Periods of 4 to 48 hours."""
-    return dsp.bandpass(series.demean(samples(spark, folder)), 1 / 48, 1 / 4, 1.0)
+    found = dsp.bandpass(series.demean(samples(spark, folder)), *BAND)
+    return found.select("id", "idx", F.round(F.col("value") + OFF_TIES, 5).alias("value"), "fold")
 
 
-@query("fft_resample")
+@query(
+    "fft_resample",
+    f"""{GRID}, i as (select id, idx, value, fold, idx // 48 as cut, idx - row_number() over (partition by id order by idx) as island from g), p as (select id, cut, island, min(idx) as a, count(*) as n from i group by all),
+m as (select *, unnest(range(2 * n - 1)) as m from p), k as (select m.id, m.a, m.n, m.m, i.idx - m.a as j, i.value, i.fold, (m.m / 2::double - (i.idx - m.a)) as t from m join i on i.id = m.id and i.cut = m.cut and i.island = m.island)
+select id, 2 * a + m as idx, round(sum(value * case when t = 0 then 1 when m % 2 = 0 then 0 when n % 2 = 0 then sin(pi() * t) / (n * tan(pi() * t / n)) else sin(pi() * t) / (n * sin(pi() * t / n)) end) + 0.0000314159::double, 5) as value,
+round(sum(case when abs(t) < 1 then (1 - abs(t)) * fold else 0 end), 6) as fold from k group by id, a, m""",
+)
 def fft_resample(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of 48 hours at twice the rate, each split at its gaps; a piece of one sample stays as it is."""
     packets = unmasked(to_packets(samples(spark, folder), 48, "id"), "id")
-    return to_samples(dsp.resample(packets, 2.0, "id"), "id")
+    found = to_samples(dsp.resample(packets, 2.0, "id"), "id")
+    return found.select("id", "idx", F.round(F.col("value") + OFF_TIES, 5).alias("value"), F.round("fold", 6).alias("fold"))
 
 
 @query("lsq_gaussian")
