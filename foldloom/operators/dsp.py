@@ -240,11 +240,75 @@ def fit_gaussian(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.nda
     return p, np.linalg.pinv(j.T @ j) * spread
 
 
-def gaussian_fits(inside: DataFrame, by: Sequence[str] = ("id", "on"), x: str = "idx", y: str = "value") -> DataFrame:
+def gaussian_fits(inside: DataFrame, by: Sequence[str] = ("id", "on"), x: str = "idx", y: str = "value", most: int = 100_000) -> DataFrame:
     """height, mean, std, covariance (rows) and l2 of a gaussian fitted to the samples of each trigger with at least four.
 
-    The samples of one trigger are the group; its length is bounded by the trigger's max_len.
+    A trigger of at most `most` samples is fitted in one task; the sums of a longer one are grouped sums, round by round.
     """
+    live = inside.where(F.col(y).isNotNull())
+    sizes = live.groupBy(*by).agg(F.count("*").alias("n_"))
+    long = sizes.where(F.col("n_") > most).select(*by)
+    if long.isEmpty():
+        return _fits_by_task(inside, by, x, y)
+    return _fits_by_task(inside.join(long, list(by), "left_anti"), by, x, y).unionByName(_fits_by_sums(live.join(long, list(by), "left_semi"), by, x, y))
+
+
+def _fits_by_sums(live: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 60) -> DataFrame:
+    """The same fits with all sums over samples as grouped aggregates: each round sums up the slopes at the parameters on trial, and a step of
+    Levenberg and Marquardt on one row a trigger keeps them or goes back. Rounds are checkpointed.
+    """
+    at = live.select(*by, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"))
+    first = at.groupBy(*by).agg(F.min("x_").alias("origin"), F.max("y_").alias("a_"), (F.max_by("x_", "y_") - F.min("x_")).alias("b_"), F.greatest((F.max("x_") - F.min("x_")) / 6, F.lit(1e-3)).alias("c_"))
+    state = first.select(*by, "origin", F.array("a_", "b_", "c_").alias("trial"), F.lit(None).cast("array<double>").alias("best"), F.lit(None).cast("array<double>").alias("sums"), F.lit(1e-3).alias("damp"), F.lit(False).alias("done")).checkpoint()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
+    for _ in range(rounds):
+        placed = at.join(state.select(*by, "origin", "trial"), list(by))
+        u = F.col("x_") - F.col("origin") - F.col("trial")[1]
+        c = F.col("trial")[2]
+        e = F.exp(-u * u / (2 * c * c))
+        j = (e, F.col("trial")[0] * e * u / (c * c), F.col("trial")[0] * e * u * u / (c * c * c))
+        rest = F.col("y_") - F.col("trial")[0] * e
+        pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+        summed = placed.groupBy(*by).agg(F.array(*[F.sum(j[p] * j[q]) for p, q in pairs], *[F.sum(v * rest) for v in j], F.sum(rest * rest), F.count("*").cast("double")).alias("new_"))
+
+        def step(batches):
+            for rows in batches:
+                out = rows.drop(columns="new_").copy()
+                for k in range(len(rows)):
+                    new, old = np.array(rows["new_"].iat[k]), rows["sums"].iat[k]
+                    trial, damp = np.array(rows["trial"].iat[k]), rows["damp"].iat[k]
+                    better = old is None or new[9] < old[9]
+                    still = better and old is not None and np.abs(trial - np.array(rows["best"].iat[k])).max() < 1e-10 * (1 + np.abs(trial).max())
+                    best, sums, damp = (trial, new, damp / 5) if better else (np.array(rows["best"].iat[k]), np.array(old), damp * 5)
+                    normal = np.array([[sums[0], sums[1], sums[2]], [sums[1], sums[3], sums[4]], [sums[2], sums[4], sums[5]]])
+                    moved = best + np.linalg.lstsq(normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12)), sums[6:9], rcond=None)[0]
+                    moved[2] = abs(moved[2]) + 1e-12
+                    for name, value in (("trial", moved), ("best", best), ("sums", sums)):
+                        out[name] = out[name].astype(object)
+                        out[name].iat[k] = value.tolist()
+                    out.iloc[k, out.columns.get_loc("damp")] = damp
+                    out.iloc[k, out.columns.get_loc("done")] = bool(rows["done"].iat[k] or still or damp > 1e8)
+                yield out
+
+        state = state.join(summed, list(by)).mapInPandas(step, kinds).checkpoint()
+        if state.where("not done").isEmpty():
+            break
+    fields = ", ".join(f"`{c}` {live.schema[c].dataType.simpleString()}" for c in by) + ", height double, mean double, std double, covariance array<array<double>>, l2 double"
+
+    def told(batches):
+        for rows in batches:
+            out = rows[list(by)].copy()
+            best, sums = np.stack(rows["best"]), np.stack(rows["sums"])
+            out["height"], out["mean"], out["std"] = best[:, 0], rows["origin"].to_numpy() + best[:, 1], best[:, 2]
+            normal = sums[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+            out["covariance"] = [(np.linalg.pinv(m) * r / max(1, n - 3)).tolist() for m, r, n in zip(normal, sums[:, 9], sums[:, 10], strict=True)]
+            out["l2"] = np.sqrt(sums[:, 9])
+            yield out
+
+    return state.mapInPandas(told, fields)
+
+
+def _fits_by_task(inside: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -64,9 +64,9 @@ def fft_resample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("lsq_gaussian")
 def lsq_gaussian(spark: SparkSession, folder: str) -> DataFrame:
-    """A gaussian for each trigger of at most 200 samples, over two samples more on both sides."""
+    """A gaussian for each trigger, over two samples more on both sides."""
     rows = samples(spark, folder)
-    found = trigger.onsets(rows, 40.0, 20.0, max_len=200)
+    found = trigger.onsets(rows, 40.0, 20.0)
     spans = found.select("id", (F.col("on") - 2).alias("first"), (F.col("off") + 2).alias("last"), "on")
     return dsp.gaussian_fits(in_spans(rows, spans, ["id"]))
 

@@ -174,3 +174,18 @@ def test_repeated_rows_stay_owned(spark):
     rows = spark.createDataFrame([("a", k) for k in (0, 5, 5, 30)], "id string, idx long")
     found = sorted((r["idx"], r["k"]) for r in windows.owned(rows, ["id"], F.lit(True), 24, 12).collect())
     assert found == [(0, 0), (5, 0), (5, 0), (30, 1)]
+
+
+def test_long_triggers_are_fitted_by_sums(spark):
+    rng = np.random.default_rng(6)
+    shape = lambda k, h, m, d: h * np.exp(-((k - m) ** 2) / (2 * d**2))
+    k = np.arange(400)
+    rows = [("a", 0, int(i) + 1000, float(v)) for i, v in zip(k, shape(k, 3.0, 180.0, 40.0) + rng.normal(size=400) * 0.05, strict=True)]
+    rows += [("b", 7, int(i), float(v)) for i, v in zip(k[:30], shape(k[:30], 2.0, 14.0, 4.0), strict=True)]
+    inside = spark.createDataFrame(rows, 'id string, `on` long, idx long, value double')
+    one, two = ({r["id"]: r for r in dsp.gaussian_fits(inside, most=n).collect()} for n in (10_000, 50))
+    assert one.keys() == two.keys() == {"a", "b"}
+    for name in one:
+        for c in ("height", "mean", "std", "l2"):
+            assert two[name][c] == pytest.approx(one[name][c], rel=1e-5, abs=1e-6)
+        assert np.allclose(np.array(one[name]["covariance"]), np.array(two[name]["covariance"]), rtol=1e-3, atol=1e-8)
