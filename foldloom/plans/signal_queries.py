@@ -102,10 +102,20 @@ def predict_multiweight(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("instrument", "k", "weight", F.col("pos").cast("long").alias("pos"), "label", F.round("value", 6).alias("value"))
 
 
-@query("preprocess_window")
+@query(
+    "preprocess_window",
+    f"""{GRID.replace("with g", "with recursive g")}, l as (select id, regr_slope(value, idx) as slope, avg(value) as level, avg(idx) as mid, min(idx) as a, max(idx) as b from g group by id),
+i as (select g.id, g.idx, g.value - (l.level + l.slope * (g.idx - l.mid)) as value, g.fold, g.idx - row_number() over (partition by g.id order by g.idx) as island from g join l on l.id = g.id),
+d as (select *, row_number() over (partition by id, island order by idx) as j from i), {_filtered(dsp.butterworth(4, 1 / 48, 1 / 4, 1.0).tolist())},
+m as (select u.*, l.a, l.b, floor(least(0.05::double * (l.b - l.a + 1), (l.b - l.a + 1) / 2)) as m from u join l on l.id = u.id),
+w as (select *, case when idx - a < m then 0.5::double - 0.5::double * cos(pi() * (idx - a) / m) else 1 end * case when b - idx < m then 0.5::double - 0.5::double * cos(pi() * (b - idx) / m) else 1 end as w from m),
+n as (select id, idx, y * w / stddev_pop(y * w) over (partition by id) as value, fold * w as fold from w), r as (select id, unnest(range(a, b + 1)) as idx from l)
+select r.id, r.idx, round(n.value + 0.0000314159::double, 5) as value, coalesce(round(n.fold, 5), 0) as fold from r left join n on n.id = r.id and n.idx = r.idx""",
+)
 def preprocess_window(spark: SparkSession, folder: str) -> DataFrame:
     """Detrend, filter, taper and normalise each contiguous series, then put it on its grid with gaps masked."""
-    return preprocessing(1.0, 1 / 48, 1 / 4).run(samples(spark, folder))
+    made = preprocessing(1.0, 1 / 48, 1 / 4).run(samples(spark, folder))
+    return made.select("id", "idx", F.round(F.col("value") + OFF_TIES, 5).alias("value"), F.round("fold", 5).alias("fold"))
 
 
 _QUALITY = "case when p_max > 0.9 then 0 when p_max > 0.7 then 1 when p_max > 0.5 then 2 when p_max > 0.3 then 3 else 4 end"
