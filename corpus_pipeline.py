@@ -15,13 +15,13 @@ from foldloom.llm import bpe, decontaminate, langid, pii, simhash
 from foldloom.llm.common import discard, long_texts, table, temporary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: code length of noise is near eight bits a byte; text of a learned language lies far below
-MOST_BITS_PER_BYTE = 7.0
+#: code length of noise is near eight bits a byte; text of a learned language lies far below, but a few rare bytes weigh in a short one
+MOST_BITS_PER_BYTE, RARE_BITS = 7.0, 32
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts in a learned language: no `und`, and fewer bits a byte than noise takes. lang becomes the prediction.
+    """Keep texts in a learned language: no `und`, and fewer bits than noise takes. lang becomes the prediction.
 
     Null and empty texts, and those without a letter, go; ties go to the first language in order; equal rows share a fate; a very long text is
     judged whole; without any labelled text nothing is learned and nothing stays.
@@ -29,7 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     long_texts(spark)
     docs = docs.select(*COLUMNS)
     found = langid.predict(langid.fit(docs), docs, F.col("text"))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE))
+    noise = MOST_BITS_PER_BYTE + RARE_BITS / F.greatest(F.octet_length("text"), F.lit(1))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= noise))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
