@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.plans.catalog import query
-from foldloom.plans.series_queries import GRID, WINDOWS
+from foldloom.plans.series_queries import GRID
 from foldloom.sources import tables
 from foldloom.streaming import processors
 
@@ -75,9 +75,18 @@ def stream_buffer(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("id", (F.col("start") + F.col("at")).alias("idx"), F.round("x.value", 6).alias("value"), "x.fold", "late", "resets")
 
 
+#: w: the start f of the next window and the newest sample `now` after each move, and the window sent in it. A window that is not ready
+#: holds up the next ones until the buffer of 240 samples has moved past its start; the series is then anchored anew.
+SENT = f"""{GRID.replace("with g", "with recursive g")}, w as (select id, min(idx) as f, min(idx) as now, null::bigint as sent from g group by id union all
+select x.id, case when f < e1 - 239 then (select min(idx) from g where g.id = x.id and g.idx >= e1 - 239) when vf >= 0.2 then f + 12 else (select min(idx) from g where g.id = x.id and g.idx >= e2 - 239) end,
+case when f < e1 - 239 or vf >= 0.2 then e1 else e2 end, case when f >= e1 - 239 and vf >= 0.2 then f end
+from (select w.id, w.f, (select min(idx) from g where g.id = w.id and g.idx >= greatest(w.f + 26, w.now)) as e1, (select min(idx) from g where g.id = w.id and g.idx >= w.f + 240) as e2,
+(select count(*) from g where g.id = w.id and g.idx between w.f and w.f + 23 and g.fold >= 1) / 24::double as vf from w where w.f is not null) x where e1 is not null)"""
+
+
 @query(
     "stream_windows",
-    f"""{WINDOWS}, r as (select id, first from v where vf >= 0.2 and b - 2 > first + 23), p as (select id, first, unnest(range(first, first + 24)) as idx from r)
+    f"""{SENT}, p as (select id, sent as first, unnest(range(sent, sent + 24)) as idx from w where sent is not null)
 select p.id, p.first, p.idx, round(g.value, 6) as value, coalesce(g.fold, 0) as fold from p left join g on g.id = p.id and g.idx = p.idx""",
 )
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
