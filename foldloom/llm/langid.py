@@ -172,7 +172,7 @@ def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192
     blocks = []
     for part in parts:
         own = counts if len(parts) == 1 else counts.where(F.col("lang").between(part[0], part[-1]))
-        blocks.append(spark.sparkContext.broadcast(ContextTrees(own.toPandas().sort_values(["lang", "gram"]), max_contexts)))
+        blocks.append(spark.sparkContext.broadcast(ContextTrees(own.toArrow().to_pandas().sort_values(["lang", "gram"]), max_contexts)))
     return Languages(names, blocks)
 
 
