@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +39,29 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: later stages reread the files, so a lost executor costs no recomputation of what made them.
-    The files go at the end of a surrounding `temporary`, or else when the driver's JVM ends.
+    The files go at the end of a surrounding `temporary` of the same thread, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
-    if _MADE:
-        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_MADE: list[list[str]] = []
+#: folders made here, by their names, which no other folder has; and the lists of the open `temporary` blocks of a thread
+_OWN: dict[str, str] = {}
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder in the shared one, which goes as the tables of `stored` do."""
+    name = f"{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    _OWN[name] = path
+    if _OPEN.get():
+        _OPEN.get()[-1].append(name)
+    return path
 
 
 def _place(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -62,7 +73,7 @@ def _place(spark: SparkSession, path: str) -> tuple[object, object]:
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored in here go at its end, but for those stored by the function it gives; whoever stored those deletes them with `discard`."""
     made: list[str] = []
-    _MADE.append(made)
+    opened = _OPEN.set((*_OPEN.get(), made))
 
     def kept(df: DataFrame) -> DataFrame:
         out = stored(df)
@@ -72,22 +83,22 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     try:
         yield kept
     finally:
-        _MADE.remove(made)
-        for path in made:
-            _delete(spark, path)
+        _OPEN.reset(opened)
+        for name in made:
+            _delete(spark, name)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place, files = _place(spark, path)
-    files.delete(place, True)
+def _delete(spark: SparkSession, name: str) -> None:
+    path = _OWN.pop(name, None)
+    if path is not None:
+        place, files = _place(spark, path)
+        files.delete(place, True)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table; nothing may read it any more."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if folder.rpartition("/")[2].startswith("table-"):
-            _delete(spark, folder)
+    """Delete the files of a table that `stored` made; nothing may read it any more. Any other table stays, whatever its folder's name."""
+    for name in {file.split("/")[-2] for file in df.inputFiles()}:
+        _delete(df.sparkSession, name)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +63,7 @@ def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours)} | {"pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours)}
 OP8_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),

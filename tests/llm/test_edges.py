@@ -7,13 +7,14 @@ import zlib
 
 import pytest
 
+import corpus_pipeline
 from foldloom.llm import entry_queries
 
 from .conftest import documents
 from .test_bpe import OTHER
 from .test_simhash import plain
 
-QUERIES = entry_queries.QUERIES
+QUERIES = entry_queries.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def words(n, seed, some=300):
