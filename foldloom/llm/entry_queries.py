@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import ann, bpe, decontaminate, kneser_ney, langid, lm_score, pii, toxicity
+from foldloom.llm import ann, bpe, decontaminate, kneser_ney, langid, lm_score, merkle, pii, toxicity
 from foldloom.llm.common import remainder, table
 from foldloom.llm.sharding import shard_documents
 from foldloom.llm.simhash import near_duplicates
@@ -63,7 +63,11 @@ def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours, op11_merkle_manifest)}
 OP8_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
@@ -77,4 +81,23 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join hit using (doc_id) left join ids using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_positional_index": OP8_SQL}
+#: crc: table of the CRC-32 of single bytes; lv: all nodes of the source trees, tv: of the upper tree; a source s is '' for null, else = and its name
+OP11_SQL = r"""
+with recursive crc_(b, k, c) as (select range, 0, range from range(256) union all select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_ where k < 8),
+crc as (select list(c order by b) as t from crc_ where k = 8),
+l as (select doc_id, coalesce('=' || source, '') as s, text, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) as r from documents, crc),
+d as (select doc_id, s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf, sha256(head || coalesce(strlen(case when r & 1 = 1 then replace(text, chr(10), '') else text end) || ':' || case when r & 1 = 1 then replace(text, chr(10), '') else text end, '-')) as changed from l),
+p as (select *, row_number() over (partition by s order by doc_id, leaf) - 1 as i, count(*) over (partition by s) as n from d),
+lv(level, s, i, h, n) as (select 0, s, i, leaf, n from p union all select level + 1, s, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3) from lv where n > 1 group by level, s, i // 3),
+sub as (select s, h, level as levels, row_number() over (order by s) - 1 as i, count(*) over () as n from lv where n = 1),
+tv(level, i, h, n) as (select 0, i, h, n from sub union all select level + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3) from tv where n > 1 group by level, i // 3),
+run as (select level, s, i // 3 as g, list(h order by i) as hs from lv where n > 1 group by all union all select sub.levels + level, sub.s, tv.i // 3, list(tv.h order by tv.i) from tv join sub on tv.n > 1 and tv.i // 3 = (sub.i // cast(pow(3, level) as bigint)) // 3 group by all),
+walk(doc_id, s, level, i, leaf, held, sibs) as (select doc_id, p.s, 0, case when levels = 0 then sub.i else p.i end, leaf, changed, '' from p join sub on sub.s = p.s union all
+select w.doc_id, w.s, w.level + 1, case when w.level + 1 = sub.levels then sub.i else w.i // 3 end, w.leaf, sha256(array_to_string(list_concat(hs[1:(w.i % 3)], [w.held], hs[(w.i % 3 + 2):]), '')), w.sibs || array_to_string(list_concat(hs[1:(w.i % 3)], hs[(w.i % 3 + 2):]), '')
+from walk w join sub on sub.s = w.s join run on run.level = w.level and run.s = w.s and run.g = w.i // 3)
+select w.doc_id, w.leaf, sub.h as subroot, tv.h as root, sha256(sibs) as proof_sha256, held as folded_root, held = tv.h as verified
+from walk w join sub on sub.s = w.s join tv on tv.n = 1 where w.level = sub.levels + tv.level
+"""
+
+ORACLES: dict[str, str] = {"op8_positional_index": OP8_SQL, "op11_merkle_manifest": OP11_SQL}

@@ -28,7 +28,7 @@ def test_stages_take_effect(spark, folder):
         if name == "feistel_pseudonyms":
             assert "10.1.2.3" not in {r["doc_id"]: r["text"] for r in docs.collect()}[5]
     assert kept == [{1, 2, 4, 5}, {1, 4, 5}, {1, 5}, {1, 5}, {1, 5}]
-    assert {r["doc_id"] for r in QUERIES["pipeline"](spark, path).collect()} == {1, 5}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()} == {1, 5}
 
 
 def test_run_against_brute_force(spark, folder):
@@ -60,7 +60,7 @@ def test_run_against_brute_force(spark, folder):
     for k, t in named.items():
         ids = OTHER.encode_ordinary(t)
         expected[k] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
-    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["pipeline"](spark, path).collect()}
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, path).collect()}
     assert found == expected and 10 < len(found) < 50
 
 
@@ -79,7 +79,7 @@ def test_stored_tables_go(spark, folder, tmp_path):
     discard(last)
     assert listed() == before
     path = folder(documents("a text of some words here", "another text of other words"))
-    QUERIES["pipeline"](spark, path).collect()
+    corpus_pipeline.run(spark, path).collect()
     assert len(listed() - before) == 1 and os.path.exists(f"{path}/documents.parquet")
 
 
