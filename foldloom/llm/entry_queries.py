@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import ann, bpe, decontaminate, kneser_ney, langid, lm_score, merkle, pii, toxicity
+from foldloom.llm import ann, bpe, decontaminate, kneser_ney, langid, lm_score, merkle, pii, token_files, toxicity, wand
 from foldloom.llm.common import remainder, table
 from foldloom.llm.sharding import shard_documents
 from foldloom.llm.simhash import near_duplicates
@@ -67,7 +67,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours, op11_merkle_manifest)}
+def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(wand.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", end: int = 2) -> DataFrame:
+    return token_files.digests(token_files.written(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op2_simhash_near_dedup, op3_kneser_ney_quality, op4_ppm_language_id, op5_backoff_automaton, op6_compression_toxicity, op7_byte_bpe, op8_positional_index, op9_feistel_pseudonyms, op10_kmeans_tree_neighbours, op11_merkle_manifest, op12_wand_search, op13_token_files)}
 OP8_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
@@ -100,4 +108,17 @@ select w.doc_id, w.leaf, sub.h as subroot, tv.h as root, sha256(sibs) as proof_s
 from walk w join sub on sub.s = w.s join tv on tv.n = 1 where w.level = sub.levels + tv.level
 """
 
-ORACLES: dict[str, str] = {"op8_positional_index": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
+OP12_SQL = r"""
+with words as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+d as (select row_number() over () as row, doc_id, w, len(w)::bigint as n from words where len(w) > 0),
+q as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+asked as (select distinct item_id, unnest(w) as term from q),
+total as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from d),
+tf as (select row, doc_id, n, term, count(*)::bigint as tf from (select row, doc_id, n, unnest(w) as term from d) where term in (select term from asked) group by all),
+weight as (select term, floor(1000 * ln((2 * any_value(big_n) + 2)::double / (2 * count(*) + 1)))::bigint as weight from tf, total group by term),
+scored as (select item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::bigint as score from asked join tf using (term) join weight using (term), total group by item_id, row, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op12_wand_search": OP12_SQL, "op8_positional_index": OP8_SQL, "op11_merkle_manifest": OP11_SQL}

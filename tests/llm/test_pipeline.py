@@ -5,7 +5,6 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from foldloom.llm import pii
-from foldloom.llm.entry_queries import QUERIES
 
 from .conftest import documents
 from .test_bpe import OTHER
