@@ -3,15 +3,15 @@
 For each language a context tree of bytes up to three deep is counted on a bounded sample of labelled texts. With the
 counts frozen, the code length of a byte after a context follows by method C: a seen byte costs its share of count + kinds, an
 unseen one costs the escape and then its code length one context shorter, with the bytes already ruled out excluded.
-All of it is worked out once into one flat table of code lengths (context, byte, language), so a text is scored whole,
-by lookups. The prediction is the language of least code length; its score is the posterior probability under equal
-priors, 2^-length normalised over the languages.
+A tree keeps the bits of every seen (context, byte) and the escape of every context, each order in a sorted array, so its size is in
+proportion to the language's sample and no context is left out. Workers lay the most frequent contexts of a block of languages out in one
+dense table of code lengths, a fast path to the same numbers. The prediction is the language of least code length; its score is the posterior
+probability under equal priors, 2^-length normalised over the languages.
 
 Learning reads only text and lang, of rows that have both. The sample is about `sample_bytes` of text for each
-language, drawn by a hash of doc_id. Any number of languages is learned, in blocks of `block_languages`: the driver
-gathers the counts of one block at a time, and a block's trees, of `max_contexts` contexts at most (the most frequent ones; of
-a bounded sample), are one broadcast of a fixed size. One block is one pass over the texts; more blocks are a pass each, whose least
-code lengths meet by row.
+language, drawn by a hash of doc_id; counts are summed and each language's tree is built on executors. Any number of languages is learned: the
+driver passes the trees on in blocks of `block_languages`, one broadcast a block, of a size that the sample bounds. One block is one pass
+over the texts; more blocks are a pass each, whose least code lengths meet by row, and a block's broadcast is released after its pass.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or where nothing could be learned; equal
 code lengths go to the language first in order; equal rows get equal results, repeated ones too; an empty table gives an empty
@@ -21,6 +21,7 @@ unchanged, but for those named like a result, which it replaces.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from foldloom.llm.common import BROADCAST_ROWS, free, stored
 
 DEPTH = 3
+#: rows of 256 code lengths, one a context and language, that a worker lays out (64 MB)
+DENSE_ROWS = 65_536
 START = b"\n" * DEPTH
 CHUNK_BYTES = 250_000
 UNKNOWN = "und"
@@ -51,63 +54,93 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, starts, ends
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted keys stand in sorted keys, and which do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+@dataclass
+class Tree:
+    """One language: by order, the bits of seen codes (context and byte) and the escape bits of contexts; and how often each longest context came."""
+
+    seen: list[tuple[np.ndarray, np.ndarray]]
+    escapes: list[tuple[np.ndarray, np.ndarray]]
+    often: np.ndarray
+
+    @classmethod
+    def of(cls, gram: np.ndarray, n: np.ndarray) -> Tree:
+        """gram: codes of DEPTH + 1 bytes; n: their counts."""
+        seen, escapes, often = [], [], np.zeros(0)
+        shorter, chance = np.zeros(0, np.uint32), np.zeros(0)
+        for k in range(DEPTH + 1):
+            codes, inverse = np.unique(gram.astype(np.uint32) & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            counted = np.bincount(inverse, n, len(codes))
+            contexts, owner = np.unique(codes >> np.uint32(8), return_inverse=True)
+            often, kinds = np.bincount(owner, counted, len(contexts)), np.bincount(owner, minlength=len(contexts))
+            # what is seen after a context is seen after its end, too
+            below = chance[_found(shorter, codes & np.uint32((1 << 8 * k) - 1))[0]] if k else np.full(len(codes), 1 / 256)
+            left = 1 - np.bincount(owner, below, len(contexts))
+            every = kinds == 256
+            own = counted / np.where(every, often, often + kinds)[owner]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(every, 0.0, -np.log2(kinds / (often + kinds) / left))
+            seen.append((codes, -np.log2(own)))
+            escapes.append((contexts, escape))
+            shorter, chance = codes, own
+        return cls(seen, escapes, often)
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """The code length of the last byte of each code after those before it."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(DEPTH, -1, -1):
+            own = codes[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at, hit = _found(self.seen[k][0], own)
+            out[left[hit]] += self.seen[k][1][at[hit]]
+            left, own = left[~hit], own[~hit]
+            at, known = _found(self.escapes[k][0], own >> np.uint32(8))
+            out[left[known]] += self.escapes[k][1][at[known]]
+        out[left] += 8.0
+        return out.astype(np.float32)
+
+
 class ContextTrees:
-    """languages, state_of (last three bytes to state) and cost (bits; state x byte x language)."""
-
-    def __init__(self, counts: pd.DataFrame, max_contexts: int):
-        """counts: lang, gram, n."""
-        self.languages = sorted(counts["lang"].unique())
-        number = {x: i for i, x in enumerate(self.languages)}
-        lang, gram, n = counts["lang"].map(number).to_numpy(np.int64), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        contexts = [np.unique(gram >> 8 & (1 << 8 * k) - 1, return_inverse=True) for k in range(DEPTH + 1)]
-        totals = [np.bincount(inverse, n, len(values)) for values, inverse in contexts]
-        # the most frequent contexts stay; a suffix is at least as frequent as what it ends, and comes first
-        order = sorted((-t, k, v) for k in range(DEPTH + 1) for t, v in zip(totals[k].tolist(), contexts[k][0].tolist(), strict=True))[:max_contexts]
-        place = {(k, v): i for i, (_, k, v) in enumerate(order)}
-        by_depth = [np.arange(1, dtype=np.int32) * 0]
-        for k in range(1, DEPTH + 1):
-            table = np.tile(by_depth[-1], 256)
-            for _, depth, value in order:
-                if depth == k:
-                    table[value] = place[k, value]
-            by_depth.append(table)
-        self.state_of = by_depth[DEPTH].astype(np.uint16 if len(order) <= 1 << 16 else np.int32)
-        cost = np.empty((max(1, len(order)), 256, len(self.languages)), np.float32)
-        for i in range(len(self.languages)):
-            own = lang == i
-            counted = np.zeros((max(1, len(order)), 256))
-            for k in range(DEPTH + 1):
-                value = gram[own] >> 8 & (1 << 8 * k) - 1
-                state = np.array([place.get((k, v), -1) for v in value.tolist()], np.int64)
-                kept = state >= 0
-                np.add.at(counted, (state[kept], gram[own][kept] & 255), n[own][kept])
-            chance = np.empty_like(counted)
-            for j, (_, k, v) in enumerate(order):
-                shorter = chance[place[k - 1, v & (1 << 8 * (k - 1)) - 1]] if k else np.full(256, 1 / 256)
-                chance[j] = self._mixed(counted[j], shorter)
-            if not order:
-                chance[:] = 1 / 256
-            cost[:, :, i] = -np.log2(chance)
-        self.cost = cost.reshape(len(cost) * 256, len(self.languages))
-
-    @staticmethod
-    def _mixed(counted: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        seen = counted > 0
-        total, kinds = counted.sum(), seen.sum()
-        if not kinds:
-            return shorter
-        if kinds == 256:
-            return counted / total
-        return np.where(seen, counted / (total + kinds), kinds / (total + kinds) * shorter / shorter[~seen].sum())
+    """The trees of a block of languages. cost: bits of the contexts laid out (context x byte x language)."""
+
+    def __init__(self, languages: list[str], trees: list[bytes]):
+        self.languages, self.packed = languages, trees
+
+    def __getstate__(self):
+        return {"languages": self.languages, "packed": self.packed}
+
+    def _unpack(self) -> None:
+        """The trees, and the table of their most frequent contexts; state 0 stands for any other context."""
+        self.trees = [pickle.loads(t) for t in self.packed]
+        contexts, inverse = np.unique(np.concatenate([t.escapes[DEPTH][0] for t in self.trees]), return_inverse=True)
+        often = np.bincount(inverse, np.concatenate([t.often for t in self.trees]), len(contexts))
+        laid = contexts[np.lexsort([contexts, -often])[: DENSE_ROWS // len(self.trees) - 1]]
+        self.state_of = np.zeros(1 << 8 * DEPTH, np.uint16)
+        self.state_of[laid] = np.arange(1, len(laid) + 1)
+        codes = (laid[:, None] << np.uint32(8) | np.arange(256, dtype=np.uint32)).ravel()
+        self.cost = np.zeros(((len(laid) + 1) * 256, len(self.trees)), np.float32)
+        for i, tree in enumerate(self.trees):
+            self.cost[256:, i] = tree.bits(codes)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of every whole text in every language."""
+        if not hasattr(self, "trees"):
+            self._unpack()
         codes, starts, ends = _grams(texts)
-        cells = self.state_of[codes >> np.uint32(8)].astype(np.int64) << 8 | (codes & np.uint32(255))
+        states = self.state_of[codes >> np.uint32(8)]
+        cells = states.astype(np.int64) << 8 | (codes & np.uint32(255))
+        other = np.nonzero(states == 0)[0]
         out = np.zeros((len(texts), len(self.languages)))
         full = np.nonzero(starts < ends)[0]
-        for k in range(len(self.languages)):
+        for k, tree in enumerate(self.trees):
             bits = np.append(np.take(self.cost[:, k], cells).astype(np.float64), 0.0)
+            bits[other] = tree.bits(codes[other])
             out[full, k] = np.add.reduceat(bits, np.stack([starts[full], ends[full]], 1).ravel())[::2] if len(full) else 0
         return out
 
@@ -143,7 +176,7 @@ class Languages:
     blocks: list[Broadcast]
 
 
-def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192, block_languages: int = 16) -> Languages:
+def fit(docs: DataFrame, sample_bytes: int = 2_000_000, block_languages: int = 16) -> Languages:
     """Trees learned from text and lang of the given rows (doc_id, text, lang)."""
     spark = docs.sparkSession
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -166,14 +199,18 @@ def fit(docs: DataFrame, sample_bytes: int = 2_000_000, max_contexts: int = 8192
             yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
     counts = sample.select("text", "lang").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    parts = [names[k : k + block_languages] for k in range(0, len(names), block_languages)]
-    if len(parts) > 1:
-        counts = stored(counts)
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("gram")
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "tree": [pickle.dumps(Tree.of(rows["gram"].to_numpy(), rows["n"].to_numpy(np.float64)))]})
+
+    grown = stored(counts.groupBy("lang").applyInPandas(grow, "lang string, tree binary"))
     blocks = []
-    for part in parts:
-        own = counts if len(parts) == 1 else counts.where(F.col("lang").between(part[0], part[-1]))
-        blocks.append(spark.sparkContext.broadcast(ContextTrees(own.toArrow().to_pandas().sort_values(["lang", "gram"]), max_contexts)))
-    return Languages(names, blocks)
+    for part in [names[k : k + block_languages] for k in range(0, len(names), block_languages)]:
+        own = {r["lang"]: bytes(r["tree"]) for r in grown.where(F.col("lang").between(part[0], part[-1])).collect()}
+        if own:
+            blocks.append(spark.sparkContext.broadcast(ContextTrees(sorted(own), [own[name] for name in sorted(own)])))
+    return Languages(names if blocks else [], blocks)
 
 
 def _told(block: Broadcast) -> Callable[[Column], Column]:
@@ -201,7 +238,10 @@ def predict(model: Languages, docs: DataFrame, text: Column) -> DataFrame:
     else:
         row_ = free(docs, "row")
         rows = stored(docs.withColumns({row_: F.monotonically_increasing_id(), told_: told}))
-        passes = [stored(rows.select(row_, _told(b)(text).alias("x")).select(row_, "x.*")) for b in model.blocks]
+        passes = []
+        for block in model.blocks:
+            passes.append(stored(rows.select(row_, _told(block)(text).alias("x")).select(row_, "x.*")))
+            block.unpersist()
         first = F.min(F.struct("least", "lang", "size")).alias("m")
         every = reduce(DataFrame.unionByName, passes)
         best = every.groupBy(row_).agg(first)

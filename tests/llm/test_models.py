@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pickle
 import random
 import re
 import zlib
@@ -30,11 +31,33 @@ def held_out(doc_id, k):
 # language ID
 
 
+def block_of(**counts):
+    """The trees of languages given by the counts of their codes."""
+    grown = {name: langid.Tree.of(np.array(sorted(c), np.int64), np.array([c[g] for g in sorted(c)], float)) for name, c in counts.items()}
+    return langid.ContextTrees(list(grown), [pickle.dumps(t) for t in grown.values()])
+
+
+def test_no_context_is_left_out(monkeypatch):
+    """Code lengths don't depend on which contexts are laid out, nor on the languages of the same block."""
+    rng = random.Random(10)
+    texts = {name: "".join(rng.choices(letters, k=4000)) for name, letters in (("a", "abcdefgh "), ("b", "ghijké "), ("c", "xyzabß "))}
+    counts = {}
+    for name, text in texts.items():
+        codes, starts, ends = langid._grams([text])
+        counts[name] = collections.Counter(codes[starts[0] : ends[0]].tolist())
+    unseen = [*texts.values(), "zzz qqq", "".join(rng.choices("abxyzqé ", k=500))]
+    wide = block_of(**counts).lengths(unseen)
+    monkeypatch.setattr(langid, "DENSE_ROWS", 12)
+    narrow = block_of(**counts)
+    assert np.array_equal(narrow.lengths(unseen), wide) and len(narrow.cost) == 4 * 256
+    assert np.array_equal(block_of(b=counts["b"]).lengths(unseen)[:, 0], wide[:, 1])
+
+
 def test_code_lengths_are_those_of_ppm():
     texts = ["abracadabra abra", "banana band"]
     codes, starts, ends = langid._grams(texts)
     counts = collections.Counter(int(c) for s, e in zip(starts, ends, strict=True) for c in codes[s:e])
-    trees = langid.ContextTrees(pd.DataFrame([("x", g, n) for g, n in counts.items()], columns=["lang", "gram", "n"]), 1000)
+    trees = block_of(x=counts)
     tables = [collections.defaultdict(collections.Counter) for _ in range(4)]
     for g, n in counts.items():
         data = g.to_bytes(4, "big")
@@ -57,7 +80,7 @@ def test_code_lengths_are_those_of_ppm():
     data = b"\n\n\n" + text.encode()
     bits = -sum(math.log2(chance(data[k - 3 : k], data[k])) for k in range(3, len(data)))
     assert trees.lengths([text])[0, 0] == pytest.approx(bits, rel=1e-5)
-    assert np.exp2(-trees.cost.reshape(-1, 256)).sum(axis=1) == pytest.approx(1, rel=1e-4)
+    assert np.exp2(-trees.cost[256:].reshape(-1, 256)).sum(axis=1) == pytest.approx(1, rel=1e-4)
     assert trees.lengths(["", text]).tolist()[0] == [0.0]
 
 
@@ -81,12 +104,12 @@ def test_any_number_of_languages(spark, monkeypatch):
     make = lambda lang, n: " ".join("".join(rng.choices(kinds[lang], k=3)) for _ in range(n))
     rows = [(k, make(lang, 30), lang) for k, lang in enumerate(list(kinds) * 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(docs.where("doc_id < 600"), max_contexts=2048, block_languages=150)
+    model = langid.fit(docs.where("doc_id < 600"), block_languages=150)
     assert len(model.names) == 600 and len(model.blocks) == 4
     found = langid.predict(model, docs.where("doc_id >= 600").select("doc_id", "text", F.col("lang").alias("truth")), F.col("text")).collect()
     assert len(found) == 600 and np.mean([r["lang_pred"] == r["truth"] for r in found]) > 0.99 and all(0 < r["score"] <= 1 for r in found)
     few = docs.where("lang < 'l020'")
-    one, many = (langid.predict(langid.fit(few.where("doc_id < 600"), max_contexts=100_000, block_languages=n), few, F.col("text")) for n in (50, 6))
+    one, many = (langid.predict(langid.fit(few.where("doc_id < 600"), block_languages=n), few, F.col("text")) for n in (50, 6))
     a, b = ({r["doc_id"]: (r["lang_pred"], r["score"], r["bits_per_byte"]) for r in x.collect()} for x in (one, many))
     assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], rel=1e-3) for k in a)
 
@@ -96,7 +119,7 @@ def test_long_texts_are_scored_whole(monkeypatch):
     text = "".join(random.Random(9).choices("abcdeé ", k=2000))
     codes, starts, ends = langid._grams([text])
     counts.update(codes[starts[0] : ends[0]].tolist())
-    trees = langid.ContextTrees(pd.DataFrame([("x", g, n) for g, n in counts.items()], columns=["lang", "gram", "n"]), 5000)
+    trees = block_of(x=counts)
     whole = trees.lengths([text, "b"])
     monkeypatch.setattr(langid, "CHUNK_BYTES", 97)
     bits, sizes = trees.whole_lengths([text, "b", ""])
