@@ -17,9 +17,12 @@ texts, equal rows one after the other; an empty table gives an empty result; fur
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,35 @@ from tokenizers import Tokenizer
 
 from foldloom.llm.common import new_folder, pieces, small, spans, stored
 
-#: words of at most so many bytes are remembered, and so many of them
+#: words of at most so many bytes are remembered, and twice so many of them at most
 LONGEST, REMEMBERED = 64, 300_000
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 8_000_000
+STOPS = ",.;:!?"
+#: words of Latin letters whose small form is one letter, too, and which composition leaves as they are
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+LATIN = re.compile(LETTERS)
+#: fixed values: the characters that stand for bytes in byte-level vocabularies; those that print stand for themselves
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: b for b in SHOWN} | {b: 0x100 + k for k, b in enumerate(sorted(set(range(0x100)) - set(SHOWN)))}
+
+
+class Remembered(dict):
+    """What a function gives for a key. When it is full, what was asked for lately stays for another round."""
+
+    def __init__(self, made: Callable[[str], bytes], most: int = REMEMBERED):
+        super().__init__()
+        self.made, self.most, self.older = made, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -41,23 +70,63 @@ class WordEncoder:
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer, self.met = Tokenizer.from_str(definition), {}
-
-    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        if len(self.met) > REMEMBERED:
-            self.met = {}
-        fresh = list(set().union(*cut).difference(self.met))
-        told = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-        self.met.update((w, np.array(x.ids, "<i4").tobytes()) for w, x in zip(fresh, told, strict=True))
-        out = [b"".join(map(self.met.__getitem__, words)) for words in cut]
-        for w in fresh:
-            if len(w) > LONGEST:
-                del self.met[w]
-        return out
-
-    def whole(self, text: bytes) -> bytes:
-        return b"".join(b"".join(self.encode([part])) for part in pieces(text))
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
+        self.parts = Remembered(self._part)
+
+    def _part(self, part: str) -> bytes:
+        """A word of small Latin letters is one piece for the tokenizer's model, which wants its bytes as characters; all else goes to the tokenizer."""
+        if LATIN.match(part):
+            return array("i", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTES))]).tobytes()
+        return array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    @staticmethod
+    def split(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words of letters in small letters, and the stops after them; other words as they are, and nothing after them.
+
+        The tokenizer lowers cases, and ends a run of letters before a stop, so the ids of a word are those of both parts.
+        """
+        bare = pc.utf8_rtrim(words, characters=STOPS)
+        plain = pc.match_substring_regex(bare, LETTERS)
+        ended = pc.and_(plain, pc.less(pc.binary_length(bare), pc.binary_length(words)))
+        stops = pc.replace_substring_regex(words.filter(ended), rf"^.*[^{STOPS}]", "")
+        return pc.if_else(plain, pc.utf8_lower(bare), words), pc.replace_with_mask(pa.array([""] * len(words)), ended, stops)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and their number in each; each distinct word is looked up once."""
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.values.dictionary_encode()
+        parts = pa.concat_arrays(self.split(words.dictionary)).dictionary_encode()
+        packed = list(map(self.parts.__getitem__, parts.dictionary.to_pylist()))
+        sizes = np.array([len(p) >> 2 for p in packed], np.int64)
+        flat, starts = np.frombuffer(b"".join(packed), "<i4"), np.cumsum(sizes) - sizes
+        codes = parts.indices.to_numpy().reshape(2, -1).T[words.indices.to_numpy()].ravel()  # of each word's two parts, in turn
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], each)]
+        return ids, np.diff(ends[2 * cut.offsets.to_numpy()])
+
+    def whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of any length: in stretches of CHUNK_BYTES, longer texts in parts of a megabyte."""
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        sizes = pc.binary_length(texts).to_pylist()
+        for first, end in spans(sizes, CHUNK_BYTES):
+            if max(sizes[first:end]) <= CHUNK_BYTES:
+                own, n = self.encode(texts[first:end])
+                ids.append(own)
+                counts.append(n)
+                continue
+            for text in texts[first:end]:
+                parts = [self.encode(pa.array([part.decode()]))[0] for part in pieces(text.as_py().encode())]
+                ids += parts
+                counts.append(np.array([sum(map(len, parts))]))
+        return np.concatenate(ids), np.concatenate(counts)
+
+
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> WordEncoder:
+    """One encoder a worker process, with the words that its tasks have met."""
+    return WordEncoder(definition)
 
 
 @dataclass(frozen=True)
@@ -91,21 +160,19 @@ def write(docs: DataFrame, path: str, definition: str, end: int, stripe_bytes: i
     shared = spark.sparkContext.broadcast(definition)  # a file of fixed size
     by = ["doc_id", "hash_", "tie_"]
     told = docs.select("doc_id", "text", F.xxhash64("text").alias("hash_"), F.monotonically_increasing_id().alias("tie_"))
-    ordered = told.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", F.col("text").cast("binary").alias("text"))
+    ordered = told.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, first = WordEncoder(shared.value), TaskContext.get().partitionId(), 0
-        closing = np.array([end], "<i4").tobytes()
+        encoder, part, first = _encoder(shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for a, b in spans(sizes, CHUNK_BYTES):
                 rows = batch.slice(a, b - a)
-                texts = [t or b"" for t in rows.column(1).to_pylist()]
-                long = max(map(len, texts)) > CHUNK_BYTES
-                packed = [x + closing for x in (map(encoder.whole, texts) if long else encoder.encode(texts))]
-                ends = np.cumsum([0, *(len(x) >> 2 for x in packed)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(texts), part, np.int32)), pa.array(first + ends[:-1]), ids], ["doc_id", "part", "first", "ids"])
+                ids, counts = encoder.whole(pc.fill_null(rows.column(1), ""))
+                ids = np.insert(ids, np.cumsum(counts), end)
+                ends = np.concatenate([[0], np.cumsum(counts + 1)])
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(first + ends[:-1]), listed], ["doc_id", "part", "first", "ids"])
                 first += int(ends[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

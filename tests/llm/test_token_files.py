@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ def plain(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
+def own(text):
+    return WORDS.whole(pa.array([text]))[0].tolist()
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -32,16 +37,33 @@ def crc(ids):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0̀́  　Σσßİ'sé")), max_size=60))
 def test_words_as_whole_texts(text):
-    assert np.frombuffer(WORDS.encode([text.encode()])[0], "<i4").tolist() == plain(text)
+    assert own(text) == plain(text)
+
+
+def test_remembered_words_stay_within_their_bound():
+    asked = []
+    held = token_files.Remembered(lambda w: asked.append(w) or w.encode() * 2, 10)
+    for k in range(100):
+        assert held["often"] == b"oftenoften" and held[str(k)] == str(k).encode() * 2
+        assert len(held) <= 10 and len(held.older) <= 10
+    assert held["x" * 70] and "x" * 70 not in held and asked.count("often") == 1
+
+
+def test_letters_below_the_bound_are_encoded_as_the_library_does():
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    for text in [*letters, *(c + "a." for c in letters), *("x" + c + "!?" for c in letters), "".join(letters)]:
+        assert own(text) == plain(text), text
 
 
 def test_awkward_texts():
     rng = random.Random(0)
     texts = ["", "   ", "it's IT'S 've\t'll", "<|endoftext|> x<|startoftext|>", "a" * 5000, "\n\n\x1c\x1d a\x1eb", "é e ́", " ".join(chr(rng.randrange(32, 0xD7FF)) * rng.randrange(1, 4) for _ in range(2000))]
     for text in texts:
-        assert np.frombuffer(WORDS.encode([text.encode()])[0], "<i4").tolist() == plain(text)
+        assert own(text) == plain(text)
+    ids, counts = WORDS.whole(pa.array(texts))
+    assert counts.tolist() == [len(plain(t)) for t in texts] and ids.tolist() == [i for t in texts for i in plain(t)]
     long = "word one, two'll 12 " * 120_000
-    assert np.frombuffer(WORDS.whole(long.encode()), "<i4").tolist() == plain(long)
+    assert own(long) == plain(long)
 
 
 def test_query_against_whole_texts(spark, folder):
