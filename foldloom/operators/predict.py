@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -55,6 +55,21 @@ def predict(tensors: DataFrame, scorers: Mapping[str, Scorer], labels: Sequence[
     return tensors.select(*by, "tensor").mapInPandas(run, f"{kinds}, label string, model string, weight string, values array<double>")
 
 
+def scores(scorer: Scorer, batch_size: int = 128) -> Callable[[str], Column]:
+    """A column function from a tensor column to the scores (label x sample) of its window, for batch or stream."""
+
+    @F.pandas_udf("array<array<double>>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            out = []
+            for at in range(0, len(rows), batch_size):
+                stacked = np.stack([np.stack([np.asarray(c, np.float32) for c in t]) for t in rows.iloc[at : at + batch_size]])
+                out += [x.astype(float).tolist() for x in scorer(stacked)]
+            yield pd.Series(out, dtype=object)
+
+    return score
+
+
 def to_series(predicted: DataFrame, folds: DataFrame, length: int, blinding: int, first: str = "first", by: Sequence[str] = ("instrument", "k")) -> DataFrame:
     """Samples (id, idx, value, fold) of predictions: id is instrument + first letter of the label + model and weight.
 

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.plans.catalog import query
 from foldloom.plans.series_queries import GRID
-from foldloom.sources import tables
+from foldloom.sources import scratch, tables
 from foldloom.streaming import processors
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder in the one that all machines share; where none is set, a temporary one, on a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="foldloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """events as a stream, its time as a timestamp (watermarks need one)."""
     schema = tables.table(spark, folder, "events").schema
@@ -32,7 +19,8 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there; the rows of its last (complete, update) or of all batches (append)."""
-    spark, root = stream.sparkSession, shared(stream.sparkSession)
+    spark = stream.sparkSession
+    root = scratch.new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{'all' if mode == 'complete' else number}")

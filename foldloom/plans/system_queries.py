@@ -11,8 +11,8 @@ from foldloom.plans import pipeline
 from foldloom.plans.catalog import query
 from foldloom.plans.detection_queries import ROWS, STAMP, message_rows
 from foldloom.plans.series_queries import GRID, LISTED, OFF_TIES, grid, plain
-from foldloom.plans.stream_queries import finished, shared
-from foldloom.sources import messages, packets, store, tables
+from foldloom.plans.stream_queries import finished
+from foldloom.sources import messages, packets, scratch, store, tables
 
 HOUR = tables.HOUR_US
 
@@ -28,7 +28,7 @@ DAY = "strftime(make_timestamp(idx * 3600000000), '%Y-%m-%d')"
 @query("store_round_trip", f"{GRID} select {LISTED}, component as station, {DAY} as day from g where component in ('P', 'S') and {DAY} between '2024-01-05' and '2024-01-20'")
 def store_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Samples written by station and day into a shared folder, and some of its folders read again."""
-    path = shared(spark)
+    path = scratch.new_folder(spark, "store")
     store.write(_dated(spark, folder), path)
     back = store.read(spark, path, F.col("station").isin("P", "S") & F.col("day").between("2024-01-05", "2024-01-20"))
     return back.select("id", "idx", F.round("value", 6).alias("value"), F.round("fold", 6).alias("fold"), "station", F.col("day").cast("string").alias("day"))
@@ -37,7 +37,7 @@ def store_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("store_replay", f"{GRID} select component as station, count(*) as n, round(sum(value) + 0.0000314159::double, 4) as total, min(idx) as first, max(idx) as last from g group by component")
 def store_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Stored samples played back as a stream, a few files a batch, and summed up over all of it."""
-    path = shared(spark)
+    path = scratch.new_folder(spark, "store")
     rows = _dated(spark, folder).select("station", "idx", "value")
     rows.repartition(12, "idx").write.parquet(path)
     played = store.replay(spark, path, rows.schema, files_per_batch=4)

@@ -21,16 +21,17 @@ STATE = "start long, value array<double>, fold array<double>, late long, resets
 
 
 class _Buffered(StatefulProcessor):
-    """Keeps a Ring in state and feeds it a batch's packets in order of start."""
+    """Keeps a Ring in state and feeds it a batch's samples in order."""
 
-    def __init__(self, length: int, method: str):
-        self.length, self.method = length, method
+    def __init__(self, length: int, method: str, past: str = "late", edge: str = "end"):
+        self.length, self.method, self.past, self.edge = length, method, past, edge
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("ring", STATE)
 
     def load(self) -> tuple[Ring, int | None]:
-        ring = Ring(self.length, self.method)
+        ring = Ring(self.length, self.method, self.past, self.edge)
         if not self.state.exists():
             return ring, None
         start, value, fold, late, resets, following = self.state.get()
@@ -42,12 +43,50 @@ class _Buffered(StatefulProcessor):
         value = [None if np.isnan(v) else float(v) for v in ring.value]
         self.state.update((int(ring.start), value, [float(f) for f in ring.fold], int(ring.late), int(ring.resets), following))
 
+    def packets(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """A batch's packets (start, data, fold) of a key, in order.
+
+        Means and maxima don't depend on what is merged first, so each frame is merged by sample number as it comes and only samples are held, not
+        packets; runs of them then leave in packets, their first sample by itself and the others in pieces shorter than the ring. Dropping is not of that
+        kind, so its packets stay as they come.
+        """
+        if self.method == "drop":
+            for r in pd.concat(list(rows), ignore_index=True).sort_values(["start"], kind="stable").itertuples():
+                yield int(r.start), _floats(r.data), np.array(r.fold, float)
+            return
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        for frame in rows:
+            sizes = frame["data"].map(len).to_numpy()
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            idx = np.repeat(frame["start"].to_numpy(), sizes) + np.arange(len(first)) - first
+            value, fold = _floats(np.concatenate(frame["data"].to_list())), np.concatenate(frame["fold"].to_list()).astype(float)
+            held = self._merged(np.concatenate([held[0], idx]), np.concatenate([held[1], value]), np.concatenate([held[2], np.where(np.isnan(value), 0.0, fold)]))
+        idx, value, fold = held
+        step = max(1, self.length - 1)
+        for part in np.split(np.arange(len(idx)), np.nonzero(np.diff(idx) != 1)[0] + 1):
+            for at in (part[:1], *(part[k : k + step] for k in range(1, len(part), step))):
+                if len(at):
+                    yield int(idx[at[0]]), value[at], fold[at]
+
+    def _merged(self, idx: np.ndarray, value: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(idx, kind="stable")
+        idx, value, fold = idx[order], value[order], fold[order]
+        starts = np.nonzero(np.diff(idx, prepend=idx[:1] - 1))[0]
+        total, live = np.add.reduceat(fold, starts), ~np.isnan(value)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if self.method == "max":
+                made = np.maximum.reduceat(np.where(live, value, -np.inf), starts)
+                made[np.isinf(made)] = np.nan
+            else:
+                made = np.add.reduceat(np.where(live, value * fold, 0.0), starts) / total
+        return idx[starts], made, np.where(np.isnan(made), 0.0, total)
+
     def close(self) -> None:
         pass
 
 
-def _packets(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["start"], kind="stable")
+def _floats(values: object) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in values], float)
 
 
 class BufferProcessor(_Buffered):
@@ -55,58 +94,126 @@ class BufferProcessor(_Buffered):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ring, _ = self.load()
-        for r in _packets(rows).itertuples():
-            ring.append(int(r.start), np.array([np.nan if v is None else v for v in r.data], float), np.array(r.fold, float))
+        for start, data, fold in self.packets(rows):
+            ring.append(start, data, fold)
         self.save(ring, None)
         value = [None if np.isnan(v) else float(v) for v in ring.value]
         yield pd.DataFrame({"id": [key[0]], "start": [ring.start], "value": [value], "fold": [ring.fold.tolist()], "late": [ring.late], "resets": [ring.resets]})
 
 
 class WindowProcessor(_Buffered):
-    """Emits ready windows of a key: id, k, first, value, fold.
+    """Emits ready windows of a key: id, first, value, fold.
 
     Windows are anchored at the key's first sample. A window that is not ready holds up those after it; once the buffer has
     moved past its start, the key is anchored anew at the buffer's first sample (catching up after an outage).
+
+    consume: the folds of an emitted window go, so each sample counts in the first window that holds it only. timeout: a key without a new sample for
+    so many is silent; every window that begins by its last sample and has enough valid samples leaves without delay, and the key's state goes. A gap as long
+    within a batch ends a series likewise.
     """
 
-    def __init__(self, length: int, method: str, window: int, step: int, min_valid: float, threshold: float, delay: int):
+    def __init__(self, length: int, method: str, window: int, step: int, min_valid: float, threshold: float, delay: int, consume: bool = False, timeout: int | None = None, step_us: int = 0):
         super().__init__(length, method)
         self.window, self.step, self.min_valid, self.threshold, self.delay = window, step, min_valid, threshold, delay
+        self.consume, self.timeout, self.step_us = consume, timeout, step_us
+
+    def end_ms(self, idx: int) -> int:
+        return -(-(idx + 1) * self.step_us // 1000)
+
+    def take(self, ring: Ring, first: int) -> tuple | None:
+        """The window that begins at `first`, as far as the ring reaches, if enough of it is valid."""
+        at = slice(first - ring.start, first - ring.start + self.window)
+        fold = np.zeros(self.window)
+        fold[: len(ring.fold[at])] = ring.fold[at]
+        if (fold >= self.threshold).mean() < self.min_valid:
+            return None
+        value = np.full(self.window, np.nan)
+        value[: len(ring.value[at])] = ring.value[at]
+        if self.consume:
+            ring.fold[at] = 0.0
+        return first, [None if np.isnan(v) else float(v) for v in value], fold.tolist()
+
+    def ready(self, ring: Ring, following: int) -> tuple[list[tuple], int]:
+        """The windows that can leave now, and the start of the next one."""
+        out = []
+        while ring.end - self.delay > following + self.window - 1:
+            if following < ring.start:
+                live = np.nonzero(ring.fold > 0)[0]
+                if not len(live):
+                    break
+                following = ring.start + int(live[0])
+                continue
+            made = self.take(ring, following)
+            if made is None:
+                break
+            out.append(made)
+            following += self.step
+        return out, following
+
+    def last(self, ring: Ring, following: int | None) -> list[tuple]:
+        """The windows of a series that has ended."""
+        live = np.nonzero(ring.fold > 0)[0]
+        if following is None or not len(live):
+            return []
+        following = following if following >= ring.start else ring.start + int(live[0])
+        return [made for first in range(following, ring.end + 1, self.step) if (made := self.take(ring, first)) is not None]
+
+    def told(self, key, out: list[tuple], ms: int) -> Iterator[pd.DataFrame]:
+        if out:
+            found = pd.DataFrame(out, columns=["first", "value", "fold"])
+            found.insert(0, "id", key[0])
+            yield found if self.timeout is None else found.assign(known=pd.Series(pd.to_datetime([ms] * len(out), unit="ms", utc=True)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ring, following = self.load()
         out = []
-        for r in _packets(rows).itertuples():
-            data = np.array([np.nan if v is None else v for v in r.data], float)
-            ring.append(int(r.start), data, np.array(r.fold, float))
+        for start, data, fold in self.packets(rows):
+            if self.timeout is not None and len(ring.value) and start - ring.end > self.timeout:
+                out += self.last(ring, following)
+                ring, following = Ring(self.length, self.method), None
             if following is None:
-                following = int(r.start)
-            live = np.nonzero(ring.fold > 0)[0]
-            while len(live) and ring.end - self.delay > following + self.window - 1:
-                if following < ring.start:
-                    following = ring.start + int(live[0])
-                    continue
-                at = slice(following - ring.start, following - ring.start + self.window)
-                if (ring.fold[at] >= self.threshold).mean() < self.min_valid:
-                    break
-                out.append((key[0], following, [None if np.isnan(v) else float(v) for v in ring.value[at]], ring.fold[at].tolist()))
-                following += self.step
+                following = start
+            while len(data):
+                # no window can leave before the sample that ends its delay, so what comes before is one packet
+                n = max(1, min(len(data), following + self.window + self.delay - start))
+                ring.append(start, data[:n], fold[:n])
+                start, data, fold = start + n, data[n:], fold[n:]
+                made, following = self.ready(ring, following)
+                out += made
         self.save(ring, following)
-        if out:
-            yield pd.DataFrame(out, columns=["id", "first", "value", "fold"])
+        if self.timeout is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self.end_ms(ring.end + self.timeout))
+        yield from self.told(key, out, self.end_ms(ring.end))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            ring, following = self.load()
+            self.state.clear()
+            yield from self.told(key, self.last(ring, following), timerValues.getCurrentWatermarkInMs())
 
 
-def buffered(packets: DataFrame, length: int, method: str = "mean", mode: str = "update") -> DataFrame:
-    """A stream of packets (id, start, data, fold) as the state of each id's ring buffer after each batch."""
-    return packets.groupBy("id").transformWithStateInPandas(BufferProcessor(length, method), "id string, start long, value array<double>, fold array<double>, late long, resets long", mode, "None")
+def buffered(packets: DataFrame, length: int, method: str = "mean", mode: str = "update", past: str = "late", edge: str = "end") -> DataFrame:
+    """A stream of packets (id, start, data, fold) as the state of each id's ring buffer after each batch. past, edge: see Ring."""
+    made = BufferProcessor(length, method, past, edge)
+    return packets.groupBy("id").transformWithStateInPandas(made, "id string, start long, value array<double>, fold array<double>, late long, resets long", mode, "None")
 
 
-def windowed(packets: DataFrame, length: int, window: int, step: int, min_valid: float = 0.9, threshold: float = 1.0, delay: int = 0, method: str = "mean") -> DataFrame:
-    """A stream of packets as a stream of ready windows; length is that of the ring buffer behind them."""
+def windowed(
+    packets: DataFrame, length: int, window: int, step: int, min_valid: float = 0.9, threshold: float = 1.0, delay: int = 0, method: str = "mean", consume: bool = False, timeout: int | None = None, step_us: int = 0
+) -> DataFrame:
+    """A stream of packets as a stream of ready windows; length is that of the ring buffer behind them.
+
+    timeout (samples of step_us each) needs an event time with a watermark; the rows then have `known`, the event time at which they left.
+    """
     if length < window + delay:
         raise ValueError("the buffer must hold a window and its delay")
-    made = WindowProcessor(length, method, window, step, min_valid, threshold, delay)
-    return packets.groupBy("id").transformWithStateInPandas(made, "id string, first long, value array<double>, fold array<double>", "append", "None")
+    made = WindowProcessor(length, method, window, step, min_valid, threshold, delay, consume, timeout, step_us)
+    schema = "id string, first long, value array<double>, fold array<double>"
+    if timeout is None:
+        return packets.groupBy("id").transformWithStateInPandas(made, schema, "append", "None")
+    return packets.groupBy("id").transformWithStateInPandas(made, f"{schema}, known timestamp", "append", "EventTime", eventTimeColumnName="known")
 
 
 def gridded(rows: DataFrame, time: str, value: Column, keys: dict[str, Column], every: str, lateness: str) -> DataFrame:
