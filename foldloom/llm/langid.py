@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from foldloom.llm.common import BROADCAST_ROWS, free, stored
 
 DEPTH = 3
-#: rows of 256 code lengths, one a context and language, that a worker lays out (64 MB)
-DENSE_ROWS = 65_536
+#: rows of 256 code lengths, one a context and language, that a worker lays out (32 MB), and contexts worked out at a time
+DENSE_ROWS, SLICE = 32_768, 512
 START = b"\n" * DEPTH
 CHUNK_BYTES = 250_000
 UNKNOWN = "und"
@@ -123,10 +123,12 @@ class ContextTrees:
         laid = contexts[np.lexsort([contexts, -often])[: DENSE_ROWS // len(self.trees) - 1]]
         self.state_of = np.zeros(1 << 8 * DEPTH, np.uint16)
         self.state_of[laid] = np.arange(1, len(laid) + 1)
-        codes = (laid[:, None] << np.uint32(8) | np.arange(256, dtype=np.uint32)).ravel()
         self.cost = np.zeros(((len(laid) + 1) * 256, len(self.trees)), np.float32)
-        for i, tree in enumerate(self.trees):
-            self.cost[256:, i] = tree.bits(codes)
+        for first in range(0, len(laid), SLICE):
+            part = laid[first : first + SLICE]
+            codes = (part[:, None] << np.uint32(8) | np.arange(256, dtype=np.uint32)).ravel()
+            for i, tree in enumerate(self.trees):
+                self.cost[(first + 1) * 256 : (first + 1 + len(part)) * 256, i] = tree.bits(codes)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of every whole text in every language."""
