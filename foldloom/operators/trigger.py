@@ -18,23 +18,25 @@ from foldloom.operators.frames import LENGTH, in_runs, run_bounds
 BY = ("id",)
 
 
-def onsets(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | None = None, by: Sequence[str] = BY, length: int = LENGTH) -> DataFrame:
-    """on, off (sample numbers) of each trigger."""
+def onsets(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | None = None, by: Sequence[str] = BY, length: int = LENGTH, cut: bool = False) -> DataFrame:
+    """on, off (sample numbers) of each trigger. cut: one longer than max_len ends there, instead of being dropped."""
     if thr_off > thr_on:
         raise ValueError("thr_off must not exceed thr_on")
     above = F.col("value") > thr_off
     runs = run_bounds(samples, by, above, length)
     held = in_runs(samples.where(F.col("value") > thr_on).select(*by, "idx"), runs, by, length)
     found = held.groupBy(*by, F.col("last").alias("off")).agg(F.min("idx").alias("on")).select(*by, "on", "off")
-    return found if max_len is None else found.where(F.col("off") - F.col("on") <= max_len)
+    if max_len is None:
+        return found
+    return found.withColumn("off", F.least("off", F.col("on") + max_len)) if cut else found.where(F.col("off") - F.col("on") <= max_len)
 
 
-def triggers(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | None = None, pad: int = 0, min_fold: float | None = None, by: Sequence[str] = BY, length: int = LENGTH) -> DataFrame:
-    """Triggers with their summary: samples, first maximum, mean fold over on to off.
+def triggers(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | None = None, pad: int = 0, min_fold: float | None = None, by: Sequence[str] = BY, length: int = LENGTH, cut: bool = False) -> DataFrame:
+    """Triggers with their summary: samples, first maximum, mean fold over on to off. cut: as in onsets.
 
     min_fold rejects a trigger with a smaller fold in any sample from on to before off. Negative values are an error of the caller.
     """
-    found = onsets(samples, thr_on, thr_off, max_len, by, length).select(*by, F.col("on").alias("first"), F.col("off").alias("last"))
+    found = onsets(samples, thr_on, thr_off, max_len, by, length, cut).select(*by, F.col("on").alias("first"), F.col("off").alias("last"))
     inside = in_runs(samples, found, by, length).withColumn("on", F.col("first")).withColumn("off", F.col("last"))
     low = F.coalesce(F.min(F.when(F.col("idx") < F.col("off"), F.col("fold"))), F.lit(float("inf")))
     top = F.max(F.struct(F.col("value").alias("value"), (-F.col("idx")).alias("back")))

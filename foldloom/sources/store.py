@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldloom.sources import scratch
+
 BY = ("network", "station", "day")
 
 
@@ -36,3 +38,40 @@ def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_batch
 def by_arrival(rows: DataFrame, arrival_us: Column, every_us: int) -> DataFrame:
     """rows with the number of the batch in which each would have come, for a replay with latencies."""
     return rows.withColumn("batch", F.floor(arrival_us / every_us).cast("long"))
+
+
+class BatchSink:
+    """A sink of a streaming query whose writes can be repeated: batch n goes into folder batch=n, and counts once its mark is in the commit list.
+
+    Each row is stored as a value part and a fold part under one template of folders (kind, then `by`), as wave files keep data and folds apart. A batch that
+    is marked is not written again; one that broke down before its mark is written anew. Use it in foreachBatch.
+    """
+
+    def __init__(self, path: str, by: Sequence[str] = ("station",)):
+        self.path, self.by = path, tuple(by)
+
+    def _mark(self, spark: SparkSession, number: int) -> tuple[object, object]:
+        return scratch.place(spark, f"{self.path}/_commits/{number}")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        mark, files = self._mark(batch.sparkSession, number)
+        if files.exists(mark):
+            return
+        kinds = F.explode(F.array(F.struct(F.lit("value").alias("kind"), F.col("value").cast("double").alias("x")), F.struct(F.lit("fold").alias("kind"), F.col("fold").cast("double").alias("x"))))
+        rows = batch.withColumn("part_", kinds).select(*[c for c in batch.columns if c not in ("value", "fold")], "part_.*")
+        write(rows, f"{self.path}/batch={number}", ("kind", *self.by), "overwrite")
+        files.create(mark, True).close()
+
+    def committed(self, spark: SparkSession) -> list[int]:
+        """The numbers of the batches that count."""
+        mark, files = scratch.place(spark, f"{self.path}/_commits")
+        return sorted(int(s.getPath().getName()) for s in files.listStatus(mark)) if files.exists(mark) else []
+
+    def read(self, spark: SparkSession, keys: Sequence[str] = ("id", "idx")) -> DataFrame:
+        """keys, value and fold of all rows of the batches that count; keys tell rows of a batch apart."""
+        numbers = self.committed(spark)
+        if not numbers:
+            raise ValueError(f"nothing is stored in {self.path}")
+        rows = spark.read.option("basePath", self.path).parquet(*[f"{self.path}/batch={n}" for n in numbers])
+        x = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("x"))).alias(kind)
+        return rows.groupBy("batch", *keys).agg(x("value"), x("fold")).drop("batch")
