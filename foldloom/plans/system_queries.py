@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.functions import checks, shapes
+from foldloom.functions import checks, instants, shapes
 from foldloom.operators import measure, predict, stack, windows
 from foldloom.plans import pipeline
 from foldloom.plans.catalog import query
 from foldloom.plans.detection_queries import ROWS, STAMP, message_rows
 from foldloom.plans.series_queries import GRID, LISTED, OFF_TIES, grid, plain
 from foldloom.plans.stream_queries import finished
-from foldloom.sources import messages, packets, scratch, store, tables
+from foldloom.sources import messages, miniseed, packets, scratch, store, tables
 
 HOUR = tables.HOUR_US
 
@@ -201,3 +201,23 @@ def collapsed_twice(spark: SparkSession, folder: str) -> DataFrame:
     """Stacking a series alone changes nothing, whatever the method."""
     rows = grid(spark, folder).select("id", "idx", "value", "fold")
     return plain(stack.stack(stack.stack(rows, "max"), "drop"))
+
+
+@query(
+    "miniseed_round_trip",
+    f"""{GRID}, w as (select 'EV.ALL..' || right(id, 3) as id, idx, round_even(value * 100, 0) as value from g), r as (select id, unnest(range(min(idx), max(idx) + 1)) as idx from w group by id)
+select r.id, r.idx, w.value, case when w.value is null then 0.0::double else 1 end as fold from r left join w on w.id = r.id and w.idx = r.idx""",
+)
+def miniseed_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The event series in whole numbers as miniSEED files (Steim-2), read back with gaps masked."""
+    packed = packets.to_packets(grid(spark, folder).withColumn("value", F.rint(F.col("value") * 100)), 48, "id")
+    named = packed.select(
+        F.lit("EV").alias("network"), F.lit("ALL").alias("station"), F.lit("").alias("location"), F.expr("right(id, 3)").alias("channel"), instants.instant(F.col("start") * HOUR).alias("starttime"), F.lit(1 / 3600).alias("sampling_rate"), "data", "fold"
+    )
+    waves = messages.packet_to_wave(named, "i4")
+    miniseed.register(spark)
+    path = scratch.new_folder(spark, "seed")
+    location = F.when(F.col("location") == "--", "").otherwise(F.col("location"))
+    waves.select("network", "station", location.alias("location"), "channel", "startt", "samprate", "nsamp", F.col("data").cast("array<double>").alias("data")).write.format("miniseed").mode("append").option("recordLength", 512).save(path)
+    back = miniseed.samples(spark.read.format("miniseed").option("splitBytes", 8192).load(path), HOUR)
+    return stack.fill_gaps(back).select("id", "idx", "value", "fold")
