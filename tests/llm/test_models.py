@@ -305,6 +305,50 @@ def test_toxic_words_are_learned(spark, folder):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found.values())
 
 
+def test_scores_against_plain_ones(spark):
+    """Dictionaries of the shares they name, and distances, features and curve worked out word by word."""
+    rng = random.Random(6)
+    rows = [(k, " ".join([prose("en", 30, rng), *(["grobblezak snerfwit"] if k % 3 == 0 else []), prose("de", 5, rng)]), int(k % 3 == 0)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), parts=2)
+    dealt = {r["doc_id"]: (r["half"], r["part"]) for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id, 'half'), 2)").alias("half"), F.expr("pmod(xxhash64(doc_id, 'part'), 2)").alias("part")).collect()}
+    for side, bad, size in ((model.toxic, 1, 65_536), (model.ordinary, 0, 262_144)):
+        assert side == [toxicity.train(sorted(t for d, t, x in rows if x == bad and dealt[d] == (0, p)), size, 32_000_000) for p in (0, 1)]
+    lengths = lambda side, w: [len(toxicity._compressor(d).compress(toxicity.framed(w))) for d in side]
+
+    def plain(text):
+        words = sorted({w for w in (x.strip(toxicity.EDGE) for x in text.lower().encode().split()) if w})
+        d = np.array([[min(o) - max(t), min(o) - np.median(t), np.mean(o) - np.mean(t)] for w in words for o, t in [(lengths(model.ordinary, w), lengths(model.toxic, w))]])
+        d.sort(axis=0)
+        x = [1.0, math.log1p(len(words)), *np.maximum(d[-1], 0), *(math.log1p((d[:, j] >= s).sum()) for s in (2, 4, 6) for j in range(3)), *d.mean(axis=0), *d[int(0.95 * (len(d) - 1))]]
+        z = sum((a - m) / s * w for a, m, s, w in zip(x, model.middle, model.scale, model.weights, strict=True)) - model.shift
+        return 1 / (1 + math.exp(-z))
+
+    some = docs.where("doc_id < 12")
+    found = {r["doc_id"]: r["s"] for r in some.select("doc_id", toxicity.score(model, some, F.col("text")).alias("s")).collect()}
+    assert all(found[d] == pytest.approx(plain(t), rel=1e-4) for d, t, _ in rows[:12])
+
+
+def test_calibrated_threshold():
+    """At most the given share of ordinary rows reach the level."""
+    rng = np.random.default_rng(7)
+    bad = (np.arange(2000) % 4 == 0).astype(float)
+    rows = np.stack([np.ones(2000), rng.normal(0, 1, 2000) + bad], 1)
+    model = toxicity.Model([b"x"], [b"y"])
+    model.calibrate(rows, bad, np.ones(2000), 0.01)
+    scores = model.scores(rows)
+    assert (scores[bad == 0] >= toxicity.LEVEL).mean() <= 0.0101 and (scores[bad == 1] >= toxicity.LEVEL).mean() > 0.02
+
+
+def test_remembered_distances(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 5)
+    words = [b"word%d" % k for k in range(12)]
+    texts = ["word1 word2 and more words here " * 20]
+    model = toxicity.Model([toxicity.train(texts, 1024, 10**6)], [toxicity.train(["quite another text, of other kinds " * 20], 1024, 10**6)])
+    first = model.distances(words)
+    assert np.array_equal(first, np.concatenate([model.distances([w]) for w in words])) and len(model.met) <= 5
+
+
 def test_windows():
     assert toxicity.windows(None) == [] and toxicity.windows(" !! ") == []
     assert toxicity.windows("Ab, 'cd'") == [b"ab", b"cd"]
