@@ -36,7 +36,7 @@ LONGEST = 32
 FRAME = 40
 STEPS = (2, 4, 6)
 EDGE = b".,;:!?#$%&*|\"'()[]{}<>-_=+/\\"
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: words of a training sample
 LINE = 16
 LEVEL = 0.3
