@@ -2,12 +2,14 @@
 
 Numbers and dates are found by patterns and validated (Luhn digit of card numbers, octets of IPv4 addresses, calendar
 of dates, area of social security numbers; a telephone number needs a country code, an area code in brackets, or an area and
-an exchange that begin with 2 to 9). The free characters of a value are read as digits of mixed radix, and an
+an exchange that begin with 2 to 9, or a form common abroad after a country code; account numbers by their
+check digits, where they are written without spaces). The free characters of a value are read as digits of mixed radix, and an
 eight-round Feistel network permutes them; the round function is SHA-512 of key, kind, radices, round and the other
 half. Every half-round adds a keyed number digit by digit, modulo its radix, so the whole is a bijection on the values
 of that format. Equal values get equal pseudonyms in every document, and a pseudonym is again valid in its format: card numbers
 get a new Luhn digit, dates stay dates of the same layout between 1900 and 2099, separators stay in place. E-mail
-addresses keep their domain, phone numbers their country code, access keys their four letters in front; hexadecimal secrets
+addresses keep their domain (names may hold Latin letters up to U+024F, and an apostrophe; one that goes on into other letters before is left alone),
+phone numbers their country code, account numbers their country, access keys their four letters in front; hexadecimal secrets
 stay hexadecimal, each digit and letter in its own case. A single character is moved by a keyed number of steps that is never zero;
 a hexadecimal run is permuted in pieces of 64, each keyed by the piece before it, so a run may have any length. A date that
 is valid only as month, day, year is permuted among such dates.
@@ -35,16 +37,30 @@ MOST_DIGITS = 32
 KEY_SETTING = "spark.foldloom.pii.secret"
 _DRAWN: dict[str, str] = {}
 
+#: letters of the Latin blocks up to U+024F; what may stand in a name before the @; and what may not stand before it: these, and any later letters
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LOCAL = LATIN + r"0-9._%+'\-"
+LATER = "\u0250-\u1fff\u2c00-\ud7ff\uf900-\ufffd"
+_ABOVE = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
+#: alphabets of a name's characters, each permuted within its own
+NAME_CLASSES = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(c for c in _ABOVE if c.islower()), "".join(c for c in _ABOVE if c.isupper()), "".join(c for c in _ABOVE if not c.islower() and not c.isupper()),
+)
+ALNUM = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: telephone numbers of other countries, as they are commonly written: country code, then area and number
+ABROAD = r"\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2}(?:[ .-][0-9]{4}){2}|[ .-][1-9](?:[ .-][0-9]{2}){4}|[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[ .-][0-9]{3,4}(?:[ .-][0-9]{3}){2}|[ .-][0-9]{2,5}[ .-][0-9]{5,8})|\+[1-9][0-9]{8,13}"
+
 #: kinds in order of precedence
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": rf"(?<![{LOCAL}{LATER}])[{LOCAL}]{{1,64}}@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{1,8}}",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])",
     "access_key": r"(?<![0-9A-Za-z])[A-Z]{4}(?=[A-Z]{0,15}[0-9])[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_date": r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])|\([0-9]{3}\)[ .-]?|[2-9][0-9]{2}[ .-](?=[2-9]))[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])|\([0-9]{3}\)[ .-]?|[2-9][0-9]{2}[ .-](?=[2-9]))[0-9]{3}[ .-][0-9]{4}(?![0-9])" + rf"|(?<![0-9A-Za-z+])(?:{ABROAD})(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
@@ -199,19 +215,33 @@ def _ssn(text: Column, key: Column) -> Column:
 
 
 def _phone(text: Column, key: Column) -> Column:
-    """The last ten digits; what stands before them is the country code."""
+    """The last ten digits, where those are an area, an exchange and a number; else all digits after the country code (of two digits if nothing ends it)."""
 
     def made(national: Column) -> Column:
         new = _let(_digits(national), lambda d: feistel(d, _ten(d), key, "phone"))
         return F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(national)), _written(national, new))
 
-    return _let(F.regexp_extract(text, r"\(?[0-9]{3}\)?[ .-]*[0-9]{3}[ .-][0-9]{4}$", 0), made)
+    code = F.regexp_extract(text, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[0-9]{2})", 0)
+    ten = F.regexp_extract(text, r"\(?[0-9]{3}\)?[ .-]*[0-9]{3}[ .-][0-9]{4}$", 0)
+    return _let(F.when(ten != "", ten).otherwise(F.substring(text, F.length(code) + 1, F.length(text))), made)
+
+
+def _mod97(text: Column) -> Column:
+    value = lambda c: F.instr(F.lit("".join(ALNUM)), c).cast("long") - 1
+    return F.aggregate(_letters(text), F.lit(0).cast("long"), lambda rest, c: F.pmod(rest * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)))
+
+
+def _iban(text: Column, key: Column) -> Column:
+    """Country and layout stay, the account's characters are permuted within their kinds, and the check digits follow. What fails its check may be a secret."""
+    country, account = F.substring(text, 1, 2), F.substring(text, 5, 30)
+    new = _spelled(account, "[0-9A-Z]", key, "iban", ALNUM)
+    checked = lambda a: F.concat(country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
+    return F.when(_mod97(F.concat(account, F.substring(text, 1, 4))) == 1, _let(new, checked)).when(text.rlike(f"^(?:{PATTERNS['secret']})$"), _secret(text, key))
 
 
 def _email(text: Column, key: Column) -> Column:
     local = F.substring_index(text, "@", 1)
-    classes = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    return F.concat(_spelled(local, "[0-9A-Za-z]", key, "email", classes), F.lit("@"), F.substring_index(text, "@", -1))
+    return F.concat(_spelled(local, f"[0-9{LATIN}]", key, "email", NAME_CLASSES), F.lit("@"), F.substring_index(text, "@", -1))
 
 
 def _secret(text: Column, key: Column) -> Column:
@@ -233,8 +263,9 @@ def pseudonym(text: Column, key: Column) -> Column:
     """The pseudonym of a found value; null where it is not valid."""
     made = {
         "email": _email(text, key),
+        "iban": _iban(text, key),
         "secret": _secret(text, key),
-        "access_key": F.concat(F.substring(text, 1, 4), _spelled(F.substring(text, 5, 16), "[0-9A-Z]", key, "access_key", ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))),
+        "access_key": F.concat(F.substring(text, 1, 4), _spelled(F.substring(text, 5, 16), "[0-9A-Z]", key, "access_key", ALNUM)),
         "ipv4": _ipv4(text, key),
         "iso_date": _date(text, key, "yyyy-MM-dd"),
         "day_date": F.coalesce(*[_date(text, key, layout) for c in "./" for layout in (f"dd{c}MM{c}yyyy", f"MM{c}dd{c}yyyy")]),

@@ -142,6 +142,18 @@ def test_telephone_numbers_need_a_sign(spark):
     assert n == 4 and "112-555-0100 212-155-0100" in text and "7713" not in text and "+44 " in text
 
 
+def test_whole_names_foreign_numbers_and_accounts(spark):
+    rows = made(spark, "müller@x.org", "o'brien@x.org", "жmüller@x.org", "+44 20 7946 0958", "+442079460958", "DE89370400440532013000", "DE89370400440532013001", "GB29NWBK60161331926819", "GB29NWBK60161331926818")
+    names = [text for text, _ in rows]
+    assert [n for _, n in rows] == [1, 1, 0, 1, 1, 1, 1, 1, 0]
+    assert re.fullmatch(r"[a-z][ß-ɏ][a-z]{4}@x\.org", names[0]) and "ü" not in names[0] and names[0][:2] != "mü"
+    assert re.fullmatch(r"[a-z]'[a-z]{5}@x\.org", names[1]) and not names[1].startswith("o'br") and names[2] == "жmüller@x.org"
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", names[3]) and names[3] != "+44 20 7946 0958" and re.fullmatch(r"\+44\d{10}", names[4])
+    assert re.fullmatch(r"DE\d{20}", names[5]) and mod97(names[5][4:] + names[5][:4]) == 1 and names[5][4:] != "370400440532013000"
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", names[7]) and mod97(names[7][4:] + names[7][:4]) == 1
+    assert names[6] != "DE89370400440532013001" and names[8] == "GB29NWBK60161331926818"  # no account: the first may be a secret, the second is neither
+
+
 LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -158,11 +170,22 @@ def spelled(text, kind, classes, key=KEY):
     return "".join(a[next(new)] if a else c for c, a in zip(text, owners, strict=True))
 
 
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def plain_pseudonym(value):
     kind = next(k for k, p in pii.PATTERNS.items() if re.fullmatch(p, value))
     if kind == "email":
         local, domain = value.split("@", 1)
-        return spelled(local, "email", LETTERS) + "@" + domain
+        return spelled(local, "email", pii.NAME_CLASSES) + "@" + domain
+    if kind == "iban":
+        if mod97(value[4:] + value[:4]) == 1:
+            account = spelled(value[4:], "iban", (LETTERS[0], LETTERS[2]))
+            return f"{value[:2]}{98 - mod97(account + value[:2] + '00'):02}{account}"
+        if not re.fullmatch(pii.PATTERNS["secret"], value):
+            return None
+        kind = "secret"
     if kind == "access_key":
         return value[:4] + spelled(value[4:], "access_key", LETTERS)
     if kind == "secret":
@@ -179,7 +202,9 @@ def plain_pseudonym(value):
         return f"{a + 2 if a >= 665 else a + 1:03}-{g + 1:02}-{s + 1:04}"
     if kind == "phone":
         digits = [int(c) for c in value if c.isdigit()]
-        new = iter([*digits[:-10], *feistel(digits[-10:], [10] * 10, "phone")])
+        ten = re.search(r"\(?[0-9]{3}\)?[ .-]*[0-9]{3}[ .-][0-9]{4}$", value)
+        own = len(digits) - 10 if ten else len(re.match(r"\+([0-9]{1,3}(?=[ .(-])|[0-9]{2})", value)[1])
+        new = iter([*digits[:own], *feistel(digits[own:], [10] * (len(digits) - own), "phone")])
         return "".join(str(next(new)) if c.isdigit() else c for c in value)
     if kind == "card":
         digits = [int(c) for c in value if c.isdigit()]
@@ -219,6 +244,9 @@ def test_query_against_brute_force(spark, folder):
         lambda: hexa(16, "0123456789"),
         lambda: (lambda b: "".join(map(str, [*b, luhn(b)])))([rng.randrange(10) for _ in range(rng.choice([12, 15, 18]))]),
         lambda: rng.choice(["word", "12", "a@b", "é", "--", "1.2"]),
+        lambda: rng.choice(["müller", "o'brien", "Ñandú.Øst", "жmüller"]) + "@x.org",
+        lambda: rng.choice(["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "+34 612 345 678", "+442079460958", "+49 (30) 123 4567", "+12", "+1 23"]),
+        lambda: rng.choice(["DE89370400440532013000", "GB29NWBK60161331926819", "DE89370400440532013001", "GB29NWBK60161331926818", "AB12" + hexa(30, "0123456789ABCDEF")]),
     ]
     texts = [rng.choice([" ", "\n", ", "]).join(rng.choice(kinds)() for _ in range(rng.randrange(1, 9))) for _ in range(150)] + [None, ""]
     spark.conf.set(pii.KEY_SETTING, KEY)
