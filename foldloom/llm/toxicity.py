@@ -136,7 +136,8 @@ class Model:
         return np.concatenate([[1.0, np.log1p(len(d))], np.concatenate(each)])
 
     def levels(self, rows: np.ndarray) -> np.ndarray:
-        return ((rows - self.middle) / self.scale) @ self.weights - self.shift
+        # row by row, so that equal rows get equal numbers in batches of any size
+        return (((rows - self.middle) / self.scale) * self.weights).sum(axis=1) - self.shift
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.levels(rows), -30, 30)))
