@@ -211,7 +211,7 @@ def resample(packets: DataFrame, factor: float, *keys: str, window: str | None =
     return rows.mapInPandas(run, rows.schema)
 
 
-def fit_gaussian(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def fit_gaussian(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares height, mean and deviation of a gaussian, by Levenberg-Marquardt, and their covariance."""
     p = np.array([y.max(), x[y.argmax()], max((x[-1] - x[0]) / 6, 1e-3)], float)
     shape = lambda q: q[0] * np.exp(-((x - q[1]) ** 2) / (2 * q[2] ** 2))
@@ -253,7 +253,7 @@ def gaussian_fits(inside: DataFrame, by: Sequence[str] = ("id", "on"), x: str =
     return _fits_by_task(inside.join(long, list(by), "left_anti"), by, x, y).unionByName(_fits_by_sums(live.join(long, list(by), "left_semi"), by, x, y))
 
 
-def _fits_by_sums(live: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 60) -> DataFrame:
+def _fits_by_sums(live: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 200) -> DataFrame:
     """The same fits with all sums over samples as grouped aggregates: each round sums up the slopes at the parameters on trial, and a step of
     Levenberg and Marquardt on one row a trigger keeps them or goes back. Rounds are checkpointed.
     """

@@ -111,7 +111,7 @@ def newest(rows: DataFrame, n: int, by: Sequence[str], time: str, *ties: str) ->
 def run_report(metrics: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
     """Iterations, running time (s) and rate of each operator."""
     took = (F.col("end_us") - F.col("start_us")) / 1_000_000
-    return metrics.groupBy(*by).agg(F.sum("niter").alias("niter"), F.sum(took).alias("runtime"), F.avg(took).alias("mean_runtime"), F.min(took).alias("min_runtime"), F.max(took).alias("max_runtime")).withColumn(
+    return metrics.groupBy(*by).agg(F.sum("niter").alias("niter"), F.sum(took).alias("runtime"), F.avg(took).alias("mean_runtime"), F.stddev_pop(took).alias("std_runtime"), F.min(took).alias("min_runtime"), F.max(took).alias("max_runtime")).withColumn(
         "rate", F.when(F.col("runtime") > 0, F.col("niter") / F.col("runtime"))
     )
 

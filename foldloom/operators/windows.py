@@ -70,6 +70,13 @@ def model_windows(in_samples: int, sampling_rate: float, overlap: int, count: in
     return {"length": length, "step": step, "delay": count * length - (count - 1) * step}
 
 
+def model_seconds(in_samples: Column, sampling_rate: Column, overlap: Column, count: int = 1) -> dict[str, Column]:
+    """The same for columns; null where the overlap is not smaller than the window."""
+    fits = lambda c: F.when(overlap < in_samples, c)
+    length, step = in_samples / sampling_rate, (in_samples - overlap) / sampling_rate
+    return {"length": fits(length), "step": fits(step), "delay": fits(count * length - (count - 1) * step)}
+
+
 def padded(samples: DataFrame, by: Sequence[str], windows: DataFrame, length: int) -> DataFrame:
     """Every sample number of every window and id; missing samples are masked with fold 0."""
     ids = [c for c in samples.columns if c not in ("idx", "value", "fold")]

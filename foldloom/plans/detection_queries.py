@@ -177,11 +177,11 @@ def retention_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "run_report",
     f"""{RUNS}, r as (select name, niter, (end_us - start_us) / 1000000 as took from m)
-select name, cast(sum(niter) as bigint) as niter, sum(took) as runtime, round(avg(took), 6) as mean_runtime, min(took) as min_runtime, max(took) as max_runtime, round(sum(niter) / sum(took), 6) as rate from r group by name""",
+select name, cast(sum(niter) as bigint) as niter, sum(took) as runtime, round(avg(took), 6) as mean_runtime, round(stddev_pop(took), 6) as std_runtime, min(took) as min_runtime, max(took) as max_runtime, round(sum(niter) / sum(took), 6) as rate from r group by name""",
 )
 def run_report(spark: SparkSession, folder: str) -> DataFrame:
     found = measure.run_report(run_metrics(spark, folder))
-    return found.withColumns({"mean_runtime": F.round("mean_runtime", 6), "rate": F.round("rate", 6)})
+    return found.withColumns({"mean_runtime": F.round("mean_runtime", 6), "std_runtime": F.round("std_runtime", 6), "rate": F.round("rate", 6)})
 
 
 STAMP = """strftime(make_timestamp(cast(round_even({0} / 10000::double, 0) as bigint) * 10000), '%Y%m%d%H%M%S') || '.' || lpad(cast((cast(round_even({0} / 10000::double, 0) as bigint) * 10000 % 1000000) // 10000 as varchar), 2, '0')"""

@@ -34,20 +34,40 @@ def _filtered(sections: list[list[float]]) -> str:
     return f"u as ({first} union all {following})"
 
 
-BAND = (1 / 48, 1 / 4, 1.0)
-
-
-@query(
-    "bandpass",
-    f"""{GRID.replace("with g", "with recursive g")}, i as (select id, idx, value - avg(value) over (partition by id) as value, fold, idx - row_number() over (partition by id order by idx) as island from g),
-d as (select *, row_number() over (partition by id, island order by idx) as j from i), {_filtered(dsp.butterworth(4, *BAND).tolist())} select id, idx, round(y + 0.0000314159::double, 5) as value, fold from u""",
-)
+BAND, STOPPED = (1 / 48, 1 / 4, 1.0), (1 / 12, 1 / 6, 1.0)
+#: fixed values for the SQL, not worked out by the library: sections of both filters from the Butterworth polynomial of order four (1, 2.6131259, 3.4142136,
+#: 2.6131259, 1) by Constantinides' transformations, (1 - 2 c / z + 1 / z^2) / (k (1 - 1 / z^2)) in place of s for the band-pass and its reciprocal for the band-stop,
+#: factored; b0, b1, b2, a1, a2
+PASS_SECTIONS = [
+    [0.517121333587849, 0.0, -0.517121333587849, -0.023091627940168155, 0.49238192337800746],
+    [0.517121333587849, 0.0, -0.517121333587849, -0.12579063546273095, 0.057189734739424694],
+    [0.517121333587849, 0.0, -0.517121333587849, -1.7476506571626746, 0.7668267998011602],
+    [0.517121333587849, 0.0, -0.517121333587849, -1.8968285420138506, 0.9137129645774507],
+]
+STOP_SECTIONS = [
+    [0.8408186205185701, -1.2310439003391374, 0.8408186205185701, -0.9246211099724259, 0.7843620196495644],
+    [0.8408186205185701, -1.2310439003391374, 0.8408186205185701, -1.0186463504443757, 0.5709605475805802],
+    [0.8408186205185701, -1.2310439003391374, 0.8408186205185701, -1.3127613067740516, 0.6446074435529373],
+    [0.8408186205185701, -1.2310439003391374, 0.8408186205185701, -1.6037840338738936, 0.8653905218552552],
+]
+CENTRED = f"""{GRID.replace("with g", "with recursive g")}, i as (select id, idx, value - avg(value) over (partition by id) as value, fold, idx - row_number() over (partition by id order by idx) as island from g),
+d as (select *, row_number() over (partition by id, island order by idx) as j from i)"""
+
+
+@query("bandpass", f"{CENTRED}, {_filtered(PASS_SECTIONS)} select id, idx, round(y + 0.0000314159::double, 5) as value, fold from u")
 def bandpass(spark: SparkSession, folder: str) -> DataFrame:
     """Periods of 4 to 48 hours."""
     found = dsp.bandpass(series.demean(samples(spark, folder)), *BAND)
     return found.select("id", "idx", F.round(F.col("value") + OFF_TIES, 5).alias("value"), "fold")
 
 
+@query("bandstop", f"{CENTRED}, {_filtered(STOP_SECTIONS)} select id, idx, round(y + 0.0000314159::double, 5) as value, fold from u")
+def bandstop(spark: SparkSession, folder: str) -> DataFrame:
+    """Without periods of 6 to 12 hours."""
+    found = dsp.bandpass(series.demean(samples(spark, folder)), *STOPPED, stop=True)
+    return found.select("id", "idx", F.round(F.col("value") + OFF_TIES, 5).alias("value"), "fold")
+
+
 @query(
     "fft_resample",
     f"""{GRID}, i as (select id, idx, value, fold, idx // 48 as cut, idx - row_number() over (partition by id order by idx) as island from g), p as (select id, cut, island, min(idx) as a, count(*) as n from i group by all),
@@ -62,6 +82,27 @@ def fft_resample(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "idx", F.round(F.col("value") + OFF_TIES, 5).alias("value"), F.round("fold", 6).alias("fold"))
 
 
+@query(
+    "lsq_optimal",
+    f"""{GRID}, b as (select id, idx, idx - row_number() over (partition by id order by idx) as island, value from g where value > 20), t as (select id, min(idx) filter (where value > 40) as on_, max(idx) as off_ from b group by id, island having max(value) > 40)
+select t.id, t.on_ as "on", count(*) as n, 0.0::double as height_slope, 0.0::double as mean_slope, 0.0::double as std_slope from t join g on g.id = t.id and g.idx between t.on_ - 2 and t.off_ + 2 group by all having count(*) >= 4""",
+)
+def lsq_optimal(spark: SparkSession, folder: str) -> DataFrame:
+    """The normal equations of the fitted gaussians at their solution: slopes of the squared rest in height, mean and standard deviation, as cosines, are 0."""
+    fits = lsq_gaussian(spark, folder)
+    rows = samples(spark, folder)
+    found = trigger.onsets(rows, 40.0, 20.0)
+    inside = in_spans(rows, found.select("id", (F.col("on") - 2).alias("first"), (F.col("off") + 2).alias("last"), "on"), ["id"]).join(fits, ["id", "on"])
+    u = (F.col("idx") - F.col("mean")) / F.col("std")
+    e = F.exp(-u * u / 2)
+    rest = F.col("value") - F.col("height") * e
+    slopes = {"height_slope": e, "mean_slope": e * u, "std_slope": e * u * u}
+    # a fit that runs away past the samples has its least only in the limit, and counts as 0
+    within = F.max("mean").between(F.min("idx"), F.max("idx"))
+    cosine = lambda s: F.when(within, F.round(F.abs(F.coalesce(F.try_divide(F.sum(rest * s), F.sqrt(F.sum(rest * rest) * F.sum(s * s))), F.lit(0.0))), 2)).otherwise(0.0)
+    return inside.groupBy("id", "on").agg(F.count("*").alias("n"), *[cosine(s).alias(name) for name, s in slopes.items()])
+
+
 @query("lsq_gaussian")
 def lsq_gaussian(spark: SparkSession, folder: str) -> DataFrame:
     """A gaussian for each trigger, over two samples more on both sides."""
@@ -106,7 +147,7 @@ def predict_multiweight(spark: SparkSession, folder: str) -> DataFrame:
     "preprocess_window",
     f"""{GRID.replace("with g", "with recursive g")}, l as (select id, regr_slope(value, idx) as slope, avg(value) as level, avg(idx) as mid, min(idx) as a, max(idx) as b from g group by id),
 i as (select g.id, g.idx, g.value - (l.level + l.slope * (g.idx - l.mid)) as value, g.fold, g.idx - row_number() over (partition by g.id order by g.idx) as island from g join l on l.id = g.id),
-d as (select *, row_number() over (partition by id, island order by idx) as j from i), {_filtered(dsp.butterworth(4, 1 / 48, 1 / 4, 1.0).tolist())},
+d as (select *, row_number() over (partition by id, island order by idx) as j from i), {_filtered(PASS_SECTIONS)},
 m as (select u.*, l.a, l.b, floor(least(0.05::double * (l.b - l.a + 1), (l.b - l.a + 1) / 2)) as m from u join l on l.id = u.id),
 w as (select *, case when idx - a < m then 0.5::double - 0.5::double * cos(pi() * (idx - a) / m) else 1 end * case when b - idx < m then 0.5::double - 0.5::double * cos(pi() * (b - idx) / m) else 1 end as w from m),
 n as (select id, idx, y * w / stddev_pop(y * w) over (partition by id) as value, fold * w as fold from w), r as (select id, unnest(range(a, b + 1)) as idx from l)

@@ -154,18 +154,31 @@ def stop_reasons(spark: SparkSession, folder: str) -> DataFrame:
 _WEIGHTS = ", ".join(f"('{m}', '{w}')" for m, weights in predict.CATALOGUE.items() for w in weights)
 
 
-@query("model_catalogue", f"select model, weight, n as window_npts, n - 1800 as step from (values {_WEIGHTS}) t(model, weight) join (values ('EQTransformer', 6000), ('PhaseNet', 3001)) s(name, n) on name = model")
+@query(
+    "model_catalogue",
+    f"""{GRID}, l as (select id, max(idx) - min(idx) + 1 as span from g group by id) select id, model, weight, n as window_npts, n - 6 as step, cast(greatest(floor((span - n) / (n - 6)::double) + 1, 0) as bigint) as windows
+from (values {_WEIGHTS}) t(model, weight) join (values ('EQTransformer', 24), ('PhaseNet', 12)) s(name, n) on name = model, l""",
+)
 def model_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """Published weights with the windows in which each model is asked, at an overlap of 1800 samples."""
-    made = [predict.window_parameters(n, 250, 1800) | {"name": m} for m, n in (("EQTransformer", 6000), ("PhaseNet", 3001))]
+    """How many windows each published weight is asked for over each series, with the sizes of the models' windows at an overlap of six samples."""
+    made = [predict.window_parameters(n, 2, 6) | {"name": m} for m, n in (("EQTransformer", 24), ("PhaseNet", 12))]
     sizes = spark.createDataFrame([(p["name"], p["in_samples"], p["step"]) for p in made], "model string, window_npts int, step int")
-    return predict.catalogue(spark).join(F.broadcast(sizes), "model")
+    asked = predict.catalogue(spark).join(F.broadcast(sizes), "model")
+    spans = stack.span(grid(spark, folder)).select("id", (F.col("last") - F.col("first") + 1).alias("span"))
+    count = F.greatest(F.floor((F.col("span") - F.col("window_npts")) / F.col("step")) + 1, F.lit(0)).cast("long")
+    return spans.crossJoin(F.broadcast(asked)).select("id", "model", "weight", "window_npts", "step", count.alias("windows"))
 
 
-@query("model_windows", "select n as in_samples, o as overlap, round(n / 100::double, 6) as length, round((n - o) / 100::double, 6) as step, round(3 * n / 100::double - 2 * (n - o) / 100::double, 6) as delay from (values (6000, 1800), (3001, 0), (6000, 3000)) t(n, o)")
+@query(
+    "model_windows",
+    """select p_partkey, n as in_samples, o as overlap, round(n / 100::double, 6) as length, round((n - o) / 100::double, 6) as step, round(3 * n / 100::double - 2 * (n - o) / 100::double, 6) as delay
+from (select p_partkey, 1000 + 100 * p_size as n, p_partkey % 900 as o from part)""",
+)
 def model_windows(spark: SparkSession, folder: str) -> DataFrame:
-    made = [(n, o, windows.model_windows(n, 100.0, o, 3)) for n, o in ((6000, 1800), (3001, 0), (6000, 3000))]
-    return spark.createDataFrame([(n, o, *[round(m[c], 6) for c in ("length", "step", "delay")]) for n, o, m in made], "in_samples int, overlap int, length double, step double, delay double")
+    """Seconds of length, step and delay for sizes and overlaps from a table."""
+    sizes = tables.table(spark, folder, "part").select("p_partkey", (1000 + 100 * F.col("p_size")).alias("in_samples"), (F.col("p_partkey") % 900).alias("overlap"))
+    made = windows.model_seconds(F.col("in_samples"), F.lit(100.0), F.col("overlap"), 3)
+    return sizes.select("*", *[F.round(c, 6).alias(name) for name, c in made.items()])
 
 
 CONFIG = {
@@ -188,11 +201,18 @@ def declared_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return plain(made.run(grid(spark, folder).select("id", "idx", "value", "fold")))
 
 
-@query("config_values", "select * from (values ('count', 'int', '12'), ('level', 'float', '0.25'), ('on', 'bool', 'True'), ('nothing', 'NoneType', 'None'), ('map', 'dict', '{''a'': 1, ''b'': 2.5}'), ('list', 'list', '[1, ''x'']'), ('text', 'str', 'import os'), ('held', 'float', '0.25')) t(name, kind, value)")
+@query(
+    "config_values",
+    """select n_name as name, case n_nationkey % 5 when 0 then 'int' when 1 then 'float' when 2 then 'bool' when 3 then 'list' else 'str' end as kind,
+case n_nationkey % 5 when 0 then cast(n_nationkey as varchar) when 1 then cast(n_nationkey / 4::double as varchar) when 2 then 'True' when 3 then '[' || n_nationkey || ', ''x'']' else 'import ' || n_name end as value from nation""",
+)
 def config_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Written parameters as the values they stand for."""
-    written = {"X": {"CLASS": "any", "count": "12", "level": "0.25", "on": "true", "nothing": "None", "map": "{'a': '1', 'b': 2.5}", "list": "[1, 'x']", "text": "import os", "held": "${X:level}"}}
-    _, values = pipeline.section(written, "X")
+    """Written parameters, one a nation, as the values they stand for; half of them by reference to another section."""
+    nations = tables.table(spark, folder, "nation").select("n_name", "n_nationkey").collect()  # a table of fixed size
+    write = (lambda k, n: str(k), lambda k, n: str(k / 4), lambda k, n: "true", lambda k, n: f"[{k}, 'x']", lambda k, n: f"import {n}")
+    written = {n: write[k % 5](k, n) for n, k in nations}
+    section = {n: f"${{Other:{n}}}" if k % 2 else written[n] for n, k in nations}
+    _, values = pipeline.section({"Nations": {"CLASS": "any", **section}, "Other": written}, "Nations")
     return spark.createDataFrame([(k, type(v).__name__, str(v)) for k, v in values.items()], "name string, kind string, value string")
 
 
