@@ -13,19 +13,53 @@ from pyspark.sql import functions as F
 
 from foldloom.functions import shapes
 from foldloom.operators import measure
-from foldloom.operators.frames import LENGTH, in_runs, run_bounds
+from foldloom.operators.frames import LENGTH, chunk, in_runs
 
 BY = ("id",)
 
 
-def onsets(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | None = None, by: Sequence[str] = BY, length: int = LENGTH, cut: bool = False) -> DataFrame:
-    """on, off (sample numbers) of each trigger. cut: one longer than max_len ends there, instead of being dropped."""
+def _excursions(samples: DataFrame, thr_on: float, thr_off: float, by: Sequence[str], length: int) -> DataFrame:
+    """by, on, off, npts, top (value, -idx), fold_mean, low_ of every trigger; low_ is the lowest fold before off.
+
+    Only samples above thr_off matter. They are placed by (by, chunk) once; there a run is what has equal differences of number and rank, and sums up to one row: over all
+    of it, and from its first sample above thr_on. Runs that touch neither edge of their chunk are triggers as they are; the others, at most two a chunk,
+    are joined to chains, in which a trigger begins with the first part that has a sample above thr_on.
+    """
     if thr_off > thr_on:
         raise ValueError("thr_off must not exceed thr_on")
-    above = F.col("value") > thr_off
-    runs = run_bounds(samples, by, above, length)
-    held = in_runs(samples.where(F.col("value") > thr_on).select(*by, "idx"), runs, by, length)
-    found = held.groupBy(*by, F.col("last").alias("off")).agg(F.min("idx").alias("on")).select(*by, "on", "off")
+    held = samples.where(F.col("value") > thr_off).select(*by, "idx", "value", "fold", chunk(length).alias("chunk_"))
+    ranked = held.withColumn("run_", F.col("idx") - F.row_number().over(Window.partitionBy(*by, "chunk_").orderBy("idx")))
+    whole = Window.partitionBy(*by, "chunk_", "run_")
+    placed = ranked.withColumns({"on_": F.min(F.when(F.col("value") > thr_on, F.col("idx"))).over(whole), "last_": F.max("idx").over(whole)})
+    since, body = F.col("idx") >= F.col("on_"), F.col("idx") < F.col("last_")
+    top = F.struct(F.col("value").alias("value"), (-F.col("idx")).alias("back"))
+    told = {"n": (F.count, F.lit(1)), "top": (F.max, top), "f": (F.sum, F.col("fold")), "c": (F.count, F.col("fold"))}
+    sums = [made(F.when(since, what) if part else what).alias(f"{name}{part}") for name, (made, what) in told.items() for part in ("", "_on")]
+    low = [F.min(F.when(body & since if part else body, F.col("fold"))).alias(f"low{part}") for part in ("", "_on")]
+    runs = placed.groupBy(*by, "chunk_", "run_").agg(F.min("idx").alias("first"), F.max("idx").alias("off"), F.min("on_").alias("on"), F.max(F.when(~body, F.col("fold"))).alias("end"), *sums, *low)
+    # never null, so that nothing is inferred of it and both uses of runs share the one exchange of samples
+    edge = F.coalesce((F.col("first") == F.col("chunk_") * length) | (F.col("off") == F.col("chunk_") * length + length - 1), F.lit(True))
+    mean = lambda f, c: F.when(F.col(c) > 0, F.col(f) / F.col(c))
+    alone = runs.where(~edge & F.col("on").isNotNull()).select(*by, "on", "off", F.col("n_on").alias("npts"), F.col("top_on").alias("top"), mean("f_on", "c_on").alias("fold_mean"), F.col("low_on").alias("low_"))
+    # edges: a chain goes on where the next part begins right after
+    order = Window.partitionBy(*by).orderBy("first")
+    linked = runs.where(edge).withColumn("new_", F.coalesce(F.col("first") != F.lag("off").over(order) + 1, F.lit(True)).cast("int"))
+    chained = linked.withColumn("chain_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy(*by, "chain_")
+    marked = chained.withColumns({"start_": F.min(F.when(F.col("on").isNotNull(), F.col("first"))).over(chain), "final_": F.max("off").over(chain)})
+    begins = F.col("first") == F.col("start_")
+    pick = lambda name: F.when(begins, F.col(f"{name}_on")).otherwise(F.col(name))
+    # within a chain, the last sample of a part counts as one before off, but for that of the last part
+    inner = F.least(pick("low"), F.when(F.col("off") < F.col("final_"), F.col("end")))
+    used = marked.where(F.col("first") >= F.col("start_"))
+    joined_ = used.groupBy(*by, "chain_").agg(F.min("on").alias("on"), F.max("off").alias("off"), F.sum(pick("n")).alias("npts"), F.max(pick("top")).alias("top"), F.sum(pick("f")).alias("f"), F.sum(pick("c")).alias("c"), F.min(inner).alias("low_"))
+    return alone.unionByName(joined_.select(*by, "on", "off", "npts", "top", mean("f", "c").alias("fold_mean"), "low_"))
+
+
+def onsets(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | None = None, by: Sequence[str] = BY, length: int = LENGTH, cut: bool = False) -> DataFrame:
+    """on, off (sample numbers) of each trigger. cut: one longer than max_len ends there, instead of being dropped."""
+    samples = samples if "fold" in samples.columns else samples.withColumn("fold", F.lit(None).cast("double"))
+    found = _excursions(samples, thr_on, thr_off, by, length).select(*by, "on", "off")
     if max_len is None:
         return found
     return found.withColumn("off", F.least("off", F.col("on") + max_len)) if cut else found.where(F.col("off") - F.col("on") <= max_len)
@@ -36,13 +70,17 @@ def triggers(samples: DataFrame, thr_on: float, thr_off: float, max_len: int | N
 
     min_fold rejects a trigger with a smaller fold in any sample from on to before off. Negative values are an error of the caller.
     """
-    found = onsets(samples, thr_on, thr_off, max_len, by, length, cut).select(*by, F.col("on").alias("first"), F.col("off").alias("last"))
-    inside = in_runs(samples, found, by, length).withColumn("on", F.col("first")).withColumn("off", F.col("last"))
-    low = F.coalesce(F.min(F.when(F.col("idx") < F.col("off"), F.col("fold"))), F.lit(float("inf")))
-    top = F.max(F.struct(F.col("value").alias("value"), (-F.col("idx")).alias("back")))
-    table = inside.groupBy(*by, "on", "off").agg(F.count("*").alias("npts"), top.alias("t"), F.avg("fold").alias("fold_mean"), low.alias("low_"))
-    kept = table if min_fold is None else table.where(F.col("low_") >= min_fold)
-    return kept.select(*by, "on", "off", F.greatest(F.col("on") - pad, F.lit(0)).alias("pad_on"), (F.col("off") + pad).alias("pad_off"), "npts", F.col("t.value").alias("p_max"), (-F.col("t.back")).alias("at_max"), "fold_mean")
+    if max_len is not None and cut:  # where a trigger ends depends on where it began, so its samples are looked at again
+        found = onsets(samples, thr_on, thr_off, max_len, by, length, cut).select(*by, F.col("on").alias("first"), F.col("off").alias("last"))
+        inside = in_runs(samples, found, by, length).withColumn("on", F.col("first")).withColumn("off", F.col("last"))
+        low = F.min(F.when(F.col("idx") < F.col("off"), F.col("fold")))
+        top = F.max(F.struct(F.col("value").alias("value"), (-F.col("idx")).alias("back")))
+        table = inside.groupBy(*by, "on", "off").agg(F.count("*").alias("npts"), top.alias("top"), F.avg("fold").alias("fold_mean"), low.alias("low_"))
+    else:
+        every = _excursions(samples, thr_on, thr_off, by, length)
+        table = every if max_len is None else every.where(F.col("off") - F.col("on") <= max_len)
+    kept = table if min_fold is None else table.where(F.coalesce("low_", F.lit(float("inf"))) >= min_fold)
+    return kept.select(*by, "on", "off", F.greatest(F.col("on") - pad, F.lit(0)).alias("pad_on"), (F.col("off") + pad).alias("pad_off"), "npts", F.col("top.value").alias("p_max"), (-F.col("top.back")).alias("at_max"), "fold_mean")
 
 
 def bounded(found: DataFrame, shortest: int, longest: int, mute_after: int | None = None) -> DataFrame:

@@ -195,3 +195,39 @@ def test_sink_takes_a_batch_once(spark, tmp_path):
     assert sink.committed(spark) == [0, 1]
     back = sink.read(spark, ("station", "idx", "n")).collect()
     assert sorted((r["n"], r["idx"], r["value"], r["fold"]) for r in back) == [(n, k, float(k), 1.0) for n in (0, 1) for k in range(5)]
+
+
+@pytest.mark.parametrize("length", [3, 7, 65_536])
+def test_summaries_across_chunks(spark, length):
+    """Triggers of any length over chunks of any length, against one pass over each series."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for name in "ab":
+        idx = np.sort(rng.choice(600, 480, replace=False))
+        value = np.abs(np.sin(np.arange(480) / rng.integers(5, 30))) * rng.random(480) ** 0.3
+        rows += [(name, int(i), float(round(v, 2)), float(rng.integers(1, 5))) for i, v in zip(idx, value, strict=True)]
+    wanted = []
+
+    def closed(run):
+        first = next((k for k, r in enumerate(run) if r[2] > 0.6), None)
+        if first is not None:
+            part = run[first:]
+            top = max(r[2] for r in part)
+            low = min((r[3] for r in part[:-1]), default=float("inf"))
+            wanted.append((part[0][0], part[0][1], part[-1][1], len(part), top, next(r[1] for r in part if r[2] == top), np.mean([r[3] for r in part]), low))
+
+    for name in "ab":
+        run = []
+        for r in (r for r in rows if r[0] == name):
+            if not (r[2] > 0.25 and run and run[-1][1] == r[1] - 1):
+                closed(run)
+                run = []
+            if r[2] > 0.25:
+                run.append(r)
+        closed(run)
+    df = spark.createDataFrame(rows, SAMPLES)
+    for least in (None, 2.0):
+        found = sorted((r["id"], r["on"], r["off"], r["npts"], r["p_max"], r["at_max"]) for r in trigger.triggers(df, 0.6, 0.25, min_fold=least, length=length).collect())
+        assert found == sorted(w[:6] for w in wanted if least is None or w[7] >= least) and len(found) > 50
+    means = {(r["id"], r["on"]): r["fold_mean"] for r in trigger.triggers(df, 0.6, 0.25, length=length).collect()}
+    assert means == pytest.approx({w[:2]: w[6] for w in wanted})
