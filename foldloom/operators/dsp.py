@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.sources.scratch import stored
+
 BLOCK = 65_536
 FORGOTTEN = 1e-12
 Segment = Callable[[np.ndarray], np.ndarray]
@@ -255,11 +257,12 @@ def gaussian_fits(inside: DataFrame, by: Sequence[str] = ("id", "on"), x: str =
 
 def _fits_by_sums(live: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 200) -> DataFrame:
     """The same fits with all sums over samples as grouped aggregates: each round sums up the slopes at the parameters on trial, and a step of
-    Levenberg and Marquardt on one row a trigger keeps them or goes back. Rounds are checkpointed.
+    Levenberg and Marquardt on one row a trigger keeps them or goes back. Each round's parameters are stored.
     """
     at = live.select(*by, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"))
     first = at.groupBy(*by).agg(F.min("x_").alias("origin"), F.max("y_").alias("a_"), (F.max_by("x_", "y_") - F.min("x_")).alias("b_"), F.greatest((F.max("x_") - F.min("x_")) / 6, F.lit(1e-3)).alias("c_"))
-    state = first.select(*by, "origin", F.array("a_", "b_", "c_").alias("trial"), F.lit(None).cast("array<double>").alias("best"), F.lit(None).cast("array<double>").alias("sums"), F.lit(1e-3).alias("damp"), F.lit(False).alias("done")).checkpoint()
+    state = first.select(*by, "origin", F.array("a_", "b_", "c_").alias("trial"), F.lit(None).cast("array<double>").alias("best"), F.lit(None).cast("array<double>").alias("sums"), F.lit(1e-3).alias("damp"), F.lit(False).alias("done"))
+    state = stored(state)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
     for _ in range(rounds):
         placed = at.join(state.select(*by, "origin", "trial"), list(by))
@@ -290,7 +293,7 @@ def _fits_by_sums(live: DataFrame, by: Sequence[str], x: str, y: str, rounds: in
                     out.iloc[k, out.columns.get_loc("done")] = bool(rows["done"].iat[k] or still or damp > 1e8)
                 yield out
 
-        state = state.join(summed, list(by)).mapInPandas(step, kinds).checkpoint()
+        state = stored(state.join(summed, list(by)).mapInPandas(step, kinds))
         if state.where("not done").isEmpty():
             break
     fields = ", ".join(f"`{c}` {live.schema[c].dataType.simpleString()}" for c in by) + ", height double, mean double, std double, covariance array<array<double>>, l2 double"

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import ids
+from foldloom.sources.scratch import stored
 
 NUMBERS = ("sampling_rate", "npts", "delta", "calib")
 COMBINE = {"intersection": operator.and_, "union": operator.or_, "symmetric": lambda a, b: a != b}
@@ -49,12 +50,12 @@ def positions(df: DataFrame, order: Sequence[str], first: int = 0, last: int | N
     """Rows first to last - 1 by `step` in the given order, counted from 0.
 
     With a last one, only so many rows are ordered (a distributed top list). Without, rows are dealt by ranges of the order into the
-    shared folder's checkpoint, numbered within each range, and moved on by the numbers of rows of the ranges before.
+    shared folder, numbered within each range, and moved on by the numbers of rows of the ranges before.
     """
     if last is not None:
         placed = df.orderBy(*order).limit(last).withColumn("place_", F.row_number().over(Window.orderBy(*order)) - 1)
     else:
-        dealt = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()).checkpoint()
+        dealt = stored(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
         sizes = dealt.groupBy("range_").agg(F.count("*").alias("size_"))
         before = sizes.select("range_", F.coalesce(F.sum("size_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
         own = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
