@@ -1,28 +1,29 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (Chen and Goodman, 1999) over bytes.
 
-Trigrams of bytes are counted in trusted texts. Counts, context totals and continuation counts are tables, and the
-probability of every trigram that any document asks for comes from joins of these tables, partitioned by their keys.
+Trigrams of bytes are counted in all good texts: those whose largest quality label is 1. A hash of the text deals them into two halves,
+each with a model of its own. Counts, context totals and continuation counts are tables, and the probability of every trigram that any
+document asks for comes from joins of these tables, partitioned by their keys. A good text is judged by the half that lacks it, so
+no text by a model that has seen it; any other text by both, by the mean of its log probabilities.
 
 Documents meet the probabilities in shards. A task turns about BLOCK_BYTES of texts into one block: its distinct
 trigrams and, for each, the documents and their counts, cut by shard of the trigram and compressed. Block parts and
 model shards are cogrouped by (shard, salt); each group adds up the log probabilities of its documents' trigrams, and
 the sums of a document's shards are added at the end. The number of shards follows the model. A salt takes the more documents the
 larger the model is (at least one for every MODEL_ROWS of its rows), so what is sent of the model stays in proportion to the documents.
-No table is broadcast but the ids of trusted texts.
+Texts and ids of good ones meet by a shuffle, whatever their number; no table is broadcast by hint.
 
-A text is kept if its perplexity a byte is at most `slack` times the `quantile` of good texts of its language (of all good
-texts where its language has none). Good are all texts whose largest quality label is 1; trusted, for the counts of the model,
-is a hashed sample of about `trusted` of them, half of them at most. The quantiles are those of all other good texts, which the model has not
-seen; a language without any takes those that it has seen.
+A text is kept if its perplexity a byte is at most `slack` times the `quantile` of all good texts of its language (of all good
+texts where its language has none). With `trusted` set, a single model counts a hashed sample of about so many good texts (half of them
+at most), and the quantiles are those of all other good texts; a language without any takes those that it has seen.
 
 Defined results: a null or empty text has no perplexity and is not kept; a text at its threshold is kept; a null lang is a language of
-its own; equal rows get equal results, repeated ones too; a very long text is one block of its own; without trusted texts every byte
-costs the same and all texts with bytes are kept; an empty table gives an empty result; further columns are ignored.
+its own; equal rows get equal results, repeated ones too; a very long text is one block of its own; a half without texts makes every byte
+cost the same, so that without good texts all texts with bytes are kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -58,22 +59,26 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, end - first)
 
 
-def count_trigrams(texts: DataFrame) -> DataFrame:
-    """gram, n: every trigram of any text (data) and its count in trusted ones (trusted)."""
+def count_trigrams(texts: DataFrame, marks: Sequence[str] = ("trusted",)) -> DataFrame:
+    """gram, n: every trigram of any text (data) and its count in marked ones; several marks: n_0, n_1, ..."""
+    names = ["n"] if len(marks) == 1 else [f"n_{k}" for k in range(len(marks))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, counts = np.zeros(CODES, bool), np.zeros(CODES, np.uint32)
+        asked, counts = np.zeros(CODES, bool), [np.zeros(CODES, np.uint32) for _ in marks]
         for batch in batches:
             for part in _blocks(batch, 0):
-                data, marks = [t or b"" for t in part.column(0).to_pylist()], part.column(1).to_pylist()
+                data = [t or b"" for t in part.column(0).to_pylist()]
                 asked[_trigrams(data)[0]] = True
-                if any(marks):
-                    grams, n = np.unique(_trigrams([t for t, m in zip(data, marks, strict=True) if m])[0], return_counts=True)
-                    counts[grams] += n.astype(np.uint32)
+                for k, count in enumerate(counts, 1):
+                    own = part.column(k).to_pylist()
+                    if any(own):
+                        grams, n = np.unique(_trigrams([t for t, m in zip(data, own, strict=True) if m])[0], return_counts=True)
+                        count[grams] += n.astype(np.uint32)
         found = np.nonzero(asked)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *[pa.array(c[found].astype(np.int64)) for c in counts]], ["gram", *names])
 
-    return texts.select("data", "trusted").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    fields = "gram int, " + ", ".join(f"{n} long" for n in names)
+    return texts.select("data", *marks).mapInArrow(run, fields).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def discounts(counts: DataFrame, n: str = "n") -> tuple[float, float, float]:
@@ -140,8 +145,12 @@ def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
 
 
-def log_probabilities(texts: DataFrame, model: DataFrame, shards: int, salts: int) -> DataFrame:
-    """row, doc_id, lang, trusted, n_bytes, logp of texts (data, trusted, doc_id, lang) with at least one byte."""
+def log_probabilities(texts: DataFrame, model: DataFrame, shards: int, salts: int, mark: str = "trusted") -> DataFrame:
+    """doc_id, lang, trusted (or another mark), n_bytes, logp of texts (data, trusted, doc_id, lang) with at least one byte.
+
+    model: gram, logp; of several columns of log probabilities, each is added up under its name.
+    """
+    names = [c for c in model.columns if c != "gram"]
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,24 +175,25 @@ def log_probabilities(texts: DataFrame, model: DataFrame, shards: int, salts: in
                 number += 1
 
     fields = f"block long, shard int, salt int, payload binary, ids array<{kind}>, langs array<string>, marks array<boolean>, sizes array<long>"
-    parts = texts.select("data", "trusted", "doc_id", "lang").mapInArrow(block, fields)
+    parts = texts.select("data", mark, "doc_id", "lang").mapInArrow(block, fields)
     sharded = model.withColumn("shard", _shard_column(model.sparkSession, shards)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def add(blocks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("block", "ids", "langs", "marks", "sizes", "sums")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("block", "ids", "langs", "marks", "sizes", *names)})
         table = table.sort_values("gram")
-        known, logp, out = table["gram"].to_numpy(np.int64), table["logp"].to_numpy(), []
+        known, logps, out = table["gram"].to_numpy(np.int64), [table[c].to_numpy() for c in names], []
         for payload, ids in zip(blocks["payload"], blocks["ids"], strict=True):
             grams, each, docs, counts = _unpacked(payload)
-            own = logp[np.searchsorted(known, grams)] if len(grams) else np.zeros(0)
-            out.append(np.bincount(docs, np.repeat(own, each) * counts, len(ids)))
-        return blocks[["block", "ids", "langs", "marks", "sizes"]].assign(sums=out)
+            at = np.searchsorted(known, grams)
+            out.append([np.bincount(docs, np.repeat(logp[at] if len(grams) else np.zeros(0), each) * counts, len(ids)) for logp in logps])
+        return blocks[["block", "ids", "langs", "marks", "sizes"]].assign(**{c: [sums[k] for sums in out] for k, c in enumerate(names)})
 
     keys = ("shard", "salt")
-    summed = parts.groupBy(*keys).cogroup(sharded.groupBy(*keys)).applyInPandas(add, f"block long, ids array<{kind}>, langs array<string>, marks array<boolean>, sizes array<long>, sums array<double>")
-    rows = summed.select("block", F.posexplode(F.arrays_zip("ids", "langs", "marks", "sizes", "sums")).alias("k", "x"))
-    one = rows.groupBy("block", "k").agg(*[F.first(f"x.{a}").alias(b) for a, b in (("ids", "doc_id"), ("langs", "lang"), ("marks", "trusted"), ("sizes", "n_bytes"))], F.sum("x.sums").alias("logp"))
+    sums = "".join(f", {c} array<double>" for c in names)
+    summed = parts.groupBy(*keys).cogroup(sharded.groupBy(*keys)).applyInPandas(add, f"block long, ids array<{kind}>, langs array<string>, marks array<boolean>, sizes array<long>{sums}")
+    rows = summed.select("block", F.posexplode(F.arrays_zip("ids", "langs", "marks", "sizes", *names)).alias("k", "x"))
+    one = rows.groupBy("block", "k").agg(*[F.first(f"x.{a}").alias(b) for a, b in (("ids", "doc_id"), ("langs", "lang"), ("marks", mark), ("sizes", "n_bytes"))], *[F.sum(f"x.{c}").alias(c) for c in names])
     return one.drop("block", "k")
 
 
@@ -205,24 +215,44 @@ def thresholds(good: DataFrame, quantile: float, slack: float = 1.0) -> DataFram
     return steps.groupBy("lang_key").agg(limit).unionByName(steps.agg(F.lit(None).cast("string").alias("lang_key"), limit).where("threshold is not null"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 1.0, trusted: int = 20_000, shard_rows: int = 400_000, salt_docs: int = 8192) -> DataFrame:
-    """doc_id, lang, perplexity, threshold, keep of every row of docs (doc_id, text, lang); labels has doc_id, quality."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
+def _halves(texts: DataFrame, good: DataFrame) -> DataFrame:
+    """gram, logp_0, logp_1: models of the good texts (data, doc_id, half) without and with `half`."""
+    marked = texts.join(good.select(F.col("doc_id").alias("good_id")).hint("shuffle_hash"), F.col("doc_id") == F.col("good_id"), "left")
+    known = F.col("good_id").isNotNull()
+    counted = stored(count_trigrams(marked.select("data", (known & ~F.col("half")).alias("first"), (known & F.col("half")).alias("second")), ("first", "second")))
+    one, two = (probabilities(counted.select("gram", F.col(f"n_{k}").alias("n"))).withColumnRenamed("logp", f"logp_{k}") for k in (0, 1))
+    return stored(one.join(two, "gram"))
+
+
+def _sample(texts: DataFrame, good: DataFrame, trusted: int) -> tuple[DataFrame, DataFrame]:
+    """texts with `trusted`, whether they are of a hashed sample of about so many good ones, half of them at most; and the model of that sample."""
     fine = 1 << 30
     share = min(0.5, trusted / max(1, good.count()))
-    # about `trusted` ids at most: the bound of this broadcast
     chosen = good.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(fine)) < int(fine * share)).select(F.col("doc_id").alias("trusted_id"))
-    marked = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("data")).join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left")
-    texts = marked.select("doc_id", "lang", "data", F.col("trusted_id").isNotNull().alias("trusted"))
-    model = probabilities(count_trigrams(texts))
+    # about `trusted` ids at most: the bound of this broadcast
+    marked = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull())
+    return marked, probabilities(count_trigrams(marked))
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 1.0, trusted: int | None = None, shard_rows: int = 400_000, salt_docs: int = 8192) -> DataFrame:
+    """doc_id, lang, perplexity, threshold, keep of every row of docs (doc_id, text, lang); labels has doc_id, quality."""
+    good = stored(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id"))
+    texts = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("data"))
+    if trusted is None:
+        texts = texts.withColumn("half", F.pmod(F.xxhash64("data"), F.lit(2)) == 1)
+        mark, model = "half", _halves(texts, good)
+        unseen = F.when(F.col("half"), F.col("logp_0")).otherwise(F.col("logp_1"))
+        logp, seen = F.when(F.col("good"), unseen).otherwise((F.col("logp_0") + F.col("logp_1")) / 2), F.lit(False)
+    else:
+        mark, (texts, model) = "trusted", _sample(texts, good, trusted)
+        logp, seen = F.col("logp"), F.col("trusted")
     size = model.count()
     shards = max(4, -(-size // shard_rows))
     salts = max(1, docs.select("doc_id").count() // max(salt_docs, size // MODEL_ROWS))
-    told = log_probabilities(texts, model, shards, salts).withColumns({"perplexity": F.exp(-F.col("logp") / F.col("n_bytes")), "lang_key": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?"))})
-    rows = stored(told.select("doc_id", "lang", "lang_key", "perplexity", "trusted"))
-    held = stored(rows.join(good.select("doc_id"), "doc_id", "left_semi"))
-    new, seen = (thresholds(held.where(F.col("trusted") == seen), quantile, slack) for seen in (False, True))
-    limits = stored(new.unionByName(seen.join(new.select(F.coalesce("lang_key", F.lit("")).alias("told")), F.coalesce("lang_key", F.lit("")) == F.col("told"), "left_anti")))
+    told = log_probabilities(texts, model, shards, salts, mark).join(good.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    rows = stored(told.select("doc_id", "lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?")).alias("lang_key"), F.exp(-logp / F.col("n_bytes")).alias("perplexity"), "good", seen.alias("seen")))
+    new, old = (thresholds(rows.where(F.col("good") & (F.col("seen") == known)), quantile, slack) for known in (False, True))
+    limits = stored(new.unionByName(old.join(new.select(F.coalesce("lang_key", F.lit("")).alias("told")), F.coalesce("lang_key", F.lit("")) == F.col("told"), "left_anti")))
     every = limits.where("lang_key is null").first()
     overall = F.lit(every["threshold"] if every else float("inf"))
     judged = rows.join(limits.where("lang_key is not null"), "lang_key", "left").select("doc_id", "lang", "perplexity", F.coalesce("threshold", overall).alias("threshold"))

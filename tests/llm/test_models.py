@@ -285,6 +285,28 @@ def test_query_against_plain_kneser_ney(spark):
     assert not found[90]["keep"] and found[91]["perplexity"] is None
 
 
+def test_every_good_text_counts(spark):
+    """Models of both halves, and thresholds of all good texts."""
+    rng = random.Random(12)
+    rows = [(k, prose(rng.choice(["en", "de"]), rng.randrange(1, 30), rng), rng.choice(["en", "de", None])) for k in range(60)]
+    good = {k for k in range(60) if k % 3}
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k in good)) for k in range(60)], "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in kneser_ney.quality(docs, told, quantile=0.9).collect()}
+    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(2)).alias("h")).collect()}
+    text = {k: t.encode() for k, t, _ in rows}
+    halves = [{k for k in good if half[k] == h} for h in (0, 1)]
+    chances = [plain_kneser_ney([text[k] for k in some]) for some in halves]
+    costs = {}
+    for k, t in text.items():
+        p = b"\0\0" + t
+        one, two = (sum(math.log(chance(p[i : i + 2], p[i + 2])) for i in range(len(t))) / len(t) for chance in chances)
+        costs[k] = math.exp(-(two if k in halves[0] else one if k in halves[1] else (one + two) / 2))
+        assert found[k]["perplexity"] == pytest.approx(costs[k]), k
+    for name in ("en", "de", None):
+        limit = 2 ** (math.ceil(np.percentile([math.ceil(math.log2(costs[k]) * 1000) for k in good if rows[k][2] == name], 90)) / 1000)
+        assert all(found[k]["threshold"] == pytest.approx(limit) for k in text if rows[k][2] == name)
+
+
 # toxicity
 
 
