@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import shapes
-from foldloom.operators import measure
+from foldloom.operators import measure, pairs
 from foldloom.operators.frames import LENGTH, chunk, in_runs
 
 BY = ("id",)
@@ -110,13 +110,9 @@ def numbered(rows: DataFrame, order: Sequence[str], by: Sequence[str], modulus:
 
 
 def similar(picks_: DataFrame, within: float, keys: Sequence[str], mean: str = "mean", var: str = "var", row: str = "pick_id") -> DataFrame:
-    """Pairs of picks of equal keys whose means differ by at most `within`, with their divergence; a banded self-join."""
-    band = F.floor(F.col(mean) / within).cast("long")
-    a = picks_.select(*keys, *[F.col(c).alias(f"{c}_1") for c in (row, mean, var)], F.explode(F.array(band - 1, band, band + 1)).alias("band_"))
-    b = picks_.select(*keys, *[F.col(c).alias(f"{c}_2") for c in (row, mean, var)], band.alias("band_"))
-    near = F.abs(F.col(f"{mean}_1") - F.col(f"{mean}_2")) <= within
-    pairs = a.join(b, [*keys, "band_"]).where((F.col(f"{row}_1") < F.col(f"{row}_2")) & near).drop("band_")
-    return pairs.withColumn("divergence", shapes.kl_gaussian(*(F.col(c) for c in (f"{mean}_1", f"{var}_1", f"{mean}_2", f"{var}_2"))))
+    """Pairs of picks of equal keys whose means differ by at most `within`, with their divergence, by bands in blocks."""
+    found = pairs.near(picks_.select(*keys, row, mean, var), within, keys, mean).where(F.col(f"{row}_1") < F.col(f"{row}_2"))
+    return found.withColumn("divergence", shapes.kl_gaussian(*(F.col(c) for c in (f"{mean}_1", f"{var}_1", f"{mean}_2", f"{var}_2"))))
 
 
 def pick_times(rows: DataFrame, reference_us: str = "reference_us", params: str = "params", param: str = "pick_param", sampling_rate: str = "sampling_rate") -> DataFrame:

@@ -168,6 +168,23 @@ def test_band_join_equals_filtered_pairs(spark):
     assert near == every and near
 
 
+def test_dense_bands_are_dealt_to_tasks(spark, monkeypatch):
+    """Many rows of one mean make more tasks, none of which has a large share of the pairs; and none is lost or found twice."""
+    for name, value in (("BLOCK_ROWS", 16), ("TASK_PAIRS", 1 << 12)):
+        monkeypatch.setattr(pairs, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    means = [1.0] * 250 + [float(m) for m in rng.uniform(-20, 20, 50)]
+    stats = spark.createDataFrame([(k, m, 1.0 + k % 3) for k, m in enumerate(means)] + [(300, None, 1.0)], "key int, mean double, var double")
+    wanted = sorted((a, b) for a, m in enumerate(means) for b, n in enumerate(means) if a != b and abs(m - n) <= 1.5)
+    found = pairs.band_pairs(stats, 1.5).select("key_1", "key_2", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r["key_1"], r["key_2"]) for r in found) == wanted
+    picks = stats.select(F.lit("x").alias("id"), F.col("key").alias("pick_id"), "mean", "var")
+    half = trigger.similar(picks, 1.5, ["id"]).select("pick_id_1", "pick_id_2", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r["pick_id_1"], r["pick_id_2"]) for r in half) == [(a, b) for a, b in wanted if a < b]
+    for rows in (found, half):
+        assert max(sum(r["part"] == p for r in rows) for p in {r["part"] for r in rows}) < len(rows) / 4
+
+
 def test_window_counts(spark):
     rows = packet(spark, ("a", 10, list(range(100)), None)).withColumn("series", F.lit("a"))
     found = windows.ready(rows, ["id"], "series", F.lit(True), 20, 15, min_valid=1.0, delay=5).collect()
