@@ -1,7 +1,8 @@
 """Ranked lexical search: WAND over shards of documents, whose heaps are merged.
 
 `build_index` cuts the rows of each task into shards of bounded bytes and stores one row a shard: its documents in order of
-doc_id with their lengths, and for every term the list of its documents and counts. Collection statistics (documents, terms, and the documents
+doc_id with their lengths, and for every term the list of its documents and counts. All but the doc_ids are strings of bytes, numbers in as few bytes as
+hold them, which the JVM hands on without taking them apart; a row group holds few shards. Collection statistics (documents, terms, and the documents
 of each query term) come from the index. `search` walks every shard once for each query with the published pivot test: each term has the largest
 impact of its list in the shard as a bound; terms are ordered by it, and those whose bounds together can't reach the heap's threshold lead no
 search. Windows of documents are taken from the lists of the others only. A document is the next pivot if the bounds of the terms it is
@@ -31,11 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import spans, stored
+from foldloom.llm.common import short_batches, spans, stored
 
 #: bytes that stand between terms become spaces, A-Z become a-z
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHARD_BYTES = 4_000_000
+#: what a document counts for besides its text; it bounds the documents of a shard
+DOCUMENT_BYTES = 64
+#: shards of a row group, so that neither the writer nor the reader holds all of a file
+GROUP_SHARDS = 4
 WINDOW = 512
 #: distinct query terms of one pass over the index; more queries take more passes
 PASS_TERMS = 200_000
@@ -47,7 +52,8 @@ def terms(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """shards: doc_ids, lengths, and for the term k: words[k], counts[k] documents of `docs` and as many of `tfs`."""
+    """shards: doc_ids, lengths, and for the term k: words[k], counts[k] documents of `docs` and as many of `tfs`, packed but for doc_ids; n
+    documents with terms, and `total` terms."""
 
     shards: DataFrame
     n_docs: int
@@ -70,6 +76,16 @@ def _posted(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np
     return lengths, list(number), np.bincount(both[0], minlength=len(number)), owner[order], both[1][order]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, behind the bytes of each."""
+    kind = np.min_scalar_type(numbers.max(initial=0)).newbyteorder("<")
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def build_index(docs: DataFrame) -> Index:
     """Store the posting lists of docs (doc_id, text), all terms of all texts."""
 
@@ -80,27 +96,27 @@ def build_index(docs: DataFrame) -> Index:
         def shard() -> pa.RecordBatch:
             waiting.sort(key=lambda row: (row[0] is not None, row[0] or 0))
             lengths, words, counts, owner, tf = _posted([t for _, t in waiting])
-            lists = ([d for d, _ in waiting], lengths, words, counts, owner, tf)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in zip(lists, kinds, strict=True)], ["doc_ids", "lengths", "words", "counts", "docs", "tfs"])
+            row = ([d for d, _ in waiting], _packed(lengths), b" ".join(words), _packed(counts), _packed(owner), _packed(tf), np.count_nonzero(lengths), lengths.sum())
+            kinds = (pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["doc_ids", "lengths", "words", "counts", "docs", "tfs", "n", "total"])
 
         for batch in batches:
             for first, end in spans(pc.binary_length(batch.column(1)).to_pylist(), SHARD_BYTES):
                 part = batch.slice(first, end - first)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if waiting and size + len(text) > SHARD_BYTES:
+                    if waiting and size + len(text) + DOCUMENT_BYTES > SHARD_BYTES:
                         yield shard()
                         waiting, size = [], 0
                     waiting.append((doc_id, text))
-                    size += len(text)
+                    size += len(text) + DOCUMENT_BYTES
         if waiting:
             yield shard()
 
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).where("length(text) > 0")
-    shards = stored(named.mapInArrow(post, "doc_ids array<long>, lengths array<long>, words array<binary>, counts array<int>, docs array<int>, tfs array<int>"))
-    full = F.filter("lengths", lambda n: n > 0)
-    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda held, n: held + n)
-    row = shards.select(F.size(full).alias("n"), total.alias("total")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()  # two numbers
+    schema = "doc_ids array<long>, lengths binary, words binary, counts binary, docs binary, tfs binary, n long, total long"
+    with short_batches(docs.sparkSession):
+        shards = stored(named.mapInArrow(post, schema), **{"parquet.block.row.count.limit": GROUP_SHARDS})
+    row = shards.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()  # two numbers
     return Index(shards, row["n"] or 0, row["total"] or 0)
 
 
@@ -132,15 +148,15 @@ class Shard:
     def __init__(self, doc_ids: list, lengths: np.ndarray, words: list[bytes], counts: np.ndarray, docs: np.ndarray, tfs: np.ndarray, weights: dict[bytes, tuple[int, int]], n_docs: int, n_terms: int):
         self.doc_ids = doc_ids
         m = 50 + 50 * lengths.astype(np.int64) * n_docs // n_terms
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts, dtype=np.int64)
         self.lists: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
         for k, word in enumerate(words):
             known = weights.get(word)
             if known is not None:
                 own = slice(ends[k] - counts[k], ends[k])
-                tf = tfs[own].astype(np.int64)
-                impact = known[1] * (1_000_000_000 * tf // (1000 * tf + 20 * m[docs[own]]))
-                self.lists[known[0]] = (docs[own], impact, int(impact.max()))
+                held, tf = docs[own].astype(np.int64), tfs[own].astype(np.int64)
+                impact = known[1] * (1_000_000_000 * tf // (1000 * tf + 20 * m[held]))
+                self.lists[known[0]] = (held, impact, int(impact.max()))
 
     def search(self, query: list[int], heap: Heap) -> None:
         """Offer the heap every document whose score may enter it."""
@@ -185,9 +201,20 @@ class Shard:
 
 def _weights(index: Index, queries: DataFrame) -> dict[bytes, tuple[int, int]]:
     """term to number and w, for the terms of one pass (a bounded number) that occur."""
-    wanted = F.broadcast(queries.select(F.explode("words").alias("word")).distinct())  # at most about PASS_TERMS terms
-    listed = index.shards.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counted = listed.join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("df")).toArrow()
+    asked = queries.select(F.explode("words").alias("word")).distinct().toArrow()["word"].to_pylist()  # at most about PASS_TERMS terms
+    shared = queries.sparkSession.sparkContext.broadcast(set(asked))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, df = shared.value, defaultdict(int)
+        for batch in batches:
+            for words, counts in zip(*batch.columns, strict=True):
+                for word, n in zip(words.as_py().split(), _unpacked(counts.as_py()).tolist(), strict=True):
+                    if word in wanted:
+                        df[word] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], ["word", "n"])
+
+    listed = index.shards.select("words", "counts").mapInArrow(count, "word binary, n long")
+    counted = listed.groupBy("word").agg(F.sum("n").alias("df")).toArrow()
     n = index.n_docs
     return {w: (k, math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1)))) for k, (w, df) in enumerate(zip(counted["word"].to_pylist(), counted["df"].to_pylist(), strict=True))}
 
@@ -204,8 +231,8 @@ def _passed(index: Index, queries: DataFrame, k: int) -> DataFrame:
         heaps = {item: Heap(k) for item in numbered}
         for batch in batches:
             for r in range(batch.num_rows):
-                part = [c[r].values for c in batch.columns]
-                shard = Shard(part[0].to_pylist(), part[1].to_numpy(), part[2].to_pylist(), *(c.to_numpy() for c in part[3:]), weights, n_docs, n_terms)
+                doc_ids, lengths, words, *lists = [c[r].as_py() for c in batch.columns]
+                shard = Shard(doc_ids, _unpacked(lengths), words.split(), *map(_unpacked, lists), weights, n_docs, n_terms)
                 for item, query in numbered.items():
                     shard.search(query, heaps[item])
         rows = [(item, doc_id, score) for item, heap in heaps.items() for score, doc_id in heap.best()]

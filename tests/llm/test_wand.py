@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from foldloom.llm import wand
@@ -89,6 +90,26 @@ def test_bounds_skip_documents(monkeypatch):
     assert sum(looked) < 60  # of 5,000
 
 
+def test_index_is_read_in_small_parts(spark, monkeypatch):
+    """A row group holds few shards, so that a file of any length is not held whole; a shard holds few documents, however short; lists are bytes, not arrays."""
+    monkeypatch.setattr(wand, "SHARD_BYTES", 2_000)
+    docs = [f"w{k % 7} w{k}" for k in range(3000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = wand.build_index(spark.createDataFrame(documents(*docs), "doc_id long, text string, lang string, source string, n_chars long").coalesce(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    (path,) = index.shards.inputFiles()
+    told = pq.ParquetFile(path.removeprefix("file:")).metadata
+    assert told.num_rows > 50 and max(told.row_group(k).num_rows for k in range(told.num_row_groups)) <= 4
+    sizes = [len(r["doc_ids"]) for r in index.shards.select("doc_ids").collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2_000 // 64
+    assert {t for _, t in index.shards.select("words", "counts", "docs", "tfs").dtypes} == {"binary"}
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [255, 0], [256, 3], [65_535], [65_536, 1], [2**32 - 1], [2**32, 7]):
+        assert wand._unpacked(wand._packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_clashing_columns(spark, folder):
     docs, items = made(6, 30)
     path = folder(documents(*docs), benchmark=items, clashing=True)
