@@ -21,6 +21,7 @@ id are ranked each for itself; empty tables give no rows; a very long text is a
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -62,8 +63,7 @@ class Index:
 
 def _posted(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Lengths of the documents; words, the number of documents of each, and these with the counts, word by word."""
-    number: dict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)  # not its own __len__: that is a cycle, which keeps the words of shard after shard
     lengths, docs, parts = np.zeros(len(texts), np.int64), [], []
     for k, text in enumerate(texts):
         found = terms(text)

@@ -1,8 +1,11 @@
 """Ranked search against scoring of every document."""
 
+import collections
+import gc
 import math
 import random
 import re
+import weakref
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -105,6 +108,21 @@ def test_index_is_read_in_small_parts(spark, monkeypatch):
     assert {t for _, t in index.shards.select("words", "counts", "docs", "tfs").dtypes} == {"binary"}
 
 
+def test_words_of_a_shard_go_with_it(monkeypatch):
+    """Nothing of a shard waits for the garbage collector, which many words and few containers hardly ever start."""
+    class Told(collections.defaultdict):
+        pass
+
+    gone = []
+    monkeypatch.setattr(wand, "defaultdict", lambda *a: (made := Told(*a), weakref.finalize(made, gone.append, True))[0])
+    gc.disable()
+    try:
+        lengths, words, *_ = wand._posted([b"a b a", b"b c"])
+        assert (lengths.tolist(), words, gone) == ([3, 2], [b"a", b"b", b"c"], [True])
+    finally:
+        gc.enable()
+
+
 def test_packed_numbers():
     for numbers in ([], [0], [255, 0], [256, 3], [65_535], [65_536, 1], [2**32 - 1], [2**32, 7]):
         assert wand._unpacked(wand._packed(np.array(numbers, np.int64))).tolist() == numbers
