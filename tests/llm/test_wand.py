@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from foldloom.llm import wand
+from foldloom.llm import entry_queries, wand
 from foldloom.llm.entry_queries import QUERIES
 
 from .conftest import documents
@@ -123,6 +123,14 @@ def test_words_of_a_shard_go_with_it(monkeypatch):
         gc.enable()
 
 
+def test_documents_are_read_without_a_second_copy(spark, folder, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(entry_queries, "table", lambda s, d, name, f=entry_queries.table, **options: (asked.update({name: options}), f(s, d, name, **options))[1])
+    found = QUERIES["op12_wand_search"](spark, folder(documents("a b", "c"), benchmark=[(1, "a")]))
+    assert [(r["item_id"], r["doc_id"]) for r in found.collect()] == [(1, 1)]
+    assert asked == {"documents": {"parquet.hadoop.vectored.io.enabled": "false"}, "benchmark": {}}
+
+
 def test_packed_numbers():
     for numbers in ([], [0], [255, 0], [256, 3], [65_535], [65_536, 1], [2**32 - 1], [2**32, 7]):
         assert wand._unpacked(wand._packed(np.array(numbers, np.int64))).tolist() == numbers
