stream_picking keeps state in as many partitions as its table needs, and deals out only the rows and columns its windows use

Symptom: stream_picking spends most of its CPU in Python tasks that have no rows; with many rows, it boxes ones that no window ever uses.
Evidence: on sf0.1 each batch ran 24 stateful tasks (two operators of 12 partitions) for one instrument, and each cost a Python task, a state store and its commit; rows of unused components, null values and the column id went through the shuffle and, row by row, into pandas.
Fix: a state partition for each advisory partition size of the table's files, at most the session's shuffle partitions; rows that no window counts are filtered above the watermark, so that they still move the event time, and only needed columns are dealt out.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1643 -> 262 s, shuffle 0.25 -> 0.19 GB, spill 0.00 -> 0.00 GB, read 0.19 -> 0.19 GB, longest task 16 -> 12 s, most memory of a task 201 -> 201 MB; at 6 GB of input CPU 2350 -> 565 s, shuffle 1.43 -> 1.10 GB, spill 0.00 -> 0.00 GB, read 1.08 -> 1.08 GB, longest task 42 -> 25 s, most memory of a task 1275 -> 1275 MB.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -20,6 +21,7 @@ from foldloom.streaming import live, processors
 HOUR = tables.HOUR_US
 #: samples that may still change, samples of silence after which a series ends, and how late an event may come
 MUTE, TIMEOUT, LATENESS = 4, 240, "6 hours"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def in_parts(rows: DataFrame, part: Column, backwards: bool = False) -> str:
@@ -59,11 +61,23 @@ def samples_live(stream: DataFrame) -> DataFrame:
     return stream.select(F.concat(instrument, "component").alias("id"), instrument.alias("instrument"), "component", F.floor(F.unix_micros("ts") / HOUR).cast("long").alias("idx"), "value", F.lit(1.0).alias("fold"), "ts")
 
 
-def collected(stream: DataFrame, mode: str = "append", fail_at: int | None = None) -> DataFrame:
+def state_partitions(spark: SparkSession, folder: str, name: str = "events") -> int:
+    """Partitions of keyed state for a stream of a stored table: one for each advisory partition size of its files, at most the session's shuffle partitions.
+
+    A streaming query keeps its number from the first batch on, and adaptive execution joins none of its partitions, however small: each of them costs a
+    Python worker's task and a commit of its state store in every batch.
+    """
+    where, files = scratch.place(spark, f"{folder}/{name}.parquet")
+    advised = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    return max(1, min(int(spark.conf.get(PARTITIONS)), math.ceil(files.getContentSummary(where).getLength() / advised)))
+
+
+def collected(stream: DataFrame, mode: str = "append", fail_at: int | None = None, partitions: int | None = None) -> DataFrame:
     """Run a stream over all that is there, and read what its batches wrote, with the number of the batch (update mode); each batch has a folder of its own, so
     writing it again replaces it.
 
     fail_at: the query breaks down after writing that batch, before it is done, and is started again from its checkpoint.
+    partitions: those of its keyed state, else the session's shuffle partitions.
     """
     spark = stream.sparkSession
     root = scratch.new_folder(spark, "stream")
@@ -75,7 +89,13 @@ def collected(stream: DataFrame, mode: str = "append", fail_at: int | None = Non
             raise RuntimeError("broken down")
 
     def start() -> None:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        usual = spark.conf.get(PARTITIONS)
+        spark.conf.set(PARTITIONS, partitions or usual)
+        try:  # a query takes a copy of the session's settings as it starts
+            run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(write).start()
+        finally:
+            spark.conf.set(PARTITIONS, usual)
+        run.awaitTermination()
 
     try:
         start()
@@ -131,7 +151,7 @@ def stream_picking(spark: SparkSession, folder: str) -> DataFrame:
     """From events to picks in one streaming query of two chained stateful operators; its rows are those of picking_pipeline."""
     samples = samples_live(events_live(spark, folder))
     windows = live.instrument_windows(samples, "PCS", 24, 12, HOUR, MUTE, TIMEOUT, primary_share=0.9)
-    found = collected(picked(windows, 24, 2, 0.5, 0.3))
+    found = collected(picked(windows, 24, 2, 0.5, 0.3), partitions=state_partitions(spark, folder))
     rounded = {c: F.round(c, n) for c, n in (("p_max", 6), ("fold_mean", 6), ("confidence", 4))}
     return found.select("id", "on", "off", "npts", "at_max", "pick_us", "lower", "upper", "quality", *[v.alias(c) for c, v in rounded.items()])
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 Cells = tuple[np.ndarray, np.ndarray, np.ndarray]  # idx, sum of value x fold, fold
@@ -268,5 +269,10 @@ def instrument_windows(
 ) -> DataFrame:
     """A stream of samples (instrument, component, idx, value, fold, and an event time with a watermark) as a stream of repaired windows."""
     made = WindowProcessor(components, length, step, primary_share, secondary_share, step_us, mute, timeout)
+    times = [f.name for f in samples.schema if "spark.watermarkDelayMs" in f.metadata]
+    counts = F.col("component").isin(*components) & F.col("value").isNotNull() & ~F.isnan("value") & (F.col("fold") > 0)
+    for time in times:  # a condition on the event time stays above its watermark, which all rows move on
+        counts |= F.col(time).isNull()
+    samples = samples.where(counts).select("instrument", "component", "idx", "value", "fold", *times)
     schema = "instrument string, k long, first long, tensor array<array<float>>, fold array<double>, known timestamp"
     return samples.groupBy("instrument").transformWithStateInPandas(made, schema, "append", "EventTime", eventTimeColumnName="known")

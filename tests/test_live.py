@@ -133,6 +133,63 @@ def test_merging_before_the_ring_changes_nothing():
         assert np.allclose(merged.value, plain.value[a:b], equal_nan=True) and np.allclose(merged.fold, plain.fold[a:b])
 
 
+def test_state_partitions_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id", "rand(1) as value").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "events.parquet").glob("part*"))
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual = spark.conf.get(advised)
+    try:
+        found = {}
+        for at_once in (2 * size, size // 2, size // 1000):
+            spark.conf.set(advised, f"{at_once}b")
+            found[at_once] = live_queries.state_partitions(spark, str(tmp_path))
+    finally:
+        spark.conf.set(advised, usual)
+    assert [*found.values()][0] == 1 and [*found.values()][1] in (2, 3) and [*found.values()][2] == 4  # at most the session's shuffle partitions
+
+
+def stores(spark, folder, before):
+    """Numbers of state partitions of the operators of the one streaming query run since."""
+    (run,) = set(folder.glob("stream-*")) - before
+    return [len([p for p in op.iterdir() if p.name.isdigit()]) for op in sorted((run / "progress" / "state").iterdir())]
+
+
+@pytest.mark.parametrize("name, operators", [("stream_picking", 2)])
+def test_small_streams_have_few_state_partitions(spark, name, operators):
+    from pathlib import Path
+
+    from foldloom.plans import catalog
+    from foldloom.sources import scratch
+
+    folder, usual = Path(scratch.shared_folder(spark).removeprefix("file:")), spark.conf.get("spark.sql.shuffle.partitions")
+    before = set(folder.glob("stream-*"))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert stores(spark, folder, before) == [1] * operators and spark.conf.get("spark.sql.shuffle.partitions") == usual == "4"
+
+
+def test_windows_take_only_rows_that_count(spark):
+    """Rows of other components, null or not a number, or without fold change nothing but the event time: the windows leave when heartbeats of none of them come."""
+    good = [(c, 1000 + k, float(k), 1.0) for c in "PS" for k in range(8)] * 2  # repeated rows count twice
+    odd = [("X", 1003, 9.0, 1.0), (None, 1003, 9.0, 1.0), ("", 1003, 9.0, 1.0), ("P", 1003, None, 1.0), ("S", 1004, float("nan"), 1.0), ("P", 1005, 9.0, 0.0), ("P", 1006, 9.0, None), ("P", 1007, 9.0, -1.0)]
+    beats = [("", 10_000, None, 0.0), ("", 20_000, None, 0.0)]
+
+    def made(rows):
+        parts = [("i", *r, 0) for r in rows] + [(None, "P", 1001, 5.0, 1.0, 0)] + [("", *r, 1 + k) for k, r in enumerate(beats)]
+        df = spark.createDataFrame(parts, "instrument string, component string, idx long, value double, fold double, part int").withColumn("more", F.lit("x"))
+        path = live_queries.in_parts(df.withColumn("ts", F.timestamp_seconds(F.col("idx") + 0.5)), F.col("part"))
+        schema = "instrument string, component string, idx long, value double, fold double, more string, ts timestamp"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "30 seconds")
+        found = live_queries.collected(live.instrument_windows(stream, "PS", 4, 2, STEP, 1, 10, 0.5, 0.5), partitions=2)
+        return sorted((str(r["instrument"]), r["k"], r["first"], r["tensor"], r["fold"]) for r in found.drop("known").collect())
+
+    got = made(good + odd)
+    assert got == made(good) and [r[2] for r in got if r[0] == "i"] == [1000, 1002, 1004, 1006]
+    assert [r[3][0] for r in got if r[0] == "i"][-1] == [6.0, 7.0, 0.0, 0.0]
+    plan = live.instrument_windows(spark.readStream.schema("instrument string, component string, idx long, value double, fold double, more string, ts timestamp").parquet("/root/testdata/sf0.001/events.parquet").withWatermark("ts", "1 hour"), "PS", 4, 2, STEP, 1, 10)
+    above, _, below = plan._jdf.queryExecution().analyzed().toString().partition("Filter")
+    assert "more#" not in above and "component#" in above and "more#" in below and "EventTimeWatermark" in below  # only what is needed is dealt out, and all rows move the time
+
+
 def test_live_queries_run_in_several_batches(spark):
     stream = live_queries.events_live(spark, "/root/testdata/sf0.001")
     batches = set()
