stream_buffer_edge, and stream_buffer_backwards by the same step, keep state in as many partitions as their table needs

Symptom: both queries spend most of their task time in Python tasks and state stores that have no rows.
Evidence: on sf0.1 each batch ran 12 stateful tasks for five series; each cost a Python task, a state store and its commit, with or without rows.
Fix: a state partition for each advisory partition size of the table's files, at most the session's shuffle partitions.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 908 -> 194 s, shuffle 0.18 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.19 -> 0.19 GB, longest task 12 -> 7 s, most memory of a task 201 -> 201 MB; at 6 GB of input CPU 1311 -> 383 s, shuffle 1.05 -> 0.73 GB, spill 0.00 -> 0.00 GB, read 1.08 -> 1.08 GB, longest task 18 -> 20 s, most memory of a task 1275 -> 1275 MB.

@@ -215,7 +215,7 @@ def _buffers(spark: SparkSession, folder: str, length: int, backwards: bool, **h
     """The last state of every ring buffer, sample by sample."""
     rows = samples_live(events_live(spark, folder, backwards, late=False)).where("component <> ''")
     packets = rows.select("id", F.col("idx").alias("start"), F.array("value").alias("data"), F.array("fold").alias("fold"))
-    states = collected(processors.buffered(packets, length, **how), "update")
+    states = collected(processors.buffered(packets, length, **how), "update", partitions=state_partitions(spark, folder))
     last = states.groupBy("id").agg(F.max_by(F.struct("start", "value", "fold"), "batch").alias("s")).select("id", "s.start", F.posexplode(F.arrays_zip("s.value", "s.fold")).alias("at", "x"))
     return last.select("id", (F.col("start") + F.col("at")).alias("idx"), F.round("x.value", 6).alias("value"), "x.fold")
 

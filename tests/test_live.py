@@ -154,7 +154,7 @@ def stores(spark, folder, before):
     return [len([p for p in op.iterdir() if p.name.isdigit()]) for op in sorted((run / "progress" / "state").iterdir())]
 
 
-@pytest.mark.parametrize("name, operators", [("stream_picking", 2)])
+@pytest.mark.parametrize("name, operators", [("stream_picking", 2), ("stream_buffer_edge", 1), ("stream_buffer_backwards", 1)])
 def test_small_streams_have_few_state_partitions(spark, name, operators):
     from pathlib import Path
 
