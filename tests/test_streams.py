@@ -1,4 +1,7 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from foldloom.operators import stack
@@ -68,3 +71,52 @@ def test_metrics_rows(spark):
     recorder = metrics.Recorder()
     recorder._add(("q", 1, 10**18, 1, 5, 5, "max"))
     assert recorder.table(spark).collect()[0][:2] == ("q", 1)
+
+
+def merged_once(rows, method, size=7):
+    """rows through the step that merges packets before they are dealt out, in Arrow batches of `size`."""
+    schema = pa.schema([("id", pa.string()), ("start", pa.int64()), ("data", pa.list_(pa.float64())), ("fold", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[k : k + size]], schema) for k in range(0, len(rows), size)]
+    return [tuple(r.values()) for b in processors._packed(iter(batches), method) for r in b.to_pylist()]
+
+
+def states(rows, method, **how):
+    """The ring of each id after rows."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        made, ring = processors.BufferProcessor(80, method, **how), Ring(80, method, **how)
+        frame = pd.DataFrame([r[1:] for r in rows if r[0] == key], columns=["start", "data", "fold"])
+        for packet in made.packets(iter([frame])):
+            ring.append(*packet)
+        out[key] = (ring.start, np.round(ring.value, 9).tolist(), ring.fold.tolist(), ring.resets)
+    return {k: str(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("method", ["mean", "max"])
+def test_packets_merged_before_they_are_dealt_out_give_the_same_rings(method):
+    rows = packets(np.random.default_rng(1), 300, ("a", "b", None))
+    rows += rows[:50] + [("c", 5, [2.0], [3.0]), ("a", 500, [None, 1.0, float("nan")], [0.0, 2.0, 0.0])]  # repeated, alone, far and masked ones
+    for how in ({}, {"edge": "start"}, {"past": "unrestricted"}):
+        assert states(merged_once(rows, method), method, **how) == states(rows, method, **how)
+    assert len(merged_once(rows, method)) < 10  # a packet a run, however many batches
+    assert ("c", 5, [2.0], [3.0]) in merged_once(rows, method)
+
+
+def test_odd_packets_stay_as_they_are():
+    plain = [("a", 1, [1.0], [1.0]), ("a", 1, [2.0], [1.0])]
+    assert merged_once(plain, "mean") == [("a", 1, [1.5], [2.0])] and merged_once([], "mean") == []
+    for odd in (("a", 1, [], []), ("b", None, [1.0], [1.0]), ("b", 1, None, [1.0]), ("b", 1, [1.0], None), ("b", 1, [1.0, 2.0], [1.0]), ("b", 1, [float("inf")], [1.0]), ("b", 1, [1.0], [0.0]), ("b", 1, [1.0], [None])):
+        assert merged_once([*plain, odd], "mean") == [*plain, odd]
+
+
+def test_buffers_deal_out_few_rows(spark, tmp_path):
+    rows = [(f"k{n % 3}", n // 30, [float(n % 7)], [1.0]) for n in range(6000)] + [(None, 0, [1.0], [1.0]), ("empty", 4, [], [])]
+    spark.createDataFrame(rows, PACKETS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    plain = spark.read.schema(PACKETS).parquet(str(tmp_path / "in"))
+    assert processors.packed(plain.where("size(data) > 0"), "mean").count() == 4  # three runs of 200 samples, and one packet
+    assert processors.packed(plain, "drop") is plain and processors.packed(plain.withColumn("ts", F.lit(1)), "mean").count() == 6002
+    stream = spark.readStream.schema(plain.schema).parquet(str(tmp_path / "in"))
+    found = {r["id"]: r for r in finished(processors.buffered(stream, 200), "update").collect()}
+    assert set(found) == {"k0", "k1", "k2", None, "empty"} and found["empty"]["value"] == [] and found["k1"]["fold"] == [10.0] * 200
+    dealt = finished(processors.buffered(stream.where("size(data) > 0"), 200), "update").collect()
+    assert sorted((str(r["id"]), r["start"], r["value"], r["fold"]) for r in dealt) == sorted((str(r["id"]), r["start"], r["value"], r["fold"]) for r in found.values() if r["id"] != "empty")
